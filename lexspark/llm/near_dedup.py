@@ -1,19 +1,20 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
 A document's set is its distinct shingles of five words (of all words, if fewer), lower-cased.  Equal sets are one class,
-found by a 128-bit digest.  Each class gets a signature of COORDINATES min-hashes; a pair at the similarity bound agrees
-in about three quarters of them, and pairs that agree in at least MATCHES are candidates (a pair at the bound has fewer
-with a chance below 10**-6).
+found by a 128-bit digest.  Each class gets a signature of SIGNATURE min-hashes; a pair at the similarity bound agrees
+in about three quarters of them, and pairs that agree in at least AGREE are candidates (a pair at the bound has fewer
+with a chance of about 10**-5).
 
-Candidates come from an inverted join: classes are posted under coordinate-value pairs.  Values that one class alone has are
-skipped; a class with fewer than MATCHES others is skipped whole; the rest are posted under a prefix only, the rarest
-``n - MATCHES + 1`` of their n values in one global order, as two classes with MATCHES common values meet in their
-prefixes.  Inside a posting list collisions are counted over whole signatures.
+Candidates come from an inverted join: classes are posted under the first COORDINATES coordinate-value pairs.  Values
+that one class alone has are skipped; a class with fewer than MATCHES others is skipped whole; the rest are posted under a
+prefix only, the rarest ``n - MATCHES + 1`` of their n values in one global order, as two classes with MATCHES common values
+meet in their prefixes (a pair at the bound has fewer common ones with a chance below 10**-5).
 
-Links are only needed as far as they connect, so two steps avoid all pairs of a group of near copies.  First every class of
-a list is compared with the list's hub (a few rounds, with other hubs each time); then all pairs of a list that are still in
-different components are compared, long lists in blocks of pairs, so that no link between components is lost.
-Candidates are confirmed on full sets: a hub's text meets its partners' texts in salted groups that stream through a task.
+Links are only needed as far as they connect, so two steps avoid all pairs of a group of near copies.  In a few rounds,
+every class counts its collisions with the hubs of its lists and is compared with the one it meets most, in another component;
+then all pairs of a list that are still in different components are compared by signature, long lists in blocks of pairs, so
+that no link between components is lost.  Candidates are confirmed on full sets: a hub's text meets its partners'
+texts in salted groups that stream through a task.
 
 Defined results: texts without words or null have an empty set and link with nothing; ties in every order are broken by
 value and id; rows repeated with one doc_id are one document and each get a row; an empty table gives an empty result;
@@ -40,11 +41,13 @@ SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 COORDINATES, MATCHES = 32, 12
+#: Coordinates of the whole signature and how many a candidate pair agrees in; the first COORDINATES are posted.
+SIGNATURE, AGREE = 96, 54
 HUB_ROUNDS = 2
 #: Members of a posting list that meet in one task, and partners of a hub that are confirmed in one group.
 BLOCK, PARTNERS = 1024, 256
 
-_SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
+_SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
 
 
 def shingle_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +74,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 hashes, per = shingle_hashes(Words(data, bounds, lower=True))
                 full = np.flatnonzero(per)
                 begin = (np.cumsum(per) - per)[full]
-                least = np.empty((len(full), COORDINATES), np.int32)
+                least = np.empty((len(full), SIGNATURE), np.int32)
                 for k, seed in enumerate(_SEEDS if len(full) else []):
                     least[:, k] = (np.minimum.reduceat((hashes ^ (hashes >> U64(29))) * seed, begin) >> U64(32)).astype(np.uint32).view(np.int32)
                 count, digest = np.zeros(len(per), np.int64), [b""] * len(per)
@@ -79,44 +82,47 @@ def signatures(docs: DataFrame) -> DataFrame:
                     own = np.unique(hashes[b : b + per[d]])
                     count[d] = len(own)
                     digest[d] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(count), pa.array(digest, pa.binary()), list_array(least.ravel(), np.where(per > 0, COORDINATES, 0))], names=["doc_id", "n_shingles", "digest", "signature"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(count), pa.array(digest, pa.binary()), list_array(least.ravel(), np.where(per > 0, SIGNATURE, 0))], names=["doc_id", "n_shingles", "digest", "signature"])
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, signature array<int>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(list, df, id, signature): classes under the rarest of their coordinate-value pairs."""
-    pairs = classes.select("id", F.posexplode("signature").alias("k", "v")).select("id", (F.col("k").cast("bigint") * F.lit(1 << 32) + F.col("v")).alias("list"))
+    """(list, id): classes under the rarest of their coordinate-value pairs."""
+    posted = F.slice("signature", 1, COORDINATES)
+    pairs = classes.select("id", F.posexplode(posted).alias("k", "v")).select("id", (F.col("k").cast("bigint") * F.lit(1 << 32) + F.col("v")).alias("list"))
     df = pairs.groupBy("list").agg(F.count("*").alias("df")).filter("df > 1")
     common = pairs.join(df, "list").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "list"))).alias("all")).filter(F.size("all") >= MATCHES)
-    prefix = F.slice("all", F.lit(1), F.size("all") - (MATCHES - 1))
-    return common.join(classes.select("id", "signature"), "id").select("id", "signature", F.explode(prefix).alias("p")).select(F.col("p.list").alias("list"), F.col("p.df").alias("df"), "id", "signature")
+    return common.select("id", F.explode(F.slice("all", F.lit(1), F.size("all") - (MATCHES - 1))).alias("p")).select(F.col("p.list").alias("list"), "id")
 
 
 def _agree(a: str, b: str):
-    """Whether two signatures agree in MATCHES coordinates."""
+    """Whether two signatures agree in AGREE coordinates."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return same >= MATCHES
+    return same >= AGREE
 
 
-def _hub_pairs(posted: DataFrame, component: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each class of a list with the list's hub, where they are in different components and agree."""
+def _at(posted: DataFrame, component: DataFrame) -> DataFrame:
+    return posted.join(component, "id", "left").select("list", "id", F.coalesce("component", "id").alias("c"))
+
+
+def _hub_pairs(posted: DataFrame, signed: DataFrame, component: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each class b with one hub, that of another component which it meets in most lists, if they agree."""
     order = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
-    at = posted.join(component, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    hubs = at.groupBy("list").agg(F.min_by("id", order).alias("hub"), F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 1 AND c0 <> c1").select("list", "hub")
-    met = at.join(hubs, "list").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("c").alias("cb")).distinct()
-    sig = posted.select("id", "signature").dropDuplicates(["id"]).join(component, "id", "left").select("id", "signature", F.coalesce("component", "id").alias("c"))
-    with_b = met.join(sig.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
-    with_a = with_b.join(sig.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("c").alias("ca")), "a")
-    return with_a.filter("ca <> cb").filter(_agree("sa", "sb")).select("a", "b")
+    at = _at(posted, component)
+    hubs = at.groupBy("list").agg(F.min_by("id", order).alias("a"), F.min_by("c", order).alias("ca"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("list", "a", "ca")
+    met = at.join(hubs, "list").filter("c <> ca").groupBy("id", "a").agg(F.count("*").alias("n"))
+    best = met.groupBy("id").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), F.col("id").alias("b"))
+    with_b = best.join(signed.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
+    return with_b.join(signed.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").filter(_agree("sa", "sb")).select("a", "b")
 
 
-def _rest_pairs(posted: DataFrame, component: DataFrame) -> DataFrame:
+def _rest_pairs(posted: DataFrame, signed: DataFrame, component: DataFrame) -> DataFrame:
     """(a, b): all pairs of a list in different components that agree; long lists meet in pairs of blocks."""
-    at = posted.join(component, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    at = _at(posted, component)
     mixed = at.groupBy("list").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1").select("list", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     own = F.pmod(F.xxhash64("id"), "blocks")
-    spread = at.join(mixed, "list").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    spread = at.join(mixed, "list").join(signed, "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     keyed = spread.select("list", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"), "own", "id", "c", "signature")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,7 +133,7 @@ def _rest_pairs(posted: DataFrame, component: DataFrame) -> DataFrame:
         out_a, out_b = [], []
         for i in left:
             others = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if g == h else True)]
-            hits = others[(sig[others] == sig[i]).sum(1) >= MATCHES]
+            hits = others[(sig[others] == sig[i]).sum(1) >= AGREE]
             out_a.append(np.full(len(hits), ids[i]))
             out_b.append(ids[hits])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
@@ -178,8 +184,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = signed.filter("n_shingles > 0").join(classes, "digest")
     own = reps.filter("doc_id = id").select("id", "signature").dropDuplicates(["id"])
     posted = scratch.save(postings(own), "postings")
+    used = posted.select("id").distinct()
+    own = scratch.save(own.join(used, "id", "left_semi"), "used")
     picked = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("id"), text_of().alias("text"))
-    texts = scratch.save(picked.join(posted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = scratch.save(picked.join(used, "id", "left_semi").dropDuplicates(["id"]), "texts")
     links = scratch.save(spark.createDataFrame([], "a bigint, b bigint"), "links")
     component = scratch.save(spark.createDataFrame([], "id bigint, component bigint"), "component")
 
@@ -192,10 +200,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return found, scratch.save(components(stars.unionByName(found), scratch), "component"), True
 
     for turn in range(HUB_ROUNDS):
-        links, component, more = joined(_hub_pairs(posted, component, turn))
+        links, component, more = joined(_hub_pairs(posted, own, component, turn))
         if not more:
             break
-    links, component, _ = joined(_rest_pairs(posted, component))
+    links, component, _ = joined(_rest_pairs(posted, own, component))
     named = reps.select("doc_id", "n_shingles", F.col("id").alias("rep")).join(component.withColumnRenamed("id", "rep"), "rep", "left")
     full = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     empty = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
