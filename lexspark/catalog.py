@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lexspark.plans import queries
+
+QUERIES, ORACLE_SQL, flagship = queries.Q, queries.SQL, queries.flagship

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # White space that is stripped, tags whose content is no text, prefixes of file names.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -72,7 +73,7 @@ def is_scanned(text: Column, least: int = 200) -> Column:
     return F.length(F.coalesce(text, F.lit(""))) < least
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode normalisation form KC, for which there is no built-in function."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -144,8 +145,9 @@ def highlight(text: Column, codes: Column, keywords: dict[str, list[str]]) -> Co
     for word in order:
         holders = [c for c, words in keywords.items() if word in words]
         shown = html_escape(F.lit(word))
-        marked = F.replace(out, shown, F.concat(F.lit('<span class="highlight">'), shown, F.lit("</span>")))
-        out = F.when(F.arrays_overlap(codes, F.array(*[F.lit(c) for c in holders])), marked).otherwise(out)
+        has = F.arrays_overlap(codes, F.array(*[F.lit(c) for c in holders]))
+        # The row's codes choose what the word is replaced by, so that the text so far occurs once in the expression.
+        out = F.replace(out, shown, F.when(has, F.concat(F.lit('<span class="highlight">'), shown, F.lit("</span>"))).otherwise(shown))
     return out
 
 
