@@ -21,6 +21,7 @@ gives an empty result; the result depends on the rows and the seed alone.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,14 +157,12 @@ def mix(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.coalesce("n_shards", F.lit(0)).alias("n_shards"))
 
 
-def _cut(text: str, blocks: list) -> str:
+def _cut(text: str, blocks: list, size: int) -> str:
     """The words of these blocks, with the white space between them as it was."""
-    import re
-
     spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
     parts: list[list[int]] = []
     for block, words in sorted(blocks):
-        begin, end = block * BLOCK_WORDS, block * BLOCK_WORDS + words
+        begin, end = block * size, block * size + words
         if parts and parts[-1][1] == begin:
             parts[-1][1] = end
         else:
@@ -180,7 +179,8 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("bigint")
     names = docs.columns
     found = docs.withColumn("_size", size).join(uses, (F.col("doc_id") == F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    cut = F.pandas_udf(lambda t, b: t.combine(b, lambda x, y: _cut(x, [(int(r["block"]), int(r["words"])) for r in y])), "string")
+    block_words = BLOCK_WORDS
+    cut = F.pandas_udf(lambda t, b: t.combine(b, lambda x, y: _cut(x, [(int(r["block"]), int(r["words"])) for r in y], block_words)), "string")
     whole = found.filter("_taken = _n").select(*[F.col(quoted(c)) for c in names])
     parts = found.filter("_taken < _n").withColumn("text", cut("text", "_blocks"))
     if "n_chars" in names:
