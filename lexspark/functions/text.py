@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# White space that is stripped, tags whose content is no text, prefixes of file names.
-SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: White space that is stripped, by rule: all that Unicode calls so.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+# Tags whose content is no text, prefixes of file names.
 SILENT_TAGS = ("script", "style", "noscript", "header", "footer", "nav")
 ORDINANCE, REGULATION, UNKNOWN = "条例", "施行規則", "不明"
 JAPANESE = "[ぁ-んァ-ヶ一-龥]"
@@ -18,7 +19,7 @@ JAPANESE = "[ぁ-んァ-ヶ一-龥]"
 
 def strip(c: Column) -> Column:
     """Unicode-aware strip, U+3000 included."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def normalize_text(c: Column) -> Column:

@@ -90,11 +90,12 @@ def funnel(terms: DataFrame, lists: Lists) -> DataFrame:
     s5 = (prot | ~(_any(t, BAD_STARTS, starts) | _any(t, BAD_ENDS, ends))) & ~(t.rlike(DATED) & (n < 20)) & (n != 1) & (curated | ~t.isin(*SHORT_GENERIC))
     s6 = ~_any(t, LAST_PATTERNS, rlike) & ~_any(t, LAST_PARTS, _contains)
     # The third stage takes curated terms and laws in again, whatever the second one said.
+    tested = first.select("term", prot.alias("prot"), *[s.alias(f"s{k}") for k, s in enumerate((s1, s2, s3, s4, s5, s6), 1)])
     passed, columns = F.lit(True), []
-    for k, s in enumerate((s1, s2, s3, s4, s5, s6), 1):
-        passed = (passed & s) | prot if k == 3 else passed & s
+    for k in range(1, 7):
+        passed = (passed & F.col(f"s{k}")) | F.col("prot") if k == 3 else passed & F.col(f"s{k}")
         columns.append(passed.alias(f"stage_{k}"))
-    return first.select("term", *columns)
+    return tested.select("term", *columns)
 
 
 def funnel_counts(flags: DataFrame) -> DataFrame:
