@@ -12,9 +12,10 @@ meet in their prefixes (a pair at the bound has fewer common ones with a chance
 
 Links are only needed as far as they connect, so two steps avoid all pairs of a group of near copies.  In a few rounds,
 every class counts its collisions with the hubs of its lists and is compared with the one it meets most, in another component;
-then all pairs of a list that are still in different components are compared by signature, long lists in blocks of pairs, so
-that no link between components is lost.  Candidates are confirmed on full sets: a hub's text meets its partners'
-texts in salted groups that stream through a task.
+then all pairs of a list that are still in different components are compared by signature, so that no link between
+components is lost.  Candidates are confirmed on full sets: a hub's text meets its partners' texts in salted groups that
+stream through a task.  Members of long lists are dealt out as pairs of blocks, with their texts, and confirmed where
+they meet, as pairs of a group of near copies that differ from each other just too much would else be many rows.
 
 Defined results: texts without words or null have an empty set and link with nothing; ties in every order are broken by
 value and id; rows repeated with one doc_id are one document and each get a row; an empty table gives an empty result;
@@ -44,8 +45,8 @@ COORDINATES, MATCHES = 32, 12
 #: Coordinates of the whole signature and how many a candidate pair agrees in; the first COORDINATES are posted.
 SIGNATURE, AGREE = 96, 54
 HUB_ROUNDS = 2
-#: Members of a posting list that meet in one task, and partners of a hub that are confirmed in one group.
-BLOCK, PARTNERS = 1024, 256
+#: Members of a posting list up to which it is short; members and bytes of text of a block; partners of a hub in one group.
+SHORT, BLOCK, BLOCK_BYTES, PARTNERS = 64, 1024, 1 << 23, 256
 
 _SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
 
@@ -117,29 +118,70 @@ def _hub_pairs(posted: DataFrame, signed: DataFrame, component: DataFrame, turn:
     return with_b.join(signed.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").filter(_agree("sa", "sb")).select("a", "b")
 
 
-def _rest_pairs(posted: DataFrame, signed: DataFrame, component: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a list in different components that agree; long lists meet in pairs of blocks."""
-    at = _at(posted, component)
-    mixed = at.groupBy("list").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).filter("c0 <> c1").select("list", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), "blocks")
-    spread = at.join(mixed, "list").join(signed, "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    keyed = spread.select("list", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"), "own", "id", "c", "signature")
+def _mixed(posted: DataFrame, texts: DataFrame, component: DataFrame) -> DataFrame:
+    """(list, id, c, n, blocks): lists of classes in more than one component; n members go to so many blocks."""
+    at = _at(posted, component).join(texts.select("id", "bytes"), "id")
+    sized = at.groupBy("list").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    return at.drop("bytes").join(sized.filter("c0 <> c1").select("list", "n", F.greatest("blocks", F.lit(1)).alias("blocks")), "list")
+
+
+def _short_pairs(mixed: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b): pairs of a short list in different components that agree, fewer than SHORT / 2 for each posting."""
+    keyed = mixed.filter(F.col("n") <= SHORT).join(signed, "id").select("list", "id", "c", "signature")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        own_block = pdf["own"].to_numpy()
-        g, h = int(pdf["g"].iloc[0]), int(pdf["h"].iloc[0])
         ids, comp, sig = pdf["id"].to_numpy(), pdf["c"].to_numpy(), np.stack(pdf["signature"].to_numpy())
-        left, right = np.flatnonzero(own_block == g), np.flatnonzero(own_block == h)
-        out_a, out_b = [], []
-        for i in left:
-            others = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if g == h else True)]
-            hits = others[(sig[others] == sig[i]).sum(1) >= AGREE]
-            out_a.append(np.full(len(hits), ids[i]))
-            out_b.append(ids[hits])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+        i, j = np.triu_indices(len(ids), 1)
+        apart = comp[i] != comp[j]
+        i, j = i[apart], j[apart]
+        hits = (sig[i] == sig[j]).sum(1) >= AGREE
+        a, b = ids[i[hits]], ids[j[hits]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return keyed.groupBy("list", "g", "h").applyInPandas(compare, "a bigint, b bigint").distinct()
+    return keyed.groupBy("list").applyInPandas(compare, "a bigint, b bigint").distinct()
+
+
+def _linked(g: int, h: int, own: np.ndarray, ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between blocks g and h, confirmed on the sets; only those that join what was apart until then."""
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, root, right, found = np.zeros(len(names), bool), comp.copy(), np.flatnonzero(own == h), []
+    for i in np.flatnonzero(own == g):
+        others = right[(root[right] != root[i]) & ((ids[right] > ids[i]) if g == h else True)]
+        hits = others[(sig[others] == sig[i]).sum(1) >= AGREE]
+        if not len(hits):
+            continue
+        mark[codes[start[i] : start[i] + size[i]]] = True
+        begin = np.cumsum(size[hits]) - size[hits]
+        at = np.repeat(start[hits] - begin, size[hits]) + np.arange(size[hits].sum())
+        common = np.add.reduceat(mark[codes[at]].astype(np.int64), begin)
+        mark[codes[start[i] : start[i] + size[i]]] = False
+        for j in hits[100 * common >= PERCENT * (size[i] + size[hits] - common)]:
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return found
+
+
+def _long_links(mixed: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links in long lists between different components.
+
+    Members meet in pairs of blocks, with their texts, and are confirmed there, so no pair leaves a task but those that
+    join components: fewer than the rows that came in.
+    """
+    dealt = mixed.filter(F.col("n") > SHORT).withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    keyed = dealt.join(signed, "id").join(texts, "id").select("list", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"), "own", "id", "c", "signature", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        (batch,) = table.combine_chunks().to_batches()
+        g, h, own, ids, comp = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("g", "h", "own", "id", "c"))
+        sig = batch.column(batch.schema.get_field_index("signature")).flatten().to_numpy().reshape(-1, SIGNATURE)
+        sets = [x for _, data, bounds in slices(batch, "text") for x in _sets(data, bounds)]
+        found = np.array(_linked(g[0], h[0], own, ids, comp, sig, sets), np.int64).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return keyed.groupBy("list", "g", "h").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -186,13 +228,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     posted = scratch.save(postings(own), "postings")
     used = posted.select("id").distinct()
     own = scratch.save(own.join(used, "id", "left_semi"), "used")
-    picked = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("id"), text_of().alias("text"))
+    picked = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("id"), text_of().alias("text")).withColumn("bytes", F.octet_length("text"))
     texts = scratch.save(picked.join(used, "id", "left_semi").dropDuplicates(["id"]), "texts")
     links = scratch.save(spark.createDataFrame([], "a bigint, b bigint"), "links")
     component = scratch.save(spark.createDataFrame([], "id bigint, component bigint"), "component")
 
-    def joined(more: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-        found = scratch.save(confirmed(scratch.save(more, "pairs"), texts), "links")
+    def joined(more: DataFrame, linked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, bool]:
+        found = confirmed(scratch.save(more, "pairs"), texts)
+        found = scratch.save(found.unionByName(linked) if linked else found, "links")
         if found.isEmpty():
             return links, component, False
         # Components so far enter as one star each.
@@ -203,7 +246,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links, component, more = joined(_hub_pairs(posted, own, component, turn))
         if not more:
             break
-    links, component, _ = joined(_rest_pairs(posted, own, component))
+    mixed = scratch.save(_mixed(posted, texts, component), "mixed")
+    links, component, _ = joined(_short_pairs(mixed, own), _long_links(mixed, own, texts))
     named = reps.select("doc_id", "n_shingles", F.col("id").alias("rep")).join(component.withColumnRenamed("id", "rep"), "rep", "left")
     full = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     empty = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -278,6 +278,10 @@ def brute_near(rows):
 def test_near_dedup(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "PARTNERS", 2)
+    if block == 3:  # nearly every list is long, and is dealt out by number or by bytes
+        monkeypatch.setattr(near_dedup, "SHORT", 2)
+        monkeypatch.setattr(near_dedup, "HUB_ROUNDS", 1)
+        monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4_000)
     rows = texts(6, 70)
     df = clashing(docs(spark, rows))
     got = rows_of(near_dedup.near_duplicates(df))
@@ -287,6 +291,20 @@ def test_near_dedup(spark, monkeypatch, block):
         assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_dedup_of_copies_that_differ(spark):
+    """A group whose members are near one text, and mostly not near each other."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for _ in range(90):
+        own = list(base)
+        for _ in range(rng.randint(4, 12)):
+            own[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        rows.append(" ".join(own))
+    got = rows_of(near_dedup.near_duplicates(docs(spark, rows)))
+    assert got == brute_near(rows) and 1 < sum(r[3] for r in got) < len(rows)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(30)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
