@@ -11,8 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.operators.aggregates import upper_median
-
 # Fixed values of the filters.
 STRIPPED = "（）() \n\t「」『』【】、。"
 NUMBERS = r"^[0-9０-９.\-／/]+$"
@@ -109,7 +107,7 @@ def suspicious(terms: DataFrame) -> DataFrame:
 
 def length_stats(terms: DataFrame) -> DataFrame:
     n = F.length("term")
-    return terms.agg(F.count("*").alias("terms"), F.avg(n).alias("mean"), F.min(n).alias("min"), F.max(n).alias("max"), upper_median(F.collect_list(n)).alias("median"))
+    return terms.agg(F.count("*").alias("terms"), F.avg(n).alias("mean"), F.min(n).alias("min"), F.max(n).alias("max"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY length(term) DESC)").cast("int").alias("median"))
 
 
 def mecab_rows(terms: DataFrame, cost: int = 8000) -> DataFrame:

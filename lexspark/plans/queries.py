@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import lines, text
 from lexspark.operators import aggregates, classify, coding, rules, statistics, store, terms, tokens
-from lexspark.sources import ledger
+from lexspark.sources import ledger, tables
 from lexspark.streaming import coding as stream
 
 #: Rules over words of the corpus; keywords only, so that SQL can follow.
@@ -603,3 +603,113 @@ def event_windows(spark, d):
 def running_counts(spark, d):
     coded = stream.coded_paragraphs(_t(spark, d, "documents"), _rules(RULES_TEXT), ["doc_id", "source"])
     return stream.running_counts(coded, F.col("source"))
+
+
+# -- remaining scalars, predicates and set operations ----------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'html' WHEN c_custkey % 3 = 1 THEN 'pdf' END AS kind FROM customer")
+def file_kinds(spark, d):
+    end = F.when(F.col("c_custkey") % 3 == 0, "_HTML.txt").when(F.col("c_custkey") % 3 == 1, "_PDF.txt").otherwise(".md")
+    return _t(spark, d, "customer").select("c_custkey", text.file_kind(F.concat("c_name", end)).alias("kind"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 0.0 ELSE c_custkey / 4 END::DOUBLE AS n, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey / 4 END::DOUBLE AS share FROM customer")
+def coerced_numbers(spark, d):
+    k = F.col("c_custkey")
+    cell = F.when(k % 4 == 0, F.when(k % 8 == 0, "n/a")).otherwise((k / 4).cast("string"))
+    part = F.when(k % 4 == 0, "NA").otherwise(F.concat((k / 4).cast("string"), F.lit("%")))
+    return _t(spark, d, "customer").select("c_custkey", text.number(cell).alias("n"), text.percent(part).alias("share"))
+
+
+@query("SELECT o_orderkey, (o_orderstatus = 'F') AS final, (o_orderkey % 3 = 0) AS marked FROM orders")
+def cell_tests(spark, d):
+    ending = F.when(F.col("o_orderstatus") == "F", "とする。）").otherwise("とする、")
+    cell = F.when(F.col("o_orderkey") % 3 == 0, F.when(F.col("o_orderkey") % 2 == 0, "1").otherwise(" True ")).when(F.col("o_orderkey") % 3 == 1, "0")
+    return _t(spark, d, "orders").select("o_orderkey", text.sentence_final(ending).alias("final"), text.truthy(cell).alias("marked"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey <> 0 AND l_linenumber % 3 <> 0 THEN l_orderkey || '-' || (l_linenumber % 3) ELSE '' END AS label FROM lineitem")
+def paragraph_labels(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.paragraph_label(F.col("l_orderkey"), F.col("l_linenumber") % 3).alias("label"))
+
+
+@query("SELECT p_partkey, replace(replace(p_brand, 'Brand#1', 'one-'), 'Brand#2', 'two-') AS label FROM part")
+def shortened_labels(spark, d):
+    return _t(spark, d, "part").select("p_partkey", text.shorten(F.col("p_brand"), {"Brand#1": "one-", "Brand#2": "two-"}).alias("label"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url END AS url, CASE WHEN page_id % 2 = 0 THEN 'text/html' ELSE 'application/pdf' END AS base FROM pages")
+def valid_urls(spark, d):
+    even = F.col("page_id") % 2 == 0
+    cell = F.when(even, F.concat(F.lit('　"'), F.col("url"), F.lit('" '))).otherwise(F.concat(F.lit("ftp:"), F.col("url")))
+    kind = F.when(even, "Text/HTML ; charset=utf-8").otherwise("application/pdf")
+    return _t(spark, d, "pages").select("page_id", text.valid_url(cell).alias("url"), text.content_base(kind).alias("base"))
+
+
+@query("SELECT o_custkey AS k, o_orderstatus AS s FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL UNION ALL SELECT DISTINCT c_custkey, 'F' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def insert_ignore(spark, d):
+    there = _t(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("s")).distinct()
+    more = _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit("F").alias("s"))
+    return store.insert_ignore(there, more.unionByName(more), ["k", "s"])
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def append_new_rows(spark, d):
+    orders = _t(spark, d, "orders")
+    first = orders.filter("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    return tables.append_new(orders.filter("o_orderstatus = 'F'").select("o_custkey"), first, ["o_custkey"])
+
+
+@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def missing_outputs(spark, d):
+    return tables.missing_outputs(_t(spark, d, "lineitem").select("l_partkey"), _t(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("l_partkey")), "l_partkey")
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INT AS year FROM orders WHERE year(o_orderdate) BETWEEN 1993 AND 1995")
+def year_filter(spark, d):
+    return tables.in_years(_t(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year")), "1993-1995")
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INT AS year FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders)")
+def latest_year(spark, d):
+    return tables.in_years(_t(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year")), None)
+
+
+@query(f"WITH {_WIDE}, z AS (SELECT *, {_Z2} AS zone FROM wd) SELECT zone, count(*) AS n, round(avg(CASE WHEN a + b > 0 THEN b / (a + b) ELSE 0 END), 6) AS ban FROM z GROUP BY zone")
+def zone_stats(spark, d):
+    w = _wide(spark, d)
+    c = lambda k: F.col(k)
+    rows = w.select(classify.zone_type(c("a"), c("b"), c("ra"), c("rb")).alias("zone"), classify.ban_share(c("a"), c("b")).alias("ban"))
+    return rows.groupBy("zone").agg(F.count("*").alias("n"), F.round(F.avg("ban"), 6).alias("ban"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, dan, s FROM ln WHERE source = (SELECT min(source) FROM documents) ORDER BY doc_id, dan LIMIT 3")
+def first_rows_of_group(spark, d):
+    rows = _lines(spark, d)
+    one = _t(spark, d, "documents").agg(F.min("source").alias("source"))
+    return rows.join(F.broadcast(one), "source").select("doc_id", "dan", "s").orderBy("doc_id", "dan").limit(3)
+
+
+@query("SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY ALL ORDER BY value")
+def value_counts_by_label(spark, d):
+    return aggregates.value_counts(_t(spark, d, "orders"), "o_orderstatus").orderBy("value")
+
+
+@query("SELECT source, length(s) AS n, s FROM (SELECT source, lang || ':' || n_chars AS s FROM documents) ORDER BY n DESC, s, source LIMIT 50")
+def longest_first(spark, d):
+    rows = _t(spark, d, "documents").select("source", F.concat_ws(":", "lang", "n_chars").alias("s"))
+    return rows.select("source", F.length("s").cast("bigint").alias("n"), "s").orderBy(F.desc("n"), "s", "source").limit(50)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 4 < 2")
+def suspicious_terms(spark, d):
+    k = F.col("c_custkey") % 4
+    ending = F.when(k == 0, "条例を定める規則の案").when(k == 1, "の(要綱)").when(k == 2, "に関する特別措置条例").otherwise("")
+    return terms.suspicious(_t(spark, d, "customer").select("c_custkey", F.concat("c_name", ending).alias("term"))).select("c_custkey")
+
+
+@query("SELECT DISTINCT w AS term, '5000' AS cost, w AS normalized FROM (SELECT p_brand AS w FROM part UNION ALL SELECT r_name FROM region)")
+def dictionary_rows_18(spark, d):
+    words = _t(spark, d, "part").select(F.col("p_brand").alias("term")).union(_t(spark, d, "region").select("r_name"))
+    return terms.sudachi_rows(words).select("term", "cost", "normalized")
