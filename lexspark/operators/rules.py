@@ -12,6 +12,7 @@ functions, so rules need neither Python workers nor a shuffle.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -114,30 +115,37 @@ def _places(terms: Column, word: str) -> Column:
     return F.array_compact(hits)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once; as plain nested columns it would be evaluated wherever it occurs."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _near(terms: Column, node: Proximity) -> Column:
-    places = [_places(terms, w) for w in node.words]
     sign = -1 if node.backward else 1
 
     def close(a: Column, b: Column) -> Column:
         return F.exists(a, lambda p: F.exists(b, lambda q: ((q - p) * sign > 0) & ((q - p) * sign <= node.distance)))
 
-    present = reduce(lambda x, y: x & y, [F.size(p) > 0 for p in places])
-    pairs = [close(a, b) for i, a in enumerate(places) for b in places[i + 1 :]]
-    return present & reduce(lambda x, y: x | y, pairs) if pairs else F.lit(False)
+    def holds(found: Column) -> Column:
+        places = [found[f"c{k}"] for k in range(len(node.words))]
+        present = reduce(lambda x, y: x & y, [F.size(p) > 0 for p in places])
+        pairs = [close(a, b) for i, a in enumerate(places) for b in places[i + 1 :]]
+        return present & reduce(lambda x, y: x | y, pairs) if pairs else F.lit(False)
+
+    return _let(F.struct(*[_places(terms, w).alias(f"c{k}") for k, w in enumerate(node.words)]), holds)
 
 
 def _seq(terms: Column, node: Proximity) -> Column:
     """From each place of the first word on, the first match in reach of each next word."""
-    now = _places(terms, node.words[0])
-    for word in node.words[1:]:
-        there = _places(terms, word)
-        d = node.distance
-        inside = (lambda p, q: (q >= F.greatest(F.lit(0), p - d)) & (q < p)) if node.backward else (lambda p, q: (q > p) & (q <= p + d))
+    d = node.distance
+    inside = (lambda p, q: (q >= F.greatest(F.lit(0), p - d)) & (q < p)) if node.backward else (lambda p, q: (q > p) & (q <= p + d))
 
-        def following(now: Column = now, there: Column = there, inside=inside) -> Column:
-            return F.array_distinct(F.array_compact(F.transform(now, lambda p: F.array_min(F.filter(there, lambda q: inside(p, q))))))
+    def following(now: Column, there: Column) -> Column:
+        return F.array_distinct(F.array_compact(F.transform(now, lambda p: F.array_min(F.filter(there, lambda q: inside(p, q))))))
 
-        now = following()
+    now = _places(terms, node.words[0])
+    for word in node.words[1:]:
+        now = _let(F.struct(now.alias("now"), _places(terms, word).alias("there")), lambda x: following(x["now"], x["there"]))
     return F.size(now) > 0
 
 

@@ -20,8 +20,8 @@ def surfaces(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Surfaces, then dictionary forms (lower-cased surfaces), as rules look at them."""
-    found = surfaces(text)
-    return F.concat(found, F.transform(found, lambda t: F.lower(t)))
+    once = F.transform(F.array(surfaces(text)), lambda found: F.concat(found, F.transform(found, lambda t: F.lower(t))))
+    return F.get(once, F.lit(0))
 
 
 def script_class(c: Column) -> Column:
