@@ -55,10 +55,11 @@ def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
     span = WINDOW - ANCHOR + 1
     while have < span:
         step = min(have, span - have)
-        better = least[step:] < least[: n - step]
+        m = max(0, n - step)
+        better = least[step:] < least[:m]
         new_least, new_place = least.copy(), place.copy()
-        new_least[: n - step][better] = least[step:][better]
-        new_place[: n - step][better] = place[step:][better]
+        new_least[:m][better] = least[step:][better]
+        new_place[:m][better] = place[step:][better]
         least, place, have = new_least, new_place, have + step
     return np.where(left >= WINDOW, place, -1), hashes
 

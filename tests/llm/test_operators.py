@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from lexspark.llm.components import components
 from lexspark.llm.fm_index import FMIndex
 from lexspark.llm.piece_bpe import PieceEncoder
 from lexspark.llm.storage import Scratch, shared_dir
+from lexspark.llm.words import Words, texts_of
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -122,6 +124,18 @@ def test_substring_dedup_empty_and_repeated(spark):
     assert [r.n_removed for r in substring_dedup.without_repeats(twice).collect()] == [0, 0]
 
 
+def test_substring_dedup_slices_of_few_words(spark):
+    say = lambda k: " ".join(f"w{i}" for i in range(k))
+    for n in range(1, 61):
+        place, _ = substring_dedup._anchors(Words(*texts_of(pa.array([say(n)]))))
+        assert len(place) == n and ((place >= 0) == (np.arange(n) <= n - 50)).all()
+    rows = [say(n) for n in range(1, 61)]
+    alone = docs(spark, rows).repartition(60, "doc_id")
+    assert rows_of(substring_dedup.without_repeats(alone).drop("spans")) == sorted(brute_substrings(rows), key=repr)
+    long = [say(3), say(60) + " x" * (1 << 20), say(7)]
+    assert rows_of(substring_dedup.without_repeats(docs(spark, long).coalesce(1)).drop("spans")) == sorted(brute_substrings(long), key=repr)
+
+
 @pytest.mark.parametrize("hash_of", [exact_dedup.content_hash, lambda t: F.substring(t, 1, 1).cast("binary")])
 def test_exact_dedup(spark, hash_of):
     rows = texts(3)
