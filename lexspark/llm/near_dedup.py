@@ -18,7 +18,9 @@ stream through a task.  Members of long lists are dealt out as pairs of blocks,
 they meet, as pairs of a group of near copies that differ from each other just too much would else be many rows.
 
 Defined results: texts without words or null have an empty set and link with nothing; ties in every order are broken by
-value and id; rows repeated with one doc_id are one document and each get a row; an empty table gives an empty result;
+value and id; every row is judged by its own text, so rows of one doc_id with different texts can be in different
+components; a component is named by its smallest doc_id (null if it has none), and kept are the rows of the smallest
+(doc_id, hash of text) in it, null doc_ids last; repeated rows each get a row; an empty table gives an empty result;
 further columns are not read.
 """
 
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.columns import pick, text_of
 from lexspark.llm.components import components
+from lexspark.llm.exact_dedup import content_hash
 from lexspark.llm.storage import Scratch
 from lexspark.llm.words import U64, Sequences, Words, list_array, mix, slices
 
@@ -67,7 +70,7 @@ def _sets(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature): signature is null for an empty set."""
+    """(doc_id, text_key, n_shingles, digest, signature): signature is null for an empty set; text_key: the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,9 +86,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                     own = np.unique(hashes[b : b + per[d]])
                     count[d] = len(own)
                     digest[d] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(count), pa.array(digest, pa.binary()), list_array(least.ravel(), np.where(per > 0, SIGNATURE, 0))], names=["doc_id", "n_shingles", "digest", "signature"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(count), pa.array(digest, pa.binary()), list_array(least.ravel(), np.where(per > 0, SIGNATURE, 0))], names=["doc_id", "text_key", "n_shingles", "digest", "signature"])
 
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, signature array<int>")
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", content_hash(text_of()).alias("text_key")).mapInArrow(run, "doc_id bigint, text_key binary, n_shingles bigint, digest binary, signature array<int>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -217,19 +220,23 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return together.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept) for every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     signed = scratch.save(signatures(docs), "signatures")
-    classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    reps = signed.filter("n_shingles > 0").join(classes, "digest")
-    own = reps.filter("doc_id = id").select("id", "signature").dropDuplicates(["id"])
+    # A class has a number of its own; doc_ids only name components.  rep: its first row, null doc_ids last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep")
+    grouped = signed.filter("n_shingles > 0").groupBy("digest").agg(first, F.first("signature").alias("signature"))
+    classes = scratch.save(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    own = classes.select("id", "signature")
     posted = scratch.save(postings(own), "postings")
     used = posted.select("id").distinct()
     own = scratch.save(own.join(used, "id", "left_semi"), "used")
-    picked = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("id"), text_of().alias("text")).withColumn("bytes", F.octet_length("text"))
-    texts = scratch.save(picked.join(used, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    reps = classes.join(used, "id", "left_semi").select("id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
+    picked = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).withColumn("text_key", content_hash(F.col("text")))
+    found = picked.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_key")))
+    texts = scratch.save(found.select("id", "text", F.octet_length("text").alias("bytes")).dropDuplicates(["id"]), "texts")
     links = scratch.save(spark.createDataFrame([], "a bigint, b bigint"), "links")
     component = scratch.save(spark.createDataFrame([], "id bigint, component bigint"), "component")
 
@@ -248,13 +255,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
     mixed = scratch.save(_mixed(posted, texts, component), "mixed")
     links, component, _ = joined(_short_pairs(mixed, own), _long_links(mixed, own, texts))
-    named = reps.select("doc_id", "n_shingles", F.col("id").alias("rep")).join(component.withColumnRenamed("id", "rep"), "rep", "left")
-    full = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    empty = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    named = classes.select("id", "digest", "rep").join(component, "id", "left").select("digest", "rep", F.coalesce("component", "id").alias("c"))
+    least = named.groupBy("c").agg(F.min("rep").alias("least"))
+    of_digest = named.join(least, "c").select("digest", "least")
+    is_least = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key"))
+    full = signed.filter("n_shingles > 0").join(of_digest, "digest").select("doc_id", "text_key", "n_shingles", F.col("least.doc_id").alias("component_id"), is_least.alias("kept"))
+    empty = signed.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return full.unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row."""
+    return _judged(docs).drop("text_key")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of the documents that are kept, with all their columns."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """The rows that are kept, with all their columns."""
+    kept = _judged(docs).filter("kept").select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_text_key")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]) & (content_hash(text_of()) == kept["_text_key"]), "left_semi")

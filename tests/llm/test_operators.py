@@ -319,6 +319,18 @@ def test_near_dedup_of_copies_that_differ(spark):
     assert got == brute_near(rows) and 1 < sum(r[3] for r in got) < len(rows)
 
 
+def test_near_dedup_by_text_where_doc_ids_repeat_or_miss(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    other, third = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    pairs = [(5, base), (5, other), (3, base + " a"), (9, other + " b"), (7, third), (None, third + " c"), (None, "lone text"), (None, "Lone text"), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in pairs], DOCS)
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()]
+    want = [(5, 3, False), (3, 3, True), (5, 5, True), (9, 5, False), (7, 7, True), (None, 7, False), (None, None, True), (None, None, False), (None, None, True)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    left = [(r.doc_id, r.text.lower()) for r in near_dedup.one_of_each(df).collect()]
+    assert sorted(left, key=repr) == sorted([(3, base + " a"), (5, other), (7, third), (None, "lone text"), (None, "")], key=repr)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(30)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
