@@ -14,8 +14,8 @@ Ranks come from sums by bucket of the permutation and a running sum inside each
 rows is no single task's work.  The number of sources must fit the driver: a target needs all their sizes.
 
 Defined results: a null text has size 0; a null source is a source of its own, after all others; a document of size 0 is
-never taken; rows that agree in doc_id, source and size are one document, counted and returned once; an empty table
-gives an empty result; the result depends on the rows and the seed alone.
+never taken; rows that agree in doc_id, source and size are one document, counted and returned once, but rows without
+doc_id only if their texts agree too; an empty table gives an empty result; the result depends on the rows and the seed alone.
 """
 
 from __future__ import annotations
@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.llm.columns import pick, quoted, text_of
+from lexspark.llm.exact_dedup import content_hash
 from lexspark.llm.storage import Scratch
 
 WEIGHTS = (5, 2, 1)
@@ -42,9 +43,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_BLOCKS, MOST_DRAWN = 4096, 10**9
 
 
+def _mark() -> Column:
+    """What tells documents without doc_id apart: a hash of the text, and null for all others."""
+    return F.when(F.col("doc_id").isNull(), content_hash(text_of()))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): the number of words of each document."""
-    return pick(docs, "doc_id", "source", "text").select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("bigint").alias("size")).distinct()
+    """(doc_id, source, size, mark): the number of words of each document."""
+    return pick(docs, "doc_id", "source", "text").select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("bigint").alias("size"), _mark().alias("mark")).distinct()
 
 
 def targets(totals: list[tuple[str | None, int]]) -> list[tuple[str | None, int, float]]:
@@ -100,7 +106,7 @@ def leaves(source: np.ndarray, rank: np.ndarray, quotas: np.ndarray, shards: int
 
 
 def mix_plan(sized: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The plan (doc_id, source, size, block, epoch, words, shard, place) and (source, source_size, target).
+    """The plan (doc_id, source, size, mark, block, epoch, words, shard, place) and (source, source_size, target).
 
     A row of the plan is one taken block: its first ``words`` words, in its ``epoch``-th use; ``place`` orders a shard.
     """
@@ -112,27 +118,27 @@ def mix_plan(sized: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     n_blocks = max(1, sum(n for _, n, _ in goals) // BLOCK_WORDS + sized.count())
     bits = max(0, math.ceil(math.log2(n_blocks / BUCKET_BLOCKS)))
     cut = F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK_WORDS).cast("int"))
-    blocks = sized.filter("size > 0").select("doc_id", "source", "size", F.explode(cut).alias("block"))
+    blocks = sized.filter("size > 0").select("doc_id", "source", "size", "mark", F.explode(cut).alias("block"))
     words = F.least(F.lit(BLOCK_WORDS), F.col("size") - F.col("block") * BLOCK_WORDS).cast("bigint")
-    key = F.xxhash64(F.lit(SEED), "doc_id", "block", "size")
+    key = F.xxhash64(F.lit(SEED), "doc_id", "block", "size", "mark")  # a null mark changes nothing
     keyed = blocks.withColumn("words", words).withColumn("key", key).withColumn("bucket", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("bigint"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("words").alias("w"), F.count("*").alias("c"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("src"), F.col("bucket").alias("bkt"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "block")
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "block", "mark")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = keyed.withColumn("w1", F.sum("words").over(upto) - F.col("words")).withColumn("r1", F.row_number().over(inside) - 1)
     placed = ranked.join(offsets, F.col("source").eqNullSafe(F.col("src")) & (F.col("bucket") == F.col("bkt"))).join(F.broadcast(table.withColumnRenamed("source", "src2")), F.col("source").eqNullSafe(F.col("src2")))
     part = F.greatest(F.lit(0), F.least("words", F.col("rest") - F.col("w0") - F.col("w1")))
-    ordered = scratch.save(placed.select("doc_id", "source", "size", "block", "words", "s", "epochs", (F.col("c0") + F.col("r1")).alias("rank"), part.alias("part")), "blocks")
+    ordered = scratch.save(placed.select("doc_id", "source", "size", "mark", "block", "words", "s", "epochs", (F.col("c0") + F.col("r1")).alias("rank"), part.alias("part")), "blocks")
     counts = {r["s"]: (r["n"], r["p"]) for r in ordered.groupBy("s").agg(F.count("*").alias("n"), F.sum((F.col("part") > 0).cast("bigint")).alias("p")).collect()}
     full = np.array([counts.get(i, (0, 0))[0] for i in range(len(rows))], np.int64)
     quotas = np.array([rows[i][4] * counts.get(i, (0, 0))[0] + counts.get(i, (0, 0))[1] for i in range(len(rows))], np.int64)
     taken_words = sum(round(t) for _, n, t in goals if n)
     shards = max(1, math.ceil(taken_words / SHARD_WORDS))
     every = F.explode(F.when(F.col("epochs") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("epochs") - 1)).otherwise(F.array().cast("array<bigint>")))
-    whole = ordered.select("doc_id", "source", "size", "block", "words", "s", "rank", every.alias("epoch"))
-    partly = ordered.filter("part > 0").select("doc_id", "source", "size", "block", F.col("part").alias("words"), "s", "rank", F.col("epochs").alias("epoch"))
+    whole = ordered.select("doc_id", "source", "size", "mark", "block", "words", "s", "rank", every.alias("epoch"))
+    partly = ordered.filter("part > 0").select("doc_id", "source", "size", "mark", "block", F.col("part").alias("words"), "s", "rank", F.col("epochs").alias("epoch"))
     uses = whole.unionByName(partly)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +147,8 @@ def mix_plan(sized: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
             shard = leaves(s, epoch * full[s] + rank, quotas, shards)
             yield batch.append_column("shard", pa.array(shard)).drop_columns(["s", "rank"])
 
-    kept = "doc_id bigint, source string, size bigint, block int, words bigint, epoch bigint, shard bigint"
-    plan = uses.mapInArrow(run, kept).withColumn("place", F.xxhash64(F.lit(SEED + 1), "shard", "doc_id", "block", "epoch"))
+    kept = "doc_id bigint, source string, size bigint, mark binary, block int, words bigint, epoch bigint, shard bigint"
+    plan = uses.mapInArrow(run, kept).withColumn("place", F.xxhash64(F.lit(SEED + 1), "shard", "doc_id", "block", "epoch", "mark"))
     return plan, table.select("source", "source_size", "target")
 
 
@@ -151,9 +157,9 @@ def mix(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mixing")
     sized = scratch.save(sizes(docs), "sizes")
     plan, goals = mix_plan(sized, scratch)
-    taken = plan.groupBy(F.col("doc_id").alias("d"), F.col("source").alias("src"), F.col("size").alias("n")).agg(F.sum("words").alias("taken"), F.count_distinct("shard").alias("n_shards"))
+    taken = plan.groupBy(F.col("doc_id").alias("d"), F.col("source").alias("src"), F.col("size").alias("n"), F.col("mark").alias("m")).agg(F.sum("words").alias("taken"), F.count_distinct("shard").alias("n_shards"))
     all_ = sized.join(F.broadcast(goals.withColumnRenamed("source", "src2")), F.col("source").eqNullSafe(F.col("src2")))
-    both = all_.join(taken, (F.col("doc_id") == F.col("d")) & F.col("source").eqNullSafe(F.col("src")) & (F.col("size") == F.col("n")), "left")
+    both = all_.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("src")) & (F.col("size") == F.col("n")) & F.col("mark").eqNullSafe(F.col("m")), "left")
     return both.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.coalesce("n_shards", F.lit(0)).alias("n_shards"))
 
 
@@ -175,10 +181,10 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mixing")
     sized = scratch.save(sizes(docs), "sizes")
     plan, _ = mix_plan(sized, scratch)
-    uses = plan.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "epoch").agg(F.sum("words").alias("_taken"), F.collect_list(F.struct("block", "words")).alias("_blocks"))
+    uses = plan.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("mark").alias("_m"), F.col("epoch").alias("_epoch")).agg(F.sum("words").alias("_taken"), F.collect_list(F.struct("block", "words")).alias("_blocks"))
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("bigint")
     names = docs.columns
-    found = docs.withColumn("_size", size).join(uses, (F.col("doc_id") == F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
+    found = docs.withColumn("_size", size).withColumn("_mark", _mark()).join(uses, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")) & F.col("_mark").eqNullSafe(F.col("_m")))
     block_words = BLOCK_WORDS
     cut = F.pandas_udf(lambda t, b: t.combine(b, lambda x, y: _cut(x, [(int(r["block"]), int(r["words"])) for r in y], block_words)), "string")
     whole = found.filter("_taken = _n").select(*[F.col(quoted(c)) for c in names])

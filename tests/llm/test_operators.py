@@ -424,6 +424,22 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_pipeline_stages_keep_documents_without_doc_id(spark):
+    rows = [(None, "a b c", "s1"), (None, "a b c", "s1"), (None, "d e f", "s1"), (1, "g h i", "s2"), (None, "g h i", "s2"), (2, "j k l", "s2")]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], DOCS).withColumn("epoch", F.lit(7))
+    unique = exact_dedup.surviving_rows(df)
+    assert rows_of(unique.select("doc_id", "text", "epoch")) == sorted([(None, "a b c", 7), (None, "d e f", 7), (1, "g h i", 7), (2, "j k l", 7)], key=repr)
+    assert near_dedup.one_of_each(unique).count() == 4
+    plan = Counter()
+    for r in mixing.mix(unique).collect():
+        plan[r.doc_id] += r.taken
+    words = Counter()
+    for r in mixing.mixed_rows(unique).collect():
+        words[r.doc_id] += len(r.text.split())
+        assert r.epoch == 7
+    assert words == plan and abs(sum(plan.values()) - 12) <= 1 and mixing.mix(unique).count() == 4
+
+
 def test_splitting_tree_draws_each_block_once():
     quotas = np.array([50, 7, 0, 43])
     source = np.repeat(np.arange(4), quotas)
