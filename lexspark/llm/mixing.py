@@ -177,18 +177,21 @@ def _cut(text: str, blocks: list, size: int) -> str:
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The mix as rows of documents: one row for each use of a document, with the taken words alone where it is cut."""
+    """The mix as rows of documents, shard by shard and shuffled inside: one row for each use of a document in a shard, with the
+    words that fall there alone where it is cut."""
     scratch = Scratch(docs.sparkSession, "mixing")
     sized = scratch.save(sizes(docs), "sizes")
     plan, _ = mix_plan(sized, scratch)
-    uses = plan.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("mark").alias("_m"), F.col("epoch").alias("_epoch")).agg(F.sum("words").alias("_taken"), F.collect_list(F.struct("block", "words")).alias("_blocks"))
+    uses = plan.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("mark").alias("_m"), F.col("epoch").alias("_epoch"), F.col("shard").alias("_shard")).agg(F.min("place").alias("_place"), F.sum("words").alias("_taken"), F.collect_list(F.struct("block", "words")).alias("_blocks"))
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("bigint")
     names = docs.columns
     found = docs.withColumn("_size", size).withColumn("_mark", _mark()).join(uses, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")) & F.col("_mark").eqNullSafe(F.col("_m")))
     block_words = BLOCK_WORDS
-    cut = F.pandas_udf(lambda t, b: t.combine(b, lambda x, y: _cut(x, [(int(r["block"]), int(r["words"])) for r in y], block_words)), "string")
-    whole = found.filter("_taken = _n").select(*[F.col(quoted(c)) for c in names])
-    parts = found.filter("_taken < _n").withColumn("text", cut("text", "_blocks"))
+    cut = F.pandas_udf(lambda t, b: t.combine(b, lambda x, y: _cut(x, [(int(r["block"]), int(r["words"])) for r in y], block_words) if isinstance(x, str) else None), "string")
+    laid = found.repartitionByRange("_shard", "_place", "_epoch").sortWithinPartitions("_shard", "_place", "_epoch")
+    # Python sees the texts that are cut alone.
+    part = F.col("_taken") < F.col("_n")
+    out = laid.withColumn("text", F.when(part, cut(F.when(part, F.col("text")), F.when(part, F.col("_blocks")))).otherwise(F.col("text")))
     if "n_chars" in names:
-        parts = parts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(parts.select(*[F.col(quoted(c)) for c in names]))
+        out = out.withColumn("n_chars", F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(quoted(c)) for c in names])

@@ -424,6 +424,20 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixed_rows_lie_by_shard_and_place(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1000)
+    df, scratch = docs(spark, texts(9, 40)), Scratch(spark, "mixing")
+    plan, _ = mixing.mix_plan(scratch.save(mixing.sizes(df), "sizes"), scratch)
+    rows = defaultdict(lambda: [math.inf, 0])
+    for r in plan.collect():
+        at = rows[r.shard, r.doc_id, r.epoch]
+        at[0], at[1] = min(at[0], r.place), at[1] + r.words
+    want = [(d, n) for (_, _, _), d, n in sorted(((s, p, e), d, n) for (s, d, e), (p, n) in rows.items())]
+    got = [(r.doc_id, len(WORD.findall(r.text))) for r in mixing.mixed_rows(df).collect()]
+    assert got == want and len({s for s, _, _ in rows}) > 5
+
+
 def test_pipeline_stages_keep_documents_without_doc_id(spark):
     rows = [(None, "a b c", "s1"), (None, "a b c", "s1"), (None, "d e f", "s1"), (1, "g h i", "s2"), (None, "g h i", "s2"), (2, "j k l", "s2")]
     df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], DOCS).withColumn("epoch", F.lit(7))
