@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions.text import nfkc
+
 # Fixed values of the filters.
 STRIPPED = "（）() \n\t「」『』【】、。"
 NUMBERS = r"^[0-9０-９.\-／/]+$"
@@ -47,15 +49,16 @@ class Lists:
 
 
 def candidates(docs: DataFrame, lists: Lists, text: str = "text", whole: bool = False) -> DataFrame:
-    """Distinct (term) of NFKC texts.  Suffix matches give the suffix alone, or with ``whole`` the compound."""
+    """Distinct (term) of the texts in NFKC.  Suffix matches give the suffix alone, or with ``whole`` the compound."""
     either = "|".join(lists.suffixes)
     found = F.concat(
-        F.regexp_extract_all(text, F.lit(f"{lists.run}({either})"), F.lit(0 if whole else 1)),
-        F.regexp_extract_all(text, F.lit(f"({lists.name}{lists.law_ending})"), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(f"({lists.name}{lists.ordinance_ending})"), F.lit(1)),
+        F.regexp_extract_all("nfkc", F.lit(f"{lists.run}({either})"), F.lit(0 if whole else 1)),
+        F.regexp_extract_all("nfkc", F.lit(f"({lists.name}{lists.law_ending})"), F.lit(1)),
+        F.regexp_extract_all("nfkc", F.lit(f"({lists.name}{lists.ordinance_ending})"), F.lit(1)),
     )
+    normal = docs.select(nfkc(F.col(text)).alias("nfkc"))
     bare = F.btrim(F.col("w"), F.lit(STRIPPED))
-    return docs.select(F.explode(F.array_distinct(found)).alias("w")).select(bare.alias("term")).filter(F.length("term").between(2, 50) & ~F.col("term").rlike(NUMBERS)).distinct()
+    return normal.select(F.explode(F.array_distinct(found)).alias("w")).select(bare.alias("term")).filter(F.length("term").between(2, 50) & ~F.col("term").rlike(NUMBERS)).distinct()
 
 
 def _any(c: Column, words: tuple[str, ...], test) -> Column:

@@ -1,4 +1,6 @@
 import math
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +65,17 @@ def test_suffix_matches_alone_or_whole(spark):
     assert {r.term for r in terms.candidates(df, LISTS, whole=True).collect()} >= {"禁止区域を届出", "森林法"}
 
 
+def test_term_candidates_of_compatibility_forms(spark):
+    lists = terms.Lists(("tion",), law_ending="ung", ordinance_ending="able", run="[A-Za-z]+", name="[A-Za-z]+")
+    rows = ["eine ｎａｔｉｏｎ hier", "of ﬁction", "Ord①nung", None, "ａｂｌｅ ｔａｂｌｅ"]
+    got = {r.term for r in terms.candidates(spark.createDataFrame([(t,) for t in rows], "text string"), lists, whole=True).collect()}
+    want = set()
+    for t in rows:
+        for pattern in ("[A-Za-z]+tion", "[A-Za-z]+ung", "[A-Za-z]+able"):
+            want |= set(re.findall(pattern, unicodedata.normalize("NFKC", t or "")))
+    assert got == want == {"nation", "fiction", "nung", "table"}
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "太陽光パネルのABC12。"), (2, None), (3, "")], "d int, text string")
     rows = sorted((r.morpheme_id, r.surface, r.pos1) for r in tokens.morphemes(df, ["d"]).collect())
