@@ -80,6 +80,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def longest_first(words: Column) -> Column:
+    """The distinct words, the longest first, equally long ones by code points."""
+    keyed = F.transform(F.array_distinct(words), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
+    return F.transform(F.array_sort(keyed), lambda x: x["w"])
+
+
 def file_kind(name: Column) -> Column:
     return F.when(name.endswith("_HTML.txt"), "html").when(name.endswith("_PDF.txt"), "pdf")
 

@@ -702,6 +702,12 @@ def longest_first(spark, d):
     return rows.select("source", F.length("s").cast("bigint").alias("n"), "s").orderBy(F.desc("n"), "s", "source").limit(50)
 
 
+@query("SELECT doc_id, string_agg(w, ' ' ORDER BY length(w) DESC, w) AS words FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY doc_id")
+def keywords_longest_first(spark, d):
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(text.longest_first(words), " ").alias("words")).filter("words <> ''")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey % 4 < 2")
 def suspicious_terms(spark, d):
     k = F.col("c_custkey") % 4
