@@ -3,21 +3,29 @@
 A window is WINDOW consecutive words of one document.  Equal windows choose the same anchor, the shingle of ANCHOR words with
 the smallest hash inside them.  An anchor that occurs in several documents has a home: the smallest document that holds
 it and its place there; all other anchors rule out a repeat.  Every document sends the stretches whose windows
-have a repeated anchor to the anchors' homes, neighbouring windows of one home as one stretch.  Stretches with the same words
-are one, with their smallest document, before they are indexed.
+have a repeated anchor to the anchors' homes, neighbouring windows of one home as one stretch.  A task sends the words of
+equal stretches once, with their smallest document.
 
-A shard gathers homes up to SHARD_WORDS words, builds an FM-index over their stretches, and streams the stretches through it
-by backward search over the wavelet matrix.  Matching statistics of WINDOW words or more give, for each window, the smallest
-document in which it starts; windows with a smaller one than their own document are reported as intervals of words.
-Since all documents that hold an anchor meet at its home, no window is missed, and work follows the repeated text.
+A shard gathers homes up to SHARD_WORDS words.  A home's references are the stretches of its smallest document; the shard's
+references are indexed, and the stretches of all other documents are streamed through the index by backward search over
+the wavelet matrix.  Matching statistics of WINDOW words or more are windows that the reference holds first.  What the
+references lack (other documents may share it) is indexed and streamed in a second index of the shard.
+Windows with one owner, the smallest document in which they start, are reported as intervals; a document loses those of a
+smaller owner.  Since all documents that hold an anchor meet at its home, no window is missed, and work follows the
+repeated text.
 
 An anchor that occurs in more than HOT documents is a home by itself, which spreads the homes of large groups of copies.
 
+The first pass over the texts already gives the result of documents that lose nothing.  Texts of the others are joined
+with their intervals; documents that cannot be among them, as no document with intervals has their hash modulo MARKS,
+leave before the shuffle (MARKS bounds the broadcast at any size of the table; with more such documents fewer leave).
+
 Words and shingles are compared by 64-bit hashes; a wrong removal needs a collision between two words at one place of
 two stretches that are otherwise equal.
 
 Defined results: a null text has no words; rows repeated with one doc_id are one document (the stretches of all of them count
-as its own) and each get a row; an empty table gives an empty result; further columns are not read.
+as its own) and each get a row; rows without doc_id take no part and lose nothing; an empty table gives an empty result;
+further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,11 +41,13 @@ from pyspark.sql import functions as F
 from lexspark.llm.columns import pick
 from lexspark.llm.fm_index import FMIndex
 from lexspark.llm.storage import Scratch
-from lexspark.llm.words import U64, Sequences, Words, list_array, slices
+from lexspark.llm.words import U64, Sequences, Words, slices
 
 WINDOW, ANCHOR = 50, 25
 #: Words of a shard, about; words of a document that share a home; documents from which on an anchor is its own home.
 SHARD_WORDS, HOME_WORDS, HOT = 1 << 20, 256, 5_000
+#: Windows of one streamed piece; bytes of words that a task holds back to send equal stretches once; marks of documents.
+PIECE, HELD_BYTES, MARKS = 512, 32 << 20, 1 << 20
 
 
 def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -65,25 +75,33 @@ def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, place): each distinct anchor of each document, with its first place there."""
+    """(doc_id, h, place, n_words, whole_sha256): each distinct anchor of each document, with its first place there; and for each
+    row of docs one with null h that has the number of words and the digest of all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "h", "place", "n_words", "whole_sha256"]
         for batch in batches:
             for rows, data, bounds in slices(batch, "text"):
+                n = rows.num_rows
+                digests = [hashlib.sha256(b" ".join((x.as_py() or "").encode().split())).hexdigest() for x in rows.column(1)]
                 words = Words(data, bounds)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(np.diff(words.first)), pa.array(digests)], names=names)
                 place, hashes = _anchors(words)
                 chosen = np.unique(place[place >= 0])
                 text = np.searchsorted(words.first, chosen, "right") - 1
+                if rows.column(0).null_count:
+                    known = rows.column(0).is_valid().to_numpy(zero_copy_only=False)[text]
+                    text, chosen = text[known], chosen[known]
                 keys = hashes[chosen]
                 order = np.lexsort((chosen, keys, text))
                 text, keys, chosen = text[order], keys[order], chosen[order]
                 new = np.ones(len(text), bool)
                 new[1:] = (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])
                 text, keys, chosen = text[new], keys[new], chosen[new]
-                ids = rows.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text], pa.int64()), pa.array(keys.view(np.int64)), pa.array((chosen - words.first[text]).astype(np.int32))], names=["doc_id", "h", "place"])
+                m = len(text)
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text)), pa.array(keys.view(np.int64)), pa.array((chosen - words.first[text]).astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string())], names=names)
 
-    return docs.mapInArrow(run, "doc_id bigint, h bigint, place int")
+    return docs.mapInArrow(run, "doc_id bigint, h bigint, place int, n_words bigint, whole_sha256 string")
 
 
 def homes(found: DataFrame) -> DataFrame:
@@ -94,12 +112,21 @@ def homes(found: DataFrame) -> DataFrame:
 
 
 def stretches(docs: DataFrame, listed: DataFrame) -> DataFrame:
-    """(home, content, doc_id, begin, words): runs of windows whose anchors have one home.
+    """(home, content, doc_id, begin, words): runs of windows whose anchors have one home, and their contents.
 
-    listed: (doc_id, h, home) as arrays by document.  words: the word hashes, 8 bytes each; content: a hash of them.
+    listed: (doc_id, h, home) as arrays by document.  content: a hash of the words.  Runs have null words; contents have
+    no begin, the smallest document of the task and the word hashes, 8 bytes each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("home", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int32()), ("words", pa.binary())])
+        held: dict[tuple[int, int], list] = {}
+        size = 0
+
+        def contents() -> pa.RecordBatch:
+            rows = [(home, content, doc, None, words) for (home, content), (doc, words) in held.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
         for batch in batches:
             for rows, data, bounds in slices(batch, "text"):
                 words = Words(data, bounds)
@@ -128,17 +155,73 @@ def stretches(docs: DataFrame, listed: DataFrame) -> DataFrame:
                     first, last = lo + windows[cut], lo + windows[stop] + WINDOW
                     content = sequences.at(first, last - first).view(np.int64)
                     for j in range(len(cut)):
-                        out.append((int(to[cut[j]]), int(content[j]), doc, int(first[j] - lo), hashes[first[j] : last[j]].tobytes()))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["home", "content", "doc_id", "begin", "words"])
+                        key = (int(to[cut[j]]), int(content[j]))
+                        out.append((*key, doc, int(first[j] - lo), None))
+                        if (have := held.get(key)) is None:
+                            held[key] = [doc, hashes[first[j] : last[j]].tobytes()]
+                            size += len(held[key][1])
+                        elif doc < have[0]:
+                            have[0] = doc
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                if size >= HELD_BYTES:
+                    yield contents()
+                    held, size = {}, 0
+        if held:
+            yield contents()
 
     return docs.join(listed, "doc_id").select("doc_id", "text", "h", "home").mapInArrow(run, "home bigint, content bigint, doc_id bigint, begin int, words binary")
 
 
-def shard_owners(distinct: DataFrame) -> DataFrame:
-    """(home, content, owners): for each window of each stretch, the smallest document in which it starts.
-
-    distinct: (home, content, doc_id, words).  Partitions are shards of whole homes, indexed SHARD_WORDS words at a time.
+def _pieces(lengths: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences cut into pieces of PIECE windows (a window's other words overlap): symbols, lengths, and the windows of each."""
+    windows = lengths - WINDOW + 1
+    per = -(-windows // PIECE)
+    row = np.repeat(np.arange(len(lengths)), per)
+    offset = (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * PIECE
+    own = np.minimum(PIECE, windows[row] - offset)
+    size = own + WINDOW - 1
+    begin = (np.cumsum(lengths) - lengths)[row] + offset
+    at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+    return symbols[at], size, own
+
+
+def _owners(index: FMIndex, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each window of each sequence, in order: its smallest owner in the index, or -1."""
+    cut, size, own = _pieces(lengths, symbols)
+    _, owner = index.matching_statistics(cut, size)
+    return owner[np.arange(own.sum()) + np.repeat((np.cumsum(size) - size) - (np.cumsum(own) - own), own)]
+
+
+def window_owners(home: np.ndarray, doc: np.ndarray, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each window of each stretch of a shard, in order: the smallest document in which it starts."""
+    _, group = np.unique(home, return_inverse=True)
+    smallest = np.full(group.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(smallest, group, doc)
+    reference = doc == smallest[group]
+    windows = lengths - WINDOW + 1
+    of_symbol, of_window = np.repeat(reference, lengths), np.repeat(reference, windows)
+    out = np.repeat(np.where(reference, doc, -1), windows)
+    if reference.all():
+        return out
+    out[~of_window] = _owners(FMIndex(symbols[of_symbol], lengths[reference], doc[reference], WINDOW), symbols[~of_symbol], lengths[~reference])
+    # Runs of windows that no reference holds, each with the words of its last window.
+    row = np.repeat(np.arange(len(lengths)), windows)
+    open_ = np.flatnonzero(out < 0)
+    if len(open_):
+        cut = np.flatnonzero(np.append(True, (np.diff(open_) != 1) | (np.diff(row[open_]) != 0)))
+        size = np.diff(np.append(cut, len(open_))) + WINDOW - 1
+        first = open_[cut]
+        begin = first - (np.cumsum(windows) - windows)[row[first]] + (np.cumsum(lengths) - lengths)[row[first]]
+        rest = symbols[np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)]
+        out[open_] = _owners(FMIndex(rest, size, doc[row[first]], WINDOW), rest, size)
+    return out
+
+
+def shard_owners(contents: DataFrame) -> DataFrame:
+    """(home, content, begin, end, owner): runs of windows of each stretch with one owner, the smallest document in which they start.
+
+    contents: (home, content, doc_id, words).  Partitions are shards of whole homes, indexed SHARD_WORDS words at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,16 +230,20 @@ def shard_owners(distinct: DataFrame) -> DataFrame:
 
         def answer() -> pa.RecordBatch:
             lengths = np.array([len(x[3]) for x in held], np.int64)
-            symbols = np.concatenate([x[3] for x in held])
-            index = FMIndex(symbols, lengths, np.array([x[2] for x in held], np.int64), WINDOW)
-            owners = index.window_owners(symbols, lengths)
+            home, content, doc = (np.array([x[i] for x in held], np.int64) for i in range(3))
+            owner = window_owners(home, doc, np.concatenate([x[3] for x in held]), lengths)
             windows = lengths - WINDOW + 1
-            begin = np.cumsum(lengths) - lengths
-            keep = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(begin, windows)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), list_array(owners[keep], windows)], names=["home", "content", "owners"])
+            row = np.repeat(np.arange(len(held)), windows)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+            cut = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (row[1:] != row[:-1])))
+            stop = np.append(cut[1:], len(row)) - 1
+            columns = (home[row[cut]], content[row[cut]], at[cut].astype(np.int32), (at[stop] + WINDOW).astype(np.int32), owner[cut])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["home", "content", "begin", "end", "owner"])
 
         for batch in batches:
             for home, content, doc, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if held and held[-1][:2] == (home, content):  # the same from another task; the smallest document came first
+                    continue
                 if size >= SHARD_WORDS and home != held[-1][0]:
                     yield answer()
                     held, size = [], 0
@@ -165,44 +252,26 @@ def shard_owners(distinct: DataFrame) -> DataFrame:
         if held:
             yield answer()
 
-    ordered = distinct.select("home", "content", "doc_id", "words").repartition("home").sortWithinPartitions("home", "content")
-    return ordered.mapInArrow(run, "home bigint, content bigint, owners array<bigint>")
+    ordered = contents.select("home", "content", "doc_id", "words").repartition("home").sortWithinPartitions("home", "content", "doc_id")
+    return ordered.mapInArrow(run, "home bigint, content bigint, begin int, end int, owner bigint")
 
 
-def repeated_intervals(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def repeated_intervals(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, begin, end): intervals of words under windows that start in a smaller document."""
-    found = scratch.save(anchors(docs), "anchors")
-    homes_ = homes(found)
-    listed = found.select("doc_id", "h").join(homes_, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "home")).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.home").alias("home"))
+    keyed = found.filter("h IS NOT NULL").select("doc_id", "h", "place")
+    listed = keyed.select("doc_id", "h").join(homes(keyed), "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "home")).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.home").alias("home"))
     pieces = scratch.save(stretches(docs, listed), "stretches")
-    scratch.drop(found)
-    smallest = pieces.groupBy("home", "content").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
-    owners = shard_owners(smallest)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, begin, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            counts = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(len(doc)), counts)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            hit = np.flatnonzero(flat < doc[row])
-            row, at = row[hit], at[hit]
-            cut = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(at) != 1))) if len(row) else np.zeros(0, np.int64)
-            stop = np.append(cut[1:], len(row)) - 1 if len(cut) else cut
-            lo = begin[row[cut]] + at[cut]
-            hi = begin[row[cut]] + at[stop] + WINDOW
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row[cut]]), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64))], names=["doc_id", "begin", "end"])
-
-    asked = pieces.select("doc_id", "begin", "home", "content").join(owners, ["home", "content"])
-    return asked.select("doc_id", "begin", "owners").mapInArrow(run, "doc_id bigint, begin bigint, end bigint")
+    owners = shard_owners(pieces.filter("words IS NOT NULL")).withColumnsRenamed({"begin": "lo", "end": "hi"})
+    asked = pieces.filter("begin IS NOT NULL").select("doc_id", "begin", "home", "content").join(owners, ["home", "content"]).filter("owner < doc_id")
+    return asked.select("doc_id", (F.col("begin").cast("bigint") + F.col("lo")).alias("begin"), (F.col("begin").cast("bigint") + F.col("hi")).alias("end"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans) for every row; spans: the removed intervals of words."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    spans = scratch.save(repeated_intervals(rows, scratch).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")), "spans")
+    found = scratch.save(anchors(rows), "anchors")
+    spans = scratch.save(repeated_intervals(rows, found, scratch).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans")), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,17 +280,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 words = (texts[i].as_py() or "").encode().split()
                 n = len(words)
-                if own[i].is_valid and n:
-                    kept, at = [], 0
-                    for span in own[i].as_py():
-                        if span["begin"] > at:
-                            kept += words[at : span["begin"]]
-                        at = max(at, span["end"])
-                    words = kept + words[at:]
+                kept, at = [], 0
+                for span in own[i].as_py():
+                    if span["begin"] > at:
+                        kept += words[at : span["begin"]]
+                    at = max(at, span["end"])
+                words = kept + words[at:]
                 n_words.append(n)
                 n_removed.append(n - len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), own], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
 
     span_type = "array<struct<begin:bigint,end:bigint>>"
-    return rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans {span_type}")
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    marked = rows.join(F.broadcast(spans.select(mark.alias("mark")).distinct()), mark == F.col("mark"), "left_semi")
+    cut = marked.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans {span_type}")
+    whole = found.filter("h IS NULL").join(spans.select("doc_id"), "doc_id", "left_anti")
+    return cut.unionByName(whole.select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"), F.lit(None).cast(span_type).alias("spans")))

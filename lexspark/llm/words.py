@@ -83,29 +83,41 @@ class Words:
         self.ends = np.flatnonzero(last) + 1
         self.first = np.searchsorted(self.starts, bounds)  # text d has words first[d]:first[d + 1]
 
-    def _coded(self) -> np.ndarray:
+    def _coded(self, begin: int, end: int) -> np.ndarray:
         codes = _CODES.copy()
         codes[self.separators] = 0
-        return codes[self.data] * _BYTES.get(len(self.data))[0]
+        return codes[self.data[begin:end]] * _BYTES.get(end - begin)[0]
+
+    def _parts(self) -> Iterator[tuple[int, int]]:
+        """Ranges of words that cover about SLICE_BYTES each, so that arrays of 8 bytes for a byte of text stay small."""
+        i = 0
+        while i < len(self.starts):
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + SLICE_BYTES, "right")))
+            yield i, j
+            i = j
 
     def hashes(self) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, U64)
-        sums = np.add.reduceat(self._coded(), self.starts)
-        return mix(sums * _BYTES.get(len(self.data))[1][self.starts] + (self.ends - self.starts).astype(U64))
+        out = np.empty(len(self.starts), U64)
+        for i, j in self._parts():
+            low, high = int(self.starts[i]), int(self.ends[j - 1])
+            at = self.starts[i:j] - low
+            sums = np.add.reduceat(self._coded(low, high), at)
+            out[i:j] = mix(sums * _BYTES.get(high - low)[1][at] + (self.ends[i:j] - self.starts[i:j]).astype(U64))
+        return out
 
     def prefix_hashes(self, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each length: indexes of the words longer than it, and hashes of their first bytes."""
-        if not len(self.starts):
-            return [(np.zeros(0, np.int64), np.zeros(0, U64)) for _ in lengths]
-        total = np.zeros(len(self.data) + 1, U64)
-        np.cumsum(self._coded(), out=total[1:])
-        down, size, out = _BYTES.get(len(self.data))[1], self.ends - self.starts, []
-        for n in lengths:
-            at = np.flatnonzero(size > n)
-            s = self.starts[at]
-            out.append((at, mix((total[s + n] - total[s]) * down[s] + U64(n << 32))))
-        return out
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[(np.zeros(0, np.int64), np.zeros(0, U64))] for _ in lengths]
+        for i, j in self._parts():
+            low, high = int(self.starts[i]), int(self.ends[j - 1])
+            total = np.zeros(high - low + 1, U64)
+            np.cumsum(self._coded(low, high), out=total[1:])
+            down, size = _BYTES.get(high - low)[1], self.ends[i:j] - self.starts[i:j]
+            for parts, n in zip(found, lengths, strict=True):
+                at = np.flatnonzero(size > n)
+                s = self.starts[i:j][at] - low
+                parts.append((at + i, mix((total[s + n] - total[s]) * down[s] + U64(n << 32))))
+        return [(np.concatenate([a for a, _ in parts]), np.concatenate([h for _, h in parts])) for parts in found]
 
 
 class Sequences:

@@ -88,12 +88,65 @@ def test_fm_index_counts_like_search():
         p = rng.integers(1, 6, rng.integers(1, 7)).astype(np.uint64)
         want = sum(1 for s in parts for i in range(len(s) - len(p) + 1) if (s[i : i + len(p)] == p).all())
         assert index.count(p) == want
-    owners = np.split(index.window_owners(symbols, lengths), np.cumsum(lengths)[:-1])
-    for s, got in zip(parts, owners, strict=True):
-        for i in range(len(s)):
-            w = s[i : i + 6]
-            holders = [o for o, q in zip([7, 3, 5, 1], parts, strict=True) if any(np.array_equal(q[j : j + 6], w) for j in range(len(q) - 5))]
-            assert got[i] == (min(holders) if len(w) == 6 else -1)
+
+
+@pytest.mark.parametrize("depth", [2, 6, 8, 13])
+def test_matching_statistics_like_search(depth):
+    """Of sequences that the index does not hold: each position's longest match, up to the depth, and the owner of whole windows."""
+    rng = np.random.default_rng(depth)
+    lengths, streamed, owners = np.array([40, 1, 17, 60, 33]), np.array([30, 5, 80, 1]), np.array([7, 3, 5, 1, 9])
+    for sigma in (3, 5, 9):
+        symbols, other = (rng.integers(1, sigma, n).astype(np.uint64) for n in (lengths.sum(), streamed.sum()))
+        for _ in range(8):
+            n, a, b = rng.integers(3, 25), rng.integers(0, lengths.sum() - 25), rng.integers(0, streamed.sum() - 25)
+            other[b : b + n] = symbols[a : a + n]
+        other[rng.integers(0, len(other), 4)] = 99
+        index = FMIndex(symbols, lengths, owners, depth)
+        size, owner = index.matching_statistics(other, streamed)
+        first = {}
+        for o, s in zip(owners.tolist(), np.split(symbols, np.cumsum(lengths)[:-1]), strict=True):
+            for i in range(len(s)):
+                for n in range(1, min(depth, len(s) - i) + 1):
+                    key = tuple(s[i : i + n])
+                    first[key] = min(first.get(key, o), o)
+        at = 0
+        for s in np.split(other, np.cumsum(streamed)[:-1]):
+            for i in range(len(s)):
+                want = max((n for n in range(1, min(depth, len(s) - i) + 1) if tuple(s[i : i + n]) in first), default=0)
+                assert size[at + i] == want and owner[at + i] == (first[tuple(s[i : i + depth])] if want == depth else -1)
+            at += len(s)
+
+
+def shard_rows(seed=3):
+    """Stretches of three homes; documents copy parts of the home's first one and of one another."""
+    rng = np.random.default_rng(seed)
+    home, doc, parts = [], [], []
+    for h in range(3):
+        base = rng.integers(0, 1 << 40, 300).astype(np.uint64)
+        for d in range(5):
+            own = base[rng.integers(0, 100) : rng.integers(180, 300)].copy()
+            own[rng.integers(0, len(own), d % 3)] = rng.integers(0, 1 << 40)
+            if d > 2:
+                own[20:140] = parts[-1][:120]
+            home.append(h), doc.append(int(rng.integers(0, 50))), parts.append(own)
+    return np.array(home), np.array(doc), parts
+
+
+def test_window_owners_and_their_search(monkeypatch):
+    home, doc, parts = shard_rows()
+    lengths, symbols = np.array([len(x) for x in parts]), np.concatenate(parts)
+    first = {}
+    for d, s in sorted(zip(doc.tolist(), parts, strict=True), key=lambda x: x[0]):
+        for i in range(len(s) - 49):
+            first.setdefault(s[i : i + 50].tobytes(), d)
+    want = [first[s[i : i + 50].tobytes()] for s in parts for i in range(len(s) - 49)]
+    assert substring_dedup.window_owners(home, doc, symbols, lengths).tolist() == want
+    monkeypatch.setattr(substring_dedup, "PIECE", 7)
+    assert substring_dedup.window_owners(home, doc, symbols, lengths).tolist() == want
+    # The owners come from backward search: with a rank that is off, they are lost.
+    right = FMIndex.step
+    monkeypatch.setattr(FMIndex, "step", lambda self, code, begin, end: tuple(np.maximum(0, x - 1) for x in right(self, code, begin, end)))
+    assert substring_dedup.window_owners(home, doc, symbols, lengths).tolist() != want
 
 
 def brute_substrings(rows):
@@ -122,6 +175,10 @@ def test_substring_dedup_empty_and_repeated(spark):
     assert substring_dedup.without_repeats(docs(spark, []).limit(0)).count() == 0
     twice = docs(spark, [texts(2)[0]]).unionByName(docs(spark, [texts(2)[0]]))
     assert [r.n_removed for r in substring_dedup.without_repeats(twice).collect()] == [0, 0]
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(None, passage), (4, passage), (2, passage + " a"), (4, passage + " b"), (None, passage)], "doc_id bigint, text string")
+    got = [(r.doc_id, r.n_removed) for r in substring_dedup.without_repeats(rows).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 0), (None, 0), (2, 0), (4, 60), (4, 60)], key=repr)
 
 
 def test_substring_dedup_slices_of_few_words(spark):
