@@ -23,3 +23,8 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def text_of(name: str = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(quoted(name)), F.lit(""))
+
+
+def positional(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """All columns as c0, c1, ..., so that columns of ours cannot clash with theirs; and what these names (the first of each) are called."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(n)}" for n in names]

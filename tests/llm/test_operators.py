@@ -57,7 +57,7 @@ def docs(spark, rows=None):
 def clashing(df):
     """The same rows with columns whose names clash with those of the operators."""
     extra = df
-    for c in ("h", "id", "n", "a", "b", "component", "list", "spans", "rank", "words", "TEXT2", "keep_id"):
+    for c in ("h", "id", "n", "a", "b", "component", "list", "spans", "rank", "words", "TEXT2", "keep_id", "mark", "kept", "text_key", "rest", "t", "_size", "_d"):
         extra = extra.withColumn(c, F.lit("x"))
     return extra
 
@@ -511,6 +511,43 @@ def test_pipeline_stages_keep_documents_without_doc_id(spark):
     assert words == plan and abs(sum(plan.values()) - 12) <= 1 and mixing.mix(unique).count() == 4
 
 
+def test_mixing_needs_its_tree(spark, monkeypatch):
+    """What is taken is what the leaves draw: a walk that lets every block in takes too much."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 40)
+    df = docs(spark, texts(9, 40))
+    want = rows_of(mixing.mix(df))
+    monkeypatch.setattr(mixing, "leaves", lambda source, rank, quotas, shards: np.zeros(len(source), np.int64))
+    assert sum(r[4] for r in rows_of(mixing.mix(df))) > 1.1 * sum(r[4] for r in want)
+
+
+def test_mixing_of_repeated_rows(spark):
+    rows = [(1, "a b c", "s1"), (1, "a b c", "s1"), (1, "a b d", "s1"), (2, "e f", "s1"), (3, "g h i j", "s2"), (None, "k l", "s2"), (None, "k l", "s2"), (None, "m n", "s2")]
+    df = spark.createDataFrame([(i, t, "en", s, k) for k, (i, t, s) in enumerate(rows)], DOCS)
+    df = df.withColumn("size", F.lit("x")).withColumn("mark", F.lit("y")).withColumn("shard", F.lit(1)).withColumn("c0", F.lit(2))
+    planned, mixed = Counter(), Counter()
+    for r in mixing.mix(df).collect():
+        planned[r.doc_id] += r.taken
+    out = mixing.mixed_rows(df)
+    for r in out.collect():
+        mixed[r.doc_id] += len(r.text.split())
+    assert mixed == planned and out.columns == df.columns
+    assert sorted((r[0], r[1]) for r in rows_of(mixing.mix(df)) if r[0] == 1) == [(1, 3), (1, 3)] and mixing.mix(df).count() == 6
+
+
+def test_hypergeometric_draws():
+    """The own sampler has numpy's distribution where both work, and draws beyond numpy's bound."""
+    rng, other = np.random.default_rng(1), np.random.default_rng(2)
+    for good, bad, size in ((30, 50, 20), (5, 100, 60), (1000, 10, 900), (3, 2, 5), (0, 7, 3)):
+        got = np.array([mixing.hypergeometric(rng, good, bad, size) for _ in range(4000)])
+        want = other.hypergeometric(good, bad, size, 4000)
+        assert got.min() >= max(0, size - bad) and got.max() <= min(good, size)
+        assert abs(got.mean() - want.mean()) < 0.15 * max(0.5, want.std()) and abs(got.std() - want.std()) < 0.1 * max(0.5, want.std())
+    quotas = np.array([7 * 10**9, 4 * 10**9, 0, 5])
+    draws = np.array([mixing._draw(quotas, 5_500_000_000, (k, 0)) for k in range(6)])
+    assert (draws.sum(1) == 5_500_000_000).all() and (draws <= quotas).all() and len(set(draws[:, 0].tolist())) == 6
+    assert (abs(draws[:, 0] - 3.5e9) < 8 * math.sqrt(5.5e9 * (7 / 11) * (4 / 11) / 2)).all()
+
+
 def test_splitting_tree_draws_each_block_once():
     quotas = np.array([50, 7, 0, 43])
     source = np.repeat(np.arange(4), quotas)
@@ -519,6 +556,7 @@ def test_splitting_tree_draws_each_block_once():
     assert [(out == j).sum() for j in range(6)] == [(j + 1) * 100 // 6 - j * 100 // 6 for j in range(6)]
     again = np.concatenate([mixing.leaves(source[k : k + 9], rank[k : k + 9], quotas, 6) for k in range(0, 100, 9)])
     assert (out == again).all() and len(set(out[source == 0])) > 1
+    assert mixing.leaves(np.array([1, 1, 2]), np.array([6, 7, 0]), quotas, 6)[1:].tolist() == [-1, -1]
 
 
 def test_pieces_equal_the_library(spark):
