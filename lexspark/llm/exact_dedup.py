@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.columns import pick, quoted, text_of
+from lexspark.llm.columns import pick, positional, text_of
 from lexspark.llm.storage import Scratch
 
 
@@ -46,7 +46,8 @@ def exact_dedup(docs: DataFrame, hash_of: Callable[[Column], Column] = content_h
 
 def surviving_rows(docs: DataFrame, hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
     """The rows that stay, with all their columns: of equal texts the one with the largest doc_id (any other before null), once."""
-    names, rest = docs.columns, [c for c in docs.columns if c != "text"]
-    packed = docs.select(text_of().alias("t"), F.col("doc_id").alias("id"), F.struct(*[F.col(quoted(c)) for c in rest], F.col("text").isNull().alias("text")).alias("rest"))
+    rows, (doc_id, text) = positional(docs, "doc_id", "text")
+    rest = F.struct(*[F.col(c) for c in rows.columns if c != text], F.col(text).isNull().alias(text)).alias("rest")
+    packed = rows.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(doc_id).alias("id"), rest)
     best = packed.groupBy(hash_of(F.col("t")).alias("h"), "t").agg(F.max_by("rest", F.struct(F.col("id").isNotNull(), "id")).alias("rest"))
-    return best.select(*[F.when(~F.col("rest.text"), F.col("t")).alias(c) if c == "text" else F.col(f"rest.{quoted(c)}").alias(c) for c in names])
+    return best.select(*[F.when(~F.col(f"rest.{text}"), F.col("t")).alias(c) if c == text else F.col(f"rest.{c}") for c in rows.columns]).toDF(*docs.columns)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.columns import pick, text_of
+from lexspark.llm.columns import pick, positional, text_of
 from lexspark.llm.components import components
 from lexspark.llm.exact_dedup import content_hash
 from lexspark.llm.storage import Scratch
@@ -271,5 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows that are kept, with all their columns."""
-    kept = _judged(docs).filter("kept").select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_text_key")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]) & (content_hash(text_of()) == kept["_text_key"]), "left_semi")
+    kept = _judged(docs).filter("kept").select(F.col("doc_id").alias("kept"), "text_key").distinct()
+    rows, (doc_id, text) = positional(docs, "doc_id", "text")
+    own = content_hash(F.coalesce(F.col(text), F.lit("")))
+    return rows.join(kept, F.col(doc_id).eqNullSafe(F.col("kept")) & (own == F.col("text_key")), "left_semi").toDF(*docs.columns)
