@@ -233,8 +233,58 @@ def test_token_ledger(spark):
         got[r.source, r.lang, r.tokenizer, "docs"], got[r.source, r.lang, r.tokenizer, "tokens"] = r.n_docs, r.n_tokens
     assert got == want
     before = rows_of(ledger.totals())
-    ledger.fold("all")
+    ledger.fold()
     assert rows_of(ledger.totals()) == before
+    # A replay after folding, and by a driver that starts anew, changes nothing.
+    again = token_counts.TokenLedger(spark, ledger.root)
+    assert not ledger.commit("load", inserts=words) and not again.commit("gone", deletes=words)
+    assert rows_of(again.totals()) == before
+
+
+def test_token_ledger_survives_lost_drivers(spark, monkeypatch):
+    rows = token_counts.count_words(docs(spark, ["a b c", "d e", None, ""]), "w", r"\w+")
+    assert token_counts.count_words(docs(spark, []).limit(0), "w", r"\w+").count() == 0
+    ledger = token_counts.TokenLedger(spark, Scratch(spark, "ledger").root)
+    total = lambda: sum(r.n_tokens for r in token_counts.TokenLedger(spark, ledger.root).totals().collect())
+    publish = token_counts.TokenLedger._publish
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with pytest.raises(ValueError):
+        ledger.commit("nothing")
+    # Lost after the table was written and before the manifest: not committed, and the replay counts once.
+    monkeypatch.setattr(token_counts.TokenLedger, "_publish", lost)
+    with pytest.raises(RuntimeError):
+        ledger.commit("one", inserts=rows)
+    assert total() == 0 and not ledger.committed("one")
+    monkeypatch.setattr(token_counts.TokenLedger, "_publish", publish)
+    assert ledger.commit("one", inserts=rows) and total() == 5
+    assert ledger.commit("twice", inserts=rows.unionByName(rows)) and total() == 15
+    # Lost while folding, before and after the manifest.
+    monkeypatch.setattr(token_counts.TokenLedger, "_publish", lost)
+    with pytest.raises(RuntimeError):
+        ledger.fold()
+    assert total() == 15
+    monkeypatch.setattr(token_counts.TokenLedger, "_publish", publish)
+    monkeypatch.setattr(token_counts, "delete", lost)
+    with pytest.raises(RuntimeError):
+        ledger.fold()
+    monkeypatch.undo()
+    assert total() == 15 and not ledger.commit("one", inserts=rows)
+    # Another writer takes the version first: this one reads again.
+    other, raced = token_counts.TokenLedger(spark, ledger.root), []
+
+    def late(self, version, batches, tables):
+        if not raced:
+            raced.append(publish(other, version, [*batches[:-1], "three"], tables[:-1]))
+        return publish(self, version, batches, tables)
+
+    monkeypatch.setattr(token_counts.TokenLedger, "_publish", late)
+    assert ledger.commit("four", inserts=rows) and raced == [True]
+    assert ledger.manifest()["batches"] == ["one", "twice", "three", "four"] and total() == 20
+    ledger.clean()
+    assert total() == 20 and len(ledger._names("tables")) == len(ledger.manifest()["tables"]) == 2
 
 
 def brute_vectors(rows):
