@@ -5,12 +5,15 @@ classes by their ending, so that emissions of a state have a bounded size while
 corpus, stay a distributed table.  An end token, a class of its own, closes every text.
 
 Training: word counts of all training documents are summed by a shuffle of per-slice counts.  Baum-Welch runs first over
-a bounded sample, to leave the symmetric start, and then over every training document: each task adds up its expected
-counts and the driver sees only their sums (states x classes numbers).  For training, texts are cut into
-segments of SEGMENT tokens that start anew, which lets thousands of them run in step; scoring runs over whole texts.
+a bounded sample (SAMPLE_DOCS documents, SAMPLE_ROUNDS rounds), to leave the symmetric start, and then FULL_ROUNDS rounds over
+every training document: each task adds up its expected counts and the driver sees only their sums (states x classes numbers).
 
-Scoring: the scaled forward recursion gives the exact probability of the classes; words given their classes add their
-terms.  Counts of frequent words (a table of bounded size) are looked up in place; all others go by a join on the word.
+A text is worked on in segments of SEGMENT tokens, so that thousands of segments run in step.  Nothing is cut: each
+segment of a long text first gets its transfer matrix (the scaled product of moves and emissions); from these follow the
+exact forward message that enters each segment and the backward message that comes back from those after it.
+
+Scoring: the scaled forward recursion, over segments in the same way, gives the exact probability of the classes; words given
+their classes add their terms.  Counts of frequent words (a table of bounded size) are looked up in place; all others go by a join on the word.
 
 Words are known by 64-bit hashes; among 10**8 distinct words a single collision has a chance of 1 in 3,000.
 
@@ -26,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +41,12 @@ STATES = 8
 OWN_CLASSES, ENDINGS = 1024, 1024
 CLASSES = OWN_CLASSES + ENDINGS + 1
 END = CLASSES - 1
-SEGMENT = 256
+SEGMENT, AT_ONCE = 256, 4096
 SAMPLE_DOCS, SAMPLE_ROUNDS, FULL_ROUNDS = 2_000, 8, 2
 #: Words whose counts each task holds, at most; the rest are joined.
 FREQUENT = 1 << 18
 ADD = 0.1
-TRAIN_BYTES, SCORE_BYTES = 2 << 20, 6 << 20
+TRAIN_BYTES, SCORE_BYTES = 2 << 20, 2 << 20
 
 
 def held_out(doc_id):
@@ -136,44 +140,113 @@ def _steps(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-length[order], -np.arange(top), "left")
 
 
-def expected_counts(model: Hmm, classes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over sequences (ranges of classes) of expected starts, moves and emissions."""
+def segments(begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, place in it, begin, length) of the segments of sequences, in order."""
+    parts = -(-length // SEGMENT)
+    seq = np.repeat(np.arange(len(length)), parts)
+    place = np.arange(len(seq)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return seq, place, begin[seq] + place * SEGMENT, np.minimum(SEGMENT, length[seq] - place * SEGMENT)
+
+
+def transfers(model: Hmm, classes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment the product over its tokens of diag(emission) @ move, scaled, and log10 of the scale."""
+    s = model.move.shape[0]
+    order, active = _steps(length)
+    at, out, logs = begin[order], np.tile(np.eye(s), (len(begin), 1, 1)), np.zeros(len(begin))
+    for t, k in enumerate(active.tolist()):
+        now = out[:k]
+        now *= model.emit[classes[at[:k] + t]][:, None, :]
+        now = now @ model.move
+        top = now.max((1, 2))
+        out[:k] = now / top[:, None, None]
+        logs[:k] += np.log10(top)
+    back, log = np.empty_like(out), np.empty_like(logs)
+    back[order], log[order] = out, logs
+    return back, log
+
+
+def messages(model: Hmm, classes: np.ndarray, seq: np.ndarray, place: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each segment: the distribution of its first state given the tokens before it, the chances of all tokens after it
+    given the state that follows its last (scaled), and log10 of the chance of the sequence up to its begin."""
+    s, n = model.move.shape[0], len(seq)
+    into, after, log = np.tile(model.start, (n, 1)), np.ones((n, s)), np.zeros(n)
+    long = np.flatnonzero((place > 0) | (np.append(place[1:], 0) > 0))  # segments of sequences with several
+    if not len(long):
+        return into, after, log
+    through, scale = transfers(model, classes, begin[long], length[long])
+    spot = np.full(n, -1)
+    spot[long] = np.arange(len(long))
+    top = int(place.max())
+    by_place = np.argsort(place, kind="stable")
+    edge = np.searchsorted(place[by_place], np.arange(top + 2))
+    for p in range(1, top + 1):
+        here = by_place[edge[p] : edge[p + 1]]
+        entered = np.einsum("ns,nst->nt", into[here - 1], through[spot[here - 1]])
+        total = entered.sum(1)
+        into[here] = entered / total[:, None]
+        log[here] = log[here - 1] + scale[spot[here - 1]] + np.log10(total)
+    for p in range(top, 0, -1):
+        here = by_place[edge[p] : edge[p + 1]]
+        came = np.einsum("nst,nt->ns", through[spot[here]], after[here])
+        after[here - 1] = came / came.max(1, keepdims=True)
+    return into, after, log
+
+
+def _segment_counts(model: Hmm, classes: np.ndarray, begin: np.ndarray, length: np.ndarray, into: np.ndarray, after: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of segments with their messages; first, last: whether a segment opens or closes its sequence."""
     s = model.move.shape[0]
     order, active = _steps(length)
     at, n, top = begin[order], len(begin), len(active)
-    alpha = np.zeros((top, n, s))
-    scale = np.ones((top, n))
-    now = model.start * model.emit[classes[at[: active[0]]]]
-    for t in range(top):
-        k = active[t]
+    into, after, first, last = into[order], after[order], first[order], last[order]
+    alpha, scale = [np.zeros((0, s))] * top, [np.ones(0)] * top
+    now = into * model.emit[classes[at]]
+    for t, k in enumerate(active.tolist()):
         if t:
-            now = (alpha[t - 1, :k] @ model.move) * model.emit[classes[at[:k] + t]]
-        total = now.sum(1)
-        scale[t, :k] = total
-        alpha[t, :k] = now / total[:, None]
-    moves, gamma = np.zeros((s, s)), np.zeros((CLASSES, s))
-    beta = np.ones((n, s))
-    places, weights = [], []
+            now = (alpha[t - 1][:k] @ model.move) * model.emit[classes[at[:k] + t]]
+        scale[t] = now.sum(1)
+        alpha[t] = now / scale[t][:, None]
+    moves, gamma, final = np.zeros((s, s)), np.zeros((CLASSES, s)), np.empty((n, s))
+    for t, k in enumerate(active.tolist()):
+        ends = np.arange(active[t + 1] if t + 1 < top else 0, k)
+        final[ends] = alpha[t][ends]
+    # beta: chances of what follows a place, so scaled that alpha * beta is the distribution of its state.
+    ahead = after @ model.move.T
+    total = (final * ahead).sum(1)
+    beta = np.where(last[:, None], 1.0, ahead / total[:, None])
+    moves += ((final / total[:, None])[~last].T @ after[~last]) * model.move  # from a segment's end to the next one's begin
     for t in range(top - 1, -1, -1):
         k = active[t]
         if t + 1 < top and (j := active[t + 1]):
-            ahead = beta[:j] * model.emit[classes[at[:j] + t + 1]] / scale[t + 1, :j, None]
-            moves += (alpha[t, :j].T @ ahead) * model.move
-            beta[:j] = ahead @ model.move.T
-        g = alpha[t, :k] * beta[:k]
-        places.append(classes[at[:k] + t])
-        weights.append(g)
-    where, w = np.concatenate(places), np.concatenate(weights)
+            onward = beta[:j] * model.emit[classes[at[:j] + t + 1]] / scale[t + 1][:, None]
+            moves += (alpha[t][:j].T @ onward) * model.move
+            beta[:j] = onward @ model.move.T
+        alpha[t] *= beta[:k]
+    where, weight = np.concatenate([classes[at[:k] + t] for t, k in enumerate(active.tolist())]), np.concatenate(alpha)
     for i in range(s):
-        gamma[:, i] = np.bincount(where, w[:, i], CLASSES)
-    return weights[-1].sum(0), moves, gamma
+        gamma[:, i] = np.bincount(where, weight[:, i], CLASSES)
+    return alpha[0][first].sum(0), moves, gamma
+
+
+def expected_counts(model: Hmm, classes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over sequences (ranges of classes) of expected starts, moves and emissions; AT_ONCE segments are held at a time."""
+    seq, place, begin, length = segments(begin, length)
+    into, after, _ = messages(model, classes, seq, place, begin, length)
+    first, last = place == 0, np.append(place[1:], 0) == 0
+    parts = [slice(i, i + AT_ONCE) for i in range(0, len(seq), AT_ONCE)]
+    sums = [_segment_counts(model, classes, begin[p], length[p], into[p], after[p], first[p], last[p]) for p in parts]
+    return tuple(np.sum(x, axis=0) for x in zip(*sums, strict=True))
 
 
 def log10_likelihood(model: Hmm, classes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The scaled forward recursion over whole sequences."""
+    n = len(begin)
+    seq, place, begin, length = segments(begin, length)
+    into, _, log = messages(model, classes, seq, place, begin, length)
+    last = np.append(place[1:], 0) == 0
+    into, log, begin, length = into[last], log[last], begin[last], length[last]
     order, active = _steps(length)
-    at, out = begin[order], np.zeros(len(begin))
-    now = model.start * model.emit[classes[at]]
+    at, out = begin[order], np.zeros(n)
+    now = into[order] * model.emit[classes[at]]
     for t, k in enumerate(active.tolist()):
         now = now[:k]
         if t:
@@ -181,9 +254,9 @@ def log10_likelihood(model: Hmm, classes: np.ndarray, begin: np.ndarray, length:
         total = now.sum(1)
         out[:k] += np.log10(total)
         now /= total[:, None]
-    back = np.empty(len(begin))
+    back = np.empty(n)
     back[order] = out
-    return back
+    return back + log
 
 
 def _sequences(words: Words, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,19 +268,17 @@ def _sequences(words: Words, classes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, begin, counts + 1
 
 
-def baum_welch(training: DataFrame, model: Hmm, frequent: Frequent) -> Hmm:
-    """One round over all rows: expected counts of the tasks are summed by Spark, then normalised."""
+def baum_welch(training: DataFrame, model: Hmm, known: Broadcast) -> Hmm:
+    """One round over all rows: expected counts of the tasks are summed by Spark, then normalised.  known: the frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = None
+        sums, frequent = None, known.value
         for batch in batches:
             for _, data, bounds in slices(batch, "text", TRAIN_BYTES):
                 words = Words(data, bounds, lower=True)
                 at, there = frequent.find(words.hashes())
                 classes, begin, length = _sequences(words, frequent.classes(words, at, there))
-                parts = -(-length // SEGMENT)
-                offset = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * SEGMENT
-                starts, moves, gamma = expected_counts(model, classes, np.repeat(begin, parts) + offset, np.minimum(SEGMENT, np.repeat(length, parts) - offset))
+                starts, moves, gamma = expected_counts(model, classes, begin, length)
                 flat = np.concatenate([starts, moves.ravel(), gamma.ravel()])
                 sums = flat if sums is None else sums + flat
         if sums is not None:
@@ -242,20 +313,21 @@ def score_texts(docs: DataFrame) -> DataFrame:
         for r in counts.join(F.broadcast(ids), "h").collect():
             n_of[r["class"]] -= r["c"]
             v_of[r["class"]] -= 1
-    model = first_guess()
+    model, known = first_guess(), docs.sparkSession.sparkContext.broadcast(frequent)
     if ends:
         picked = training.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
         sample = scratch.save(training.join(F.broadcast(picked.distinct()), "doc_id"), "sample")
         for _ in range(SAMPLE_ROUNDS):
-            model = baum_welch(sample, model, frequent)
+            model = baum_welch(sample, model, known)
         for _ in range(FULL_ROUNDS):
-            model = baum_welch(training, model, frequent)
+            model = baum_welch(training, model, known)
     # log10 P(word | class) is log10(c + ADD) - of_class; classes of one word give 0.
     of_class = np.log10(n_of + ADD * (v_of + 1))
     trained = bool(ends)
     base_bottom = float(np.log10(tokens + ADD * (distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = known.value
         for batch in batches:
             for part, data, bounds in slices(batch, "text", SCORE_BYTES):
                 words = Words(data, bounds, lower=True)
