@@ -1,10 +1,11 @@
 """Toxicity: a counterfactually regularised logistic classifier over words and word beginnings.
 
 Features of a text are the sets of its words (runs of letters, lower-cased) and of their first 4, 5 and 6 bytes.  From a
-bounded sample of labelled rows, copies counted once, the features that speak most for a label are chosen, and a
+bounded sample of labelled rows, copies counted once, the features that speak most for or against the label are chosen, and a
 logistic model is fitted on which of them a text holds.  In every labelled text that holds an identity term, the term
 is swapped for each other term of its set; the model pays for the squared change of its score, so that what tells
-groups apart weighs nothing by itself and neutral mentions of a group stay low.
+groups apart weighs nothing by itself and neutral mentions of a group stay low.  Tasks add up the products of these changes, so
+the driver gets one FEATURES x FEATURES matrix, however many swaps there are.
 
 Scoring reads whole texts, batch by batch, without a shuffle; labels, lang, source and doc_id are no inputs.
 
@@ -127,11 +128,11 @@ def _swapped(text: str) -> list[str]:
 _ANY_TERM = re.compile(r"(?<!\w)(?:" + "|".join(t for terms in IDENTITY_TERMS for t in terms) + r")(?!\w)", re.IGNORECASE)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, changes: np.ndarray) -> tuple[np.ndarray, float]:
-    """Newton steps for log loss + ridge + squared changes of score under swaps."""
+def _fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray) -> tuple[np.ndarray, float]:
+    """Newton steps for log loss + ridge + squared changes of score under swaps; swaps: the sum of the changes' outer products."""
     n, k = x.shape
     w, b = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
-    penalty = RIDGE * np.eye(k) + (2 * FAIRNESS * changes.T @ changes if len(changes) else 0)
+    penalty = RIDGE * np.eye(k) + 2 * FAIRNESS * swaps
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         gradient = np.append(x.T @ (p - y) + penalty @ w, (p - y).sum())
@@ -178,35 +179,39 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     rate = both["n_toxic"] / both["n"]
     seen = sample.mapInArrow(counts, "f bigint, n_toxic bigint, n bigint").groupBy("f").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TEXTS)
     z = (F.col("n_toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    best = seen.withColumn("z", z).filter("z > 4").orderBy(F.desc("z"), "f").limit(FEATURES).select("f").toPandas()
+    best = seen.withColumn("z", z).filter("abs(z) > 4").orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).select("f").toPandas()
     hashes = best["f"].to_numpy(np.int64).view(U64)
     if not len(hashes):
         return ToxicityModel(bias=float(np.log(rate / (1 - rate))))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, index = _Table(hashes), {int(h): i for i, h in enumerate(hashes)}
+        table = _Table(hashes)
         for batch in batches:
             for rows, data, bounds in slices(batch, "text"):
                 text, feature = table.hits(data, bounds)
-                yield pa.RecordBatch.from_arrays([rows.column(0), list_array(feature.astype(np.int32), np.bincount(text, minlength=rows.num_rows)), pa.array([False] * rows.num_rows)], names=["toxic", "features", "is_change"])
-                for value in rows.column(1):
-                    whole = value.as_py()
-                    if _ANY_TERM.search(whole):
-                        own = _feature_set(whole)
-                        for other in map(_feature_set, _swapped(whole)):
-                            change = [index[h] + 1 for h in other - own if h in index] + [-index[h] - 1 for h in own - other if h in index]
-                            if change:
-                                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([change], pa.list_(pa.int32())), pa.array([True])], names=["toxic", "features", "is_change"])
-
-    got = sample.mapInArrow(rows_of, "toxic int, features array<int>, is_change boolean").toPandas()
-    own, swaps = got[~got["is_change"]], got[got["is_change"]]
+                yield pa.RecordBatch.from_arrays([rows.column(0), list_array(feature.astype(np.int32), np.bincount(text, minlength=rows.num_rows))], names=["toxic", "features"])
+
+    def swaps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, sums = {int(h): i for i, h in enumerate(hashes)}, np.zeros((len(hashes), len(hashes)))
+        for batch in batches:
+            for value in batch.column(0):
+                if not _ANY_TERM.search(whole := value.as_py()):
+                    continue
+                own = _feature_set(whole)
+                for other in map(_feature_set, _swapped(whole)):
+                    at = [index[h] for h in other ^ own if h in index]
+                    sign = np.array([1.0 if h in other else -1.0 for h in other ^ own if h in index])
+                    sums[np.ix_(at, at)] += np.outer(sign, sign)
+        i, j = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(sums[i, j])], names=["i", "j", "x"])
+
+    own = sample.mapInArrow(rows_of, "toxic int, features array<int>").toPandas()
     x, y = np.zeros((len(own), len(hashes)), np.float32), own["toxic"].to_numpy(np.float64)
     for i, f in enumerate(own["features"]):
         x[i, f] = 1
-    changes = np.zeros((len(swaps), len(hashes)))
-    for i, f in enumerate(swaps["features"]):
-        np.add.at(changes[i], np.abs(f) - 1, np.sign(f))
-    weights, bias = _fit(x, y, changes)
+    swaps, found = np.zeros((len(hashes), len(hashes))), sample.select("text").mapInArrow(swaps_of, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+    swaps[found["i"], found["j"]] = found["x"]
+    weights, bias = _fit(x, y, swaps)
     return ToxicityModel(hashes, weights, bias)
 
 

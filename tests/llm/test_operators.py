@@ -375,6 +375,55 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.toxicity(docs(spark, rows[:5]), marks.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_by_brute_force(spark):
+    """Chosen features, their swaps, the fitted optimum and every score, with plain sets of byte strings."""
+    import zlib
+
+    rows, labels = toxic_rows(500)
+    rows += [None, "", "Men and WOMEN scum", rows[3]]
+    labels += [(502, 1), (503, labels[3][1])]
+    df, marks = docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.train(df, marks)
+
+    def features(t):
+        words = re.findall(rb"[a-z\x80-\xff]+", lower(t).encode())
+        return {(w, None) for w in words} | {(w[:n], n) for w in words for n in (4, 5, 6) if len(w) > n}
+
+    def hash_of(f):
+        data = np.frombuffer(f[0] + b"x" * (f[1] is not None), np.uint8)
+        words = Words(data, np.array([0, len(data)]), toxicity._NOT_LETTERS, lower=True)
+        return int(words.hashes()[0] if f[1] is None else words.prefix_hashes((f[1],))[0][1][0])
+
+    sample = {}
+    for i, y in labels:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and rows[i] is not None:
+            sample[rows[i]] = max(y, sample.get(rows[i], 0))
+    n, toxic = len(sample), sum(sample.values())
+    seen, bad = Counter(f for t in sample for f in features(t)), Counter(f for t, y in sample.items() if y for f in features(t))
+    z = {f: (bad[f] - c * toxic / n) / math.sqrt(c * toxic / n * (1 - toxic / n)) for f, c in seen.items() if c >= 3}
+    chosen = {hash_of(f): f for f in z if abs(z[f]) > 4}
+    assert set(model.hashes.tolist()) == set(chosen) and 5 < len(chosen) < 512
+    weight = {chosen[h]: w for h, w in zip(model.hashes.tolist(), model.weights.tolist(), strict=True)}
+    logit = lambda t: model.bias + sum(weight.get(f, 0) for f in features(t))
+    for r in toxicity.toxicity(df, marks).collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-logit(rows[r.doc_id] or "")))) and r.predicted == (r.score >= 0.3)
+    # At the optimum the gradient of loss, ridge and squared changes under swaps is zero.
+    gradient = {f: 0.1 * w for f, w in weight.items()}
+    for t, y in sample.items():
+        for f in features(t) & weight.keys():
+            gradient[f] += 1 / (1 + math.exp(-logit(t))) - y
+        for group in toxicity.IDENTITY_TERMS:
+            for term in group:
+                if re.search(rf"(?<!\w){term}(?!\w)", t, re.I):
+                    for other in group:
+                        if other != term:
+                            new = features(re.sub(rf"(?<!\w){term}(?!\w)", other, t, flags=re.I))
+                            change = {f: (f in new) - (f in features(t)) for f in new ^ features(t) if f in weight}
+                            for f, c in change.items():
+                                gradient[f] += 2 * 5.0 * c * sum(weight[g] * d for g, d in change.items())
+    assert max(map(abs, gradient.values())) < 0.05 and ("women".encode(), None) in weight
+
+
 def brute_near(rows):
     sets = []
     for t in rows:
@@ -473,7 +522,67 @@ def test_lm_scores(spark):
     assert hmm_scoring.score_texts(docs(spark, []).limit(0)).count() == 0
 
 
-def test_forward_recursion_sums_all_paths():
+def plain_baum_welch(model, sequences):
+    """One round, token by token, and log10 of each sequence's chance."""
+    s = len(model.start)
+    starts, moves, gamma, logs = np.zeros(s), np.zeros((s, s)), np.zeros_like(model.emit), []
+    for seq in sequences:
+        alpha, beta, scale = np.zeros((len(seq), s)), np.ones((len(seq), s)), np.zeros(len(seq))
+        now = model.start
+        for t, c in enumerate(seq):
+            alpha[t] = now * model.emit[c]
+            scale[t] = alpha[t].sum()
+            alpha[t] /= scale[t]
+            now = alpha[t] @ model.move
+        for t in range(len(seq) - 2, -1, -1):
+            onward = model.emit[seq[t + 1]] * beta[t + 1] / scale[t + 1]
+            beta[t] = model.move @ onward
+            moves += np.outer(alpha[t], onward) * model.move
+        starts += alpha[0] * beta[0]
+        np.add.at(gamma, np.array(seq), alpha * beta)
+        logs.append(np.log10(scale).sum())
+    return starts, moves, gamma, logs
+
+
+def test_lm_score_by_brute_force(spark, monkeypatch):
+    """Training and score from start to end: classes, every round over whole texts, class terms of frequent, rare and unknown words."""
+    import zlib
+
+    monkeypatch.setattr(hmm_scoring, "FREQUENT", 2200)
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 6))) for _ in range(4500)]
+    say = lambda k: " ".join(vocabulary[int(rng.random() ** 1.5 * 4500)] for _ in range(k))
+    rows = [*(say(rng.randint(1, 120)) for _ in range(140)), say(1200), say(256), say(255), "", None, "Never SEEN words"]
+    got = {r.doc_id: r for r in hmm_scoring.score_texts(docs(spark, rows)).collect()}
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(rows))]
+    tokens = [WORD.findall(lower(t)) for t in rows]
+    counts = Counter(w for i, ws in enumerate(tokens) if not held[i] for w in ws)
+    words = Words(*texts_of(pa.array([" ".join(sorted(set(w for ws in tokens for w in ws)))])))
+    names = [bytes(words.data[a:b]).decode() for a, b in zip(words.starts, words.ends, strict=True)]
+    hash_of, ending = dict(zip(names, words.hashes().tolist(), strict=True)), dict(zip(names, hmm_scoring._ending(words).tolist(), strict=True))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    ranked = sorted(counts, key=lambda w: (-counts[w], signed(hash_of[w])))
+    own = {w: k for k, w in enumerate(ranked[: hmm_scoring.OWN_CLASSES])}
+    assert 1024 < sum(c > 1 for c in counts.values()) <= 2200 < len(counts)
+    class_of = lambda w: own.get(w, ending[w])
+    sequences = [[*map(class_of, ws), hmm_scoring.END] for ws in tokens]
+    model = hmm_scoring.first_guess()
+    for _ in range(hmm_scoring.SAMPLE_ROUNDS + hmm_scoring.FULL_ROUNDS):
+        start, move, emit, _ = plain_baum_welch(model, [s for s, h in zip(sequences, held, strict=True) if not h])
+        start, move, emit = start + 0.1, move + 0.1, emit + 0.1
+        model = hmm_scoring.Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    of_ending = defaultdict(list)
+    for w, c in counts.items():
+        if w not in own:
+            of_ending[ending[w]].append(c)
+    logs = plain_baum_welch(model, sequences)[3]
+    for i, ws in enumerate(tokens):
+        terms = sum(math.log10((counts[w] + 0.1) / (sum(of_ending[ending[w]]) + 0.1 * (len(of_ending[ending[w]]) + 1))) for w in ws if w not in own)
+        assert got[i].score == pytest.approx(logs[i] + terms, rel=1e-6), i
+
+
+@pytest.mark.parametrize("segment", [256, 3, 1])
+def test_forward_recursion_sums_all_paths(monkeypatch, segment):
     import itertools
 
     rng = np.random.default_rng(5)
@@ -493,6 +602,7 @@ def test_forward_recursion_sums_all_paths():
         return total, moves / total
 
     both = [paths(classes[b : b + n]) for b, n in zip(begin, length, strict=True)]
+    monkeypatch.setattr(hmm_scoring, "SEGMENT", segment)
     assert hmm_scoring.log10_likelihood(model, classes, begin, length) == pytest.approx([math.log10(x) for x, _ in both])
     starts, moves, gamma = hmm_scoring.expected_counts(model, classes, begin, length)
     assert moves == pytest.approx(both[0][1] + both[1][1]) and starts.sum() == pytest.approx(2) and gamma.sum() == pytest.approx(7)
