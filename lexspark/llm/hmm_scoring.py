@@ -85,11 +85,23 @@ class Frequent:
     own: np.ndarray  # class, or -1 for that of the ending
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the table, whether it is there)."""
+        """(place in the table, whether it is there): rows that share their leading bits are tried one after another."""
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return at, self.hashes[at] == hashes
+        if "begin" not in self.__dict__:
+            self.begin = np.searchsorted(self.hashes, np.arange((1 << 20) + 1, dtype=U64) << U64(44)).astype(np.int32)
+            self.begin[-1] = len(self.hashes)
+        slot = (hashes >> U64(44)).astype(np.int64)
+        at, end = self.begin[slot].astype(np.int64), self.begin[slot + 1]
+        there = np.zeros(len(hashes), bool)
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            same = self.hashes[at[todo]] == hashes[todo]
+            there[todo[same]] = True
+            todo = todo[~same]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+        return np.minimum(at, len(self.hashes) - 1), there
 
     def classes(self, words: Words, at: np.ndarray, there: np.ndarray) -> np.ndarray:
         out = _ending(words)
@@ -153,13 +165,18 @@ def transfers(model: Hmm, classes: np.ndarray, begin: np.ndarray, length: np.nda
     s = model.move.shape[0]
     order, active = _steps(length)
     at, out, logs = begin[order], np.tile(np.eye(s), (len(begin), 1, 1)), np.zeros(len(begin))
-    for t, k in enumerate(active.tolist()):
-        now = out[:k]
-        now *= model.emit[classes[at[:k] + t]][:, None, :]
-        now = now @ model.move
-        top = now.max((1, 2))
-        out[:k] = now / top[:, None, None]
+
+    def rescale(k: int) -> None:
+        top = out[:k].max((1, 2))
+        out[:k] /= top[:, None, None]
         logs[:k] += np.log10(top)
+
+    for t, k in enumerate(active.tolist()):
+        out[:k] *= model.emit[classes[at[:k] + t]][:, None, :]
+        out[:k] = (out[:k].reshape(-1, s) @ model.move).reshape(k, s, s)
+        if t % 8 == 7:  # a token takes off 15 digits at most
+            rescale(k)
+    rescale(len(out))
     back, log = np.empty_like(out), np.empty_like(logs)
     back[order], log[order] = out, logs
     return back, log
