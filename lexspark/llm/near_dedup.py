@@ -3,12 +3,12 @@
 A document's set is its distinct shingles of five words (of all words, if fewer), lower-cased.  Equal sets are one class,
 found by a 128-bit digest.  Each class gets a signature of SIGNATURE min-hashes; a pair at the similarity bound agrees
 in about three quarters of them, and pairs that agree in at least AGREE are candidates (a pair at the bound has fewer
-with a chance of about 10**-5).
+with a chance of 2 * 10**-5).
 
 Candidates come from an inverted join: classes are posted under the first COORDINATES coordinate-value pairs.  Values
 that one class alone has are skipped; a class with fewer than MATCHES others is skipped whole; the rest are posted under a
 prefix only, the rarest ``n - MATCHES + 1`` of their n values in one global order, as two classes with MATCHES common values
-meet in their prefixes (a pair at the bound has fewer common ones with a chance below 10**-5).
+meet in their prefixes (a pair at the bound has fewer common ones with a chance of 1.5 * 10**-6).
 
 Links are only needed as far as they connect, so two steps avoid all pairs of a group of near copies.  In a few rounds,
 every class counts its collisions with the hubs of its lists and is compared with the one it meets most, in another component;
@@ -30,7 +30,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,18 +129,32 @@ def _mixed(posted: DataFrame, texts: DataFrame, component: DataFrame) -> DataFra
 
 def _short_pairs(mixed: DataFrame, signed: DataFrame) -> DataFrame:
     """(a, b): pairs of a short list in different components that agree, fewer than SHORT / 2 for each posting."""
-    keyed = mixed.filter(F.col("n") <= SHORT).join(signed, "id").select("list", "id", "c", "signature")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, sig = pdf["id"].to_numpy(), pdf["c"].to_numpy(), np.stack(pdf["signature"].to_numpy())
-        i, j = np.triu_indices(len(ids), 1)
-        apart = comp[i] != comp[j]
-        i, j = i[apart], j[apart]
-        hits = (sig[i] == sig[j]).sum(1) >= AGREE
-        a, b = ids[i[hits]], ids[j[hits]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return keyed.groupBy("list").applyInPandas(compare, "a bigint, b bigint").distinct()
+    keyed = mixed.filter(F.col("n") <= SHORT).join(signed, "id").select("list", "id", "c", "signature").repartition("list").sortWithinPartitions("list", "id")
+
+    def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists, ids, comp = (batch.column(i).to_numpy() for i in range(3))
+        sig, found = batch.column(3).flatten().to_numpy().reshape(-1, SIGNATURE), [np.zeros((2, 0), np.int64)]
+        for apart in range(1, SHORT):  # every row with the one so many rows on, while lists are that long
+            same = lists[:-apart] == lists[apart:]
+            if not same.any():
+                break
+            i = np.flatnonzero(same & (comp[:-apart] != comp[apart:]))
+            i = i[(sig[i] == sig[i + apart]).sum(1) >= AGREE]
+            found.append(np.sort(np.stack([ids[i], ids[i + apart]]), axis=0))
+        both = np.concatenate(found, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the begin of the last list, SHORT rows at most
+        for batch in batches:
+            (batch,) = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()
+            whole = int(np.searchsorted(batch.column(0).to_numpy(), batch.column(0)[-1].as_py(), "left"))
+            yield pairs(batch.slice(0, whole))
+            held = [batch.slice(whole)]
+        for batch in held:
+            yield pairs(batch)
+
+    return keyed.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _linked(g: int, h: int, own: np.ndarray, ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
