@@ -38,7 +38,7 @@ from lexspark.llm.columns import pick, positional, text_of
 from lexspark.llm.components import components
 from lexspark.llm.exact_dedup import content_hash
 from lexspark.llm.storage import Scratch
-from lexspark.llm.words import U64, Sequences, Words, list_array, mix, slices
+from lexspark.llm.words import U64, Sequences, Words, give_back, list_array, mix, slices
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -48,7 +48,7 @@ COORDINATES, MATCHES = 32, 12
 SIGNATURE, AGREE = 96, 54
 HUB_ROUNDS = 2
 #: Members of a posting list up to which it is short; members and bytes of text of a block; partners of a hub in one group.
-SHORT, BLOCK, BLOCK_BYTES, PARTNERS = 64, 1024, 1 << 23, 256
+SHORT, BLOCK, BLOCK_BYTES, PARTNERS = 64, 1024, 1 << 22, 256
 
 _SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
 
@@ -86,6 +86,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     count[d] = len(own)
                     digest[d] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(count), pa.array(digest, pa.binary()), list_array(least.ravel(), np.where(per > 0, SIGNATURE, 0))], names=["doc_id", "text_key", "n_shingles", "digest", "signature"])
+        give_back()
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", content_hash(text_of()).alias("text_key")).mapInArrow(run, "doc_id bigint, text_key binary, n_shingles bigint, digest binary, signature array<int>")
 
@@ -162,6 +163,7 @@ def _linked(g: int, h: int, own: np.ndarray, ids: np.ndarray, comp: np.ndarray,
     size = np.array([len(x) for x in sets])
     start = np.cumsum(size) - size
     names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = codes.astype(np.int32)
     mark, root, right, found = np.zeros(len(names), bool), comp.copy(), np.flatnonzero(own == h), []
     for i in np.flatnonzero(own == g):
         others = right[(root[right] != root[i]) & ((ids[right] > ids[i]) if g == h else True)]
@@ -195,6 +197,7 @@ def _long_links(mixed: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFr
         sig = batch.column(batch.schema.get_field_index("signature")).flatten().to_numpy().reshape(-1, SIGNATURE)
         sets = [x for _, data, bounds in slices(batch, "text") for x in _sets(data, bounds)]
         found = np.array(_linked(g[0], h[0], own, ids, comp, sig, sets), np.int64).reshape(-1, 2)
+        give_back()
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return keyed.groupBy("list", "g", "h").applyInArrow(compare, "a bigint, b bigint").distinct()
@@ -228,6 +231,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         out_a.append(a[i])
                         out_b.append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        give_back()
 
     together = members.unionByName(hubs).select("a", "salt", "b", "text", "kind").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "b")
     return together.mapInArrow(run, "a bigint, b bigint")

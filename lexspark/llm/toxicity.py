@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.columns import pick
 from lexspark.llm.storage import Scratch
-from lexspark.llm.words import U64, Words, list_array, slices
+from lexspark.llm.words import U64, Words, give_back, list_array, slices
 
 #: Labelled rows that the classifier is fitted on, at most; those with the smallest hashes of doc_id.
 SAMPLE_ROWS = 20_000
@@ -244,5 +244,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for rows, data, bounds in slices(batch, "text"):
                 yield rows.filter(pa.array(own.score(data, bounds) < THRESHOLD))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

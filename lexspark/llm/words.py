@@ -7,6 +7,7 @@ words get hashes of the same form over word hashes.  Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,6 +163,13 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         begin = end
 
 
+def give_back() -> None:
+    """Return memory that is free to the system, at the end of a task: the worker goes on to other work."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     """An Arrow list column from flat values and the number of values of each row."""
     offsets = np.zeros(len(counts) + 1, np.int32)
