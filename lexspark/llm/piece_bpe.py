@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 
 SPACE = "▁"
-#: Units and pairs that are remembered by a worker before it starts afresh.
-MOST_UNITS, MOST_PAIRS = 250_000, 400_000
+#: Bytes, about, of the units that a worker remembers before the older half goes (ENTRY each and their letters and ids; units of
+#: more than LONG letters are not remembered); pairs that it remembers before it starts afresh.
+MOST_BYTES, ENTRY, LONG, MOST_PAIRS = 24 << 20, 200, 64, 300_000
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -35,15 +36,18 @@ class _Memory(dict):
 
     def __init__(self, encode) -> None:
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.older, self.bytes = encode, {}, 0
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= MOST_UNITS:
-            self.older = dict(self)
-            self.clear()
+        if len(unit) > LONG:
+            return self.encode(unit)
         out = self.older.get(unit)
         if out is None:
             out = self.encode(unit)
+        self.bytes += ENTRY + len(unit) + len(out)
+        if self.bytes > MOST_BYTES:
+            self.older, self.bytes = dict(self), 0
+            self.clear()
         self[unit] = out
         return out
 
