@@ -5,8 +5,9 @@ classes by their ending, so that emissions of a state have a bounded size while
 corpus, stay a distributed table.  An end token, a class of its own, closes every text.
 
 Training: word counts of all training documents are summed by a shuffle of per-slice counts.  Baum-Welch runs first over
-a bounded sample (SAMPLE_DOCS documents, SAMPLE_ROUNDS rounds), to leave the symmetric start, and then FULL_ROUNDS rounds over
-every training document: each task adds up its expected counts and the driver sees only their sums (states x classes numbers).
+a bounded sample (SAMPLE_DOCS documents, SAMPLE_ROUNDS rounds), to leave the symmetric start, and then over every training
+document until a round gains less than SETTLED digits of likelihood a token, FULL_ROUNDS rounds at most: each task adds up
+its expected counts and the driver sees only their sums (states x classes numbers).
 
 A text is worked on in segments of SEGMENT tokens, so that thousands of segments run in step.  Nothing is cut: each
 segment of a long text first gets its transfer matrix (the scaled product of moves and emissions); from these follow the
@@ -42,7 +43,7 @@ OWN_CLASSES, ENDINGS = 1024, 1024
 CLASSES = OWN_CLASSES + ENDINGS + 1
 END = CLASSES - 1
 SEGMENT, AT_ONCE = 256, 4096
-SAMPLE_DOCS, SAMPLE_ROUNDS, FULL_ROUNDS = 2_000, 8, 2
+SAMPLE_DOCS, SAMPLE_ROUNDS, FULL_ROUNDS, SETTLED = 2_000, 8, 4, 0.002
 #: Words whose counts each task holds, at most; the rest are joined.
 FREQUENT = 1 << 18
 ADD = 0.1
@@ -209,8 +210,8 @@ def messages(model: Hmm, classes: np.ndarray, seq: np.ndarray, place: np.ndarray
     return into, after, log
 
 
-def _segment_counts(model: Hmm, classes: np.ndarray, begin: np.ndarray, length: np.ndarray, into: np.ndarray, after: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of segments with their messages; first, last: whether a segment opens or closes its sequence."""
+def _segment_counts(model: Hmm, classes: np.ndarray, begin: np.ndarray, length: np.ndarray, into: np.ndarray, after: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts, and log10 of the chance, of segments with their messages; first, last: whether a segment opens or closes its sequence."""
     s = model.move.shape[0]
     order, active = _steps(length)
     at, n, top = begin[order], len(begin), len(active)
@@ -241,11 +242,13 @@ def _segment_counts(model: Hmm, classes: np.ndarray, begin: np.ndarray, length:
     where, weight = np.concatenate([classes[at[:k] + t] for t, k in enumerate(active.tolist())]), np.concatenate(alpha)
     for i in range(s):
         gamma[:, i] = np.bincount(where, weight[:, i], CLASSES)
-    return alpha[0][first].sum(0), moves, gamma
+    return alpha[0][first].sum(0), moves, gamma, float(np.log10(np.concatenate(scale)).sum())
 
 
-def expected_counts(model: Hmm, classes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over sequences (ranges of classes) of expected starts, moves and emissions; AT_ONCE segments are held at a time."""
+def expected_counts(model: Hmm, classes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Sums over sequences (ranges of classes) of expected starts, moves and emissions, and of log10 of their chances.
+
+    AT_ONCE segments are held at a time."""
     seq, place, begin, length = segments(begin, length)
     into, after, _ = messages(model, classes, seq, place, begin, length)
     first, last = place == 0, np.append(place[1:], 0) == 0
@@ -285,8 +288,9 @@ def _sequences(words: Words, classes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, begin, counts + 1
 
 
-def baum_welch(training: DataFrame, model: Hmm, known: Broadcast) -> Hmm:
-    """One round over all rows: expected counts of the tasks are summed by Spark, then normalised.  known: the frequent words."""
+def baum_welch(training: DataFrame, model: Hmm, known: Broadcast) -> tuple[Hmm, float]:
+    """One round over all rows: expected counts of the tasks are summed by Spark, then normalised; and log10 of the chance of the
+    rows' classes under the model that came in.  known: the frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, frequent = None, known.value
@@ -295,19 +299,20 @@ def baum_welch(training: DataFrame, model: Hmm, known: Broadcast) -> Hmm:
                 words = Words(data, bounds, lower=True)
                 at, there = frequent.find(words.hashes())
                 classes, begin, length = _sequences(words, frequent.classes(words, at, there))
-                starts, moves, gamma = expected_counts(model, classes, begin, length)
-                flat = np.concatenate([starts, moves.ravel(), gamma.ravel()])
+                starts, moves, gamma, log = expected_counts(model, classes, begin, length)
+                flat = np.concatenate([starts, moves.ravel(), gamma.ravel(), [log]])
                 sums = flat if sums is None else sums + flat
         if sums is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], names=["i", "x"])
 
     rows = training.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
     if not len(rows):
-        return model
-    flat = np.zeros(STATES + STATES * STATES + CLASSES * STATES)
+        return model, 0.0
+    flat = np.zeros(STATES + STATES * STATES + CLASSES * STATES + 1)
     flat[rows["i"].to_numpy()] = rows["x"].to_numpy()
+    flat, log = flat[:-1], float(flat[-1])
     start, move, emit = flat[:STATES] + ADD, flat[STATES : STATES + STATES**2].reshape(STATES, STATES) + ADD, flat[STATES + STATES**2 :].reshape(CLASSES, STATES) + ADD
-    return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), log
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -335,9 +340,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
         picked = training.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
         sample = scratch.save(training.join(F.broadcast(picked.distinct()), "doc_id"), "sample")
         for _ in range(SAMPLE_ROUNDS):
-            model = baum_welch(sample, model, known)
+            model, _ = baum_welch(sample, model, known)
+        before = -np.inf
         for _ in range(FULL_ROUNDS):
-            model = baum_welch(training, model, known)
+            model, log = baum_welch(training, model, known)
+            if log - before < SETTLED * tokens:
+                break
+            before = log
     # log10 P(word | class) is log10(c + ADD) - of_class; classes of one word give 0.
     of_class = np.log10(n_of + ADD * (v_of + 1))
     trained = bool(ends)

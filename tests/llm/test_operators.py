@@ -594,10 +594,15 @@ def test_lm_score_by_brute_force(spark, monkeypatch):
     class_of = lambda w: own.get(w, ending[w])
     sequences = [[*map(class_of, ws), hmm_scoring.END] for ws in tokens]
     model = hmm_scoring.first_guess()
-    for _ in range(hmm_scoring.SAMPLE_ROUNDS + hmm_scoring.FULL_ROUNDS):
-        start, move, emit, _ = plain_baum_welch(model, [s for s, h in zip(sequences, held, strict=True) if not h])
+    before = -math.inf
+    for k in range(hmm_scoring.SAMPLE_ROUNDS + hmm_scoring.FULL_ROUNDS):
+        start, move, emit, logs = plain_baum_welch(model, [s for s, h in zip(sequences, held, strict=True) if not h])
         start, move, emit = start + 0.1, move + 0.1, emit + 0.1
         model = hmm_scoring.Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        if k >= hmm_scoring.SAMPLE_ROUNDS:
+            if sum(logs) - before < hmm_scoring.SETTLED * (sum(counts.values()) + held.count(False)):
+                break
+            before = sum(logs)
     of_ending = defaultdict(list)
     for w, c in counts.items():
         if w not in own:
@@ -631,7 +636,8 @@ def test_forward_recursion_sums_all_paths(monkeypatch, segment):
     both = [paths(classes[b : b + n]) for b, n in zip(begin, length, strict=True)]
     monkeypatch.setattr(hmm_scoring, "SEGMENT", segment)
     assert hmm_scoring.log10_likelihood(model, classes, begin, length) == pytest.approx([math.log10(x) for x, _ in both])
-    starts, moves, gamma = hmm_scoring.expected_counts(model, classes, begin, length)
+    starts, moves, gamma, log = hmm_scoring.expected_counts(model, classes, begin, length)
+    assert log == pytest.approx(sum(math.log10(x) for x, _ in both))
     assert moves == pytest.approx(both[0][1] + both[1][1]) and starts.sum() == pytest.approx(2) and gamma.sum() == pytest.approx(7)
 
 
