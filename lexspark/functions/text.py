@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -75,11 +76,41 @@ def is_scanned(text: Column, least: int = 200) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode normalisation form KC, for which there is no built-in function."""
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def nfkc(c: Column) -> Column:
+    """Unicode normalisation form KC, for which there is no built-in function; texts of ASCII alone are left as they are."""
+    other = c.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _nfkc(F.when(other, c))).otherwise(c)
+
+
+#: Encodings that are tried in turn where a page declares none that holds; the stricter ones first.
+ENCODINGS = ("utf-8", "euc_jp", "cp932")
+
+
+def _decoded(data: bytes | None) -> str | None:
+    if data is None:
+        return None
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if data.startswith(mark):
+            return data.decode(name, "replace")
+    declared = re.search(rb"""(?:charset|encoding)\s*=\s*["']?([A-Za-z0-9_.:-]+)""", data[:2048])
+    for name in ([declared[1].decode()] if declared else []) + list(ENCODINGS):
+        try:
+            return data.decode(name)
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return data.decode("utf-8", "replace")
+
+
+@F.pandas_udf(T.StringType())
+def decode_detected(s: pd.Series) -> pd.Series:
+    """Bytes to text by byte order mark, declared encoding or trial; what fits none is UTF-8 with U+FFFD."""
+    return s.map(_decoded)
+
+
 def longest_first(words: Column) -> Column:
     """The distinct words, the longest first, equally long ones by code points."""
     keyed = F.transform(F.array_distinct(words), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))

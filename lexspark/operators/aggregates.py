@@ -46,9 +46,9 @@ def upper_median(values: Column) -> Column:
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[str], existing: DataFrame | None = None) -> DataFrame:
-    """One row for each key, the first in order; keys that exist already are left out."""
+    """One row for each key, the first in order (of equals the smallest by the other columns); keys that exist already are left out."""
     names = [c for c in df.columns if c not in key]
-    rank = F.struct(*order)
+    rank = F.struct(*order, *[c for c in names if c not in order])
     best = df.groupBy(*key).agg(F.min_by(F.struct(*names), rank).alias("_row"), F.count("*").alias("n_rows"))
     out = best.select(*key, *[F.col(f"_row.`{c}`").alias(c) for c in names], "n_rows")
     return out if existing is None else out.join(existing.select(*key).distinct(), key, "left_anti")

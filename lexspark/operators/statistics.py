@@ -104,6 +104,14 @@ def goodness_of_fit(counts: DataFrame) -> DataFrame:
     return agg.withColumn("p_value", _tail("x2", "df")).select("code", "x2", "p_value", (F.col("p_value") > 0.05).alias("fits"))
 
 
+def chi_square_stars(counts: DataFrame) -> DataFrame:
+    """(code, chi2, p_value, shown): the statistic with its test against equal shares; shown with a star below 5 %, two below 1 %."""
+    df = counts.groupBy("code").agg((F.count_distinct("grp") - 1).alias("df"))
+    tested = chi_square(counts).join(df, "code").withColumn("p_value", _tail("chi2", "df"))
+    stars = F.when(F.col("p_value") < 0.01, "**").when(F.col("p_value") < 0.05, "*").otherwise("")
+    return tested.select("code", "chi2", "p_value", F.concat(F.format_string("%.3f", "chi2"), stars).alias("shown"))
+
+
 def poisson_aic(counts: DataFrame) -> DataFrame:
     """(code, aic) of the intercept-only Poisson fit."""
 
@@ -112,8 +120,10 @@ def poisson_aic(counts: DataFrame) -> DataFrame:
         return n.map(lambda v: math.lgamma(v + 1))
 
     means = counts.groupBy("code").agg(F.avg(F.col("n").cast("double")).alias("mean"))
+    # Groups with one count are one row from here on: few distinct counts reach Python.
+    weighted = counts.groupBy("code", "n").agg(F.count("*").alias("w")).join(means, "code")
     ll = F.when(F.col("mean") > 0, F.col("n") * F.ln("mean") - F.col("mean") - log_factorial(F.col("n").cast("double"))).otherwise(0.0)
-    return counts.join(means, "code").groupBy("code").agg((2 - 2 * F.sum(ll)).alias("aic"))
+    return weighted.groupBy("code").agg((2 - 2 * F.sum(F.col("w") * ll)).alias("aic"))
 
 
 def dispersion_bucket(c: Column) -> Column:

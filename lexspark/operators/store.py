@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Primary keys and references of the four tables.
 KEYS = {"municipalities": ("id",), "coding_types": ("id",), "paragraphs": ("id",), "paragraph_codings": ("id",)}
 UNIQUE = {"municipalities": ("name",), "coding_types": ("code",), "paragraph_codings": ("paragraph_id", "coding_type_id")}
+INDEXES = (("paragraphs", "municipality_id"), ("paragraph_codings", "paragraph_id"), ("paragraph_codings", "coding_type_id"))
 REFERENCES = (("paragraphs", "municipality_id", "municipalities"), ("paragraph_codings", "paragraph_id", "paragraphs"), ("paragraph_codings", "coding_type_id", "coding_types"))
 
 
@@ -39,6 +42,12 @@ def codes_of(paragraphs: DataFrame, codings: DataFrame, types: DataFrame) -> Dat
     return paragraphs.join(named, "id", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
 
 
+def codings_of(paragraph_id: int, codings: DataFrame, types: DataFrame) -> DataFrame:
+    """(coding_type_id, code) of one paragraph, in order of codes."""
+    own = codings.filter(F.col("paragraph_id") == paragraph_id).select("coding_type_id")
+    return own.join(types.select(F.col("id").alias("coding_type_id"), "code"), "coding_type_id").orderBy("code")
+
+
 def having_all(rows: DataFrame, selected: list[str], codes: str = "codes") -> DataFrame:
     """Rows that have every selected code; a null array has none."""
     return rows.filter(F.coalesce(F.size(F.array_except(F.array(*[F.lit(c) for c in selected]).cast("array<string>"), F.col(codes))) == 0, F.lit(not selected)))
@@ -75,11 +84,24 @@ def nested(**parts: DataFrame) -> str:
     return json.dumps({k: [json.loads(r) for r in df.toJSON().collect()] for k, df in parts.items()}, ensure_ascii=False)
 
 
+def nested_documents(paragraphs: DataFrame, by: str) -> DataFrame:
+    """(by, document): each group's rows as one JSON list, in order of their columns; groups are written where they are made."""
+    rows = paragraphs.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*[c for c in paragraphs.columns if c != by]))).alias("rows"))
+    return rows.select(by, F.to_json("rows").alias("document"))
+
+
 def edited(documents: DataFrame, key: str, field: str, changes: DataFrame, stamp: Column) -> DataFrame:
-    """A new snapshot in which (key, value, base) changes replace a field; the old value is kept with a time stamp."""
-    new = changes.select(key, F.col("value").alias("_new"))
-    hit = documents.join(new, key, "left")
-    return hit.withColumn("previous", F.when(F.col("_new").isNotNull(), F.col(field))).withColumn("edited_at", F.when(F.col("_new").isNotNull(), stamp)).withColumn(field, F.coalesce("_new", F.col(field))).drop("_new")
+    """A new snapshot in which (key, value) changes replace a field; the old value is kept with a time stamp.
+
+    A change of a key that no document has, and two changes of one key, end the job with an error.
+    """
+    once = changes.groupBy(key).agg(F.first("value").alias("_value"), F.count("*").alias("_n"))
+    new = once.select(F.col(key).alias("_key"), F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("changed twice: "), F.col(key).cast("string"))).cast("string")).otherwise(F.col("_value")).alias("_new"))
+    hit = documents.withColumn("_there", F.lit(True)).join(new, F.col(key) == F.col("_key"), "full")
+    known = F.when(F.col("_there"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no such document: "), F.col("_key").cast("string"))).cast("boolean"))
+    changed = F.col("_key").isNotNull()
+    out = hit.filter(known).withColumn("previous", F.when(changed, F.col(field))).withColumn("edited_at", F.when(changed, stamp))
+    return out.withColumn(field, F.when(changed, F.col("_new")).otherwise(F.col(field))).drop("_new", "_key", "_there")
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
@@ -96,6 +118,40 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def constraints(spark: SparkSession) -> DataFrame:
+    """(table, kind, columns, target): the primary keys, unique columns, references and indexes that the store declares."""
+    rows = [(t, "primary key", ", ".join(k), None) for t, k in KEYS.items()] + [(t, "unique", ", ".join(k), None) for t, k in UNIQUE.items()]
+    rows += [(t, "reference", c, f"{to}(id)") for t, c, to in REFERENCES] + [(t, "index", c, None) for t, c in INDEXES]
+    return spark.createDataFrame(rows, "table string, kind string, columns string, target string")
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, n_rows) of all tables, in one job."""
+    parts = [df.select(F.lit(t).alias("table")) for t, df in tables.items()]
+    counted = reduce(DataFrame.unionByName, parts).groupBy("table").agg(F.count("*").alias("n"))
+    names = parts[0].sparkSession.createDataFrame([(t,) for t in tables], "table string")
+    return names.join(F.broadcast(counted), "table", "left").select("table", F.coalesce("n", F.lit(0)).alias("n_rows"))
+
+
+def create(spark: SparkSession, database: str, tables: dict[str, DataFrame], location: str | None = None) -> None:
+    """Drop and create the database and its four tables; codings are bucketed by paragraph, as joins want them."""
+    drop(spark, database)
+    spark.sql(f"CREATE DATABASE `{database}`" + (f" LOCATION '{location}'" if location else ""))
+    for name, df in tables.items():
+        writer = df.write.mode("overwrite")
+        if name == "paragraph_codings":
+            writer = writer.bucketBy(8, "paragraph_id").sortBy("paragraph_id")
+        writer.saveAsTable(f"`{database}`.`{name}`")
+
+
+def drop(spark: SparkSession, database: str) -> None:
+    spark.sql(f"DROP DATABASE IF EXISTS `{database}` CASCADE")
+
+
+def read(spark: SparkSession, database: str) -> dict[str, DataFrame]:
+    return {name: spark.table(f"`{database}`.`{name}`") for name in KEYS}
+
+
 def describe_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """(table, column, type, n_rows) of every column."""
     rows = [(t, f.name, f.dataType.simpleString(), df.count()) for t, df in tables.items() for f in df.schema.fields]
@@ -103,16 +159,23 @@ def describe_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFr
 
 
 def build(coded: DataFrame, analysis: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The four tables from (municipality, year, category, h5, dan, text, codes); ids follow the sort order of names and places."""
-    from pyspark.sql import Window
-
-    number = lambda *order: F.row_number().over(Window.orderBy(*order))  # noqa: E731  of distinct names: few rows
-    towns = coded.select(F.col("municipality").alias("name")).distinct().withColumn("id", number("name"))
+    """The four tables from (municipality, year, category, h5, dan, text, codes); ids follow the sort order of names and codes.
+
+    Names and codes are looked for in one pass, which this function runs: they are few and come to the driver.  A coding's id
+    names its paragraph and its code.
+    """
+    spark = coded.sparkSession
+    found = coded.groupBy("municipality").agg(F.array_distinct(F.flatten(F.collect_set("codes"))).alias("codes")).collect()
+    names = sorted(r["municipality"] for r in found if r["municipality"] is not None)
+    codes = sorted({c for r in found for c in r["codes"] or []})
+    towns = spark.createDataFrame(list(enumerate(names, 1)), "id int, name string").select("name", "id")
+    types = spark.createDataFrame(list(enumerate(codes, 1)), "id int, code string").select("code", "id")
+    few = lambda df, n: F.broadcast(df) if n <= 100_000 else df
+    keyed = few(towns.select(F.col("name").alias("municipality"), F.col("id").alias("municipality_id")), len(names))
     if analysis is not None:
         towns = enrich(towns, analysis, "name")
-    types = coded.select(F.explode("codes").alias("code")).distinct().withColumn("id", number("code"))
     # One bigint for a paragraph's place: document ordinal and line, so no global order is needed.
-    paragraphs = coded.withColumn("id", F.col("h5") * F.lit(1 << 24) + F.col("dan")).join(towns.select(F.col("name").alias("municipality"), F.col("id").alias("municipality_id")), "municipality")
-    pairs = paragraphs.select(F.col("id").alias("paragraph_id"), F.explode("codes").alias("code")).join(types.withColumnRenamed("id", "coding_type_id"), "code")
-    codings = pairs.select((F.col("paragraph_id") * F.lit(1 << 8) + F.col("coding_type_id")).alias("id"), "paragraph_id", "coding_type_id")
+    paragraphs = coded.withColumn("id", F.col("h5") * F.lit(1 << 24) + F.col("dan")).join(keyed, "municipality")
+    pairs = paragraphs.select(F.col("id").alias("paragraph_id"), F.explode("codes").alias("code")).join(few(types.withColumnRenamed("id", "coding_type_id"), len(codes)), "code")
+    codings = pairs.select(F.concat_ws("-", "paragraph_id", "coding_type_id").alias("id"), "paragraph_id", "coding_type_id")
     return {"municipalities": towns, "coding_types": types, "paragraphs": paragraphs.select("id", "h5", "municipality_id", "year", "category", F.col("dan").alias("dan_number"), "text"), "paragraph_codings": codings}

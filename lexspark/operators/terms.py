@@ -31,6 +31,10 @@ RUN = r"[一-龥ぁ-んァ-ンA-Za-z0-9・ー（）\(\)／/\-]+"
 NAME = r"[一-龥ぁ-んァ-ンA-Za-z0-9・ー（）\(\)]+"
 
 
+# Words that mark the categories of the term report.
+CATEGORIES = {"ordinances": ("条例",), "areas": ("区域", "地域", "地区"), "equipment": ("設備", "施設", "パワーコンディショナー", "モジュール")}
+
+
 @dataclass(frozen=True)
 class Lists:
     """Domain words: suffixes of terms; terms that are always kept; names of laws, with short names."""
@@ -113,6 +117,15 @@ def length_stats(terms: DataFrame) -> DataFrame:
     return terms.agg(F.count("*").alias("terms"), F.avg(n).alias("mean"), F.min(n).alias("min"), F.max(n).alias("max"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY length(term) DESC)").cast("int").alias("median"))
 
 
+def category_counts(terms: DataFrame, laws: tuple[str, ...], categories: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(category, n): known laws, and terms that hold a word of each category; a term may count in several."""
+    t = F.col("term")
+    tests = {"laws": t.isin(*laws) if laws else F.lit(False)} | {k: _any(t, words, _contains) for k, words in (categories or CATEGORIES).items()}
+    flags = terms.select(F.explode(F.filter(F.array(*[F.when(test, F.lit(k)) for k, test in tests.items()]), lambda x: x.isNotNull())).alias("category"))
+    names = terms.sparkSession.createDataFrame([(k,) for k in tests], "category string")
+    return names.join(F.broadcast(flags.groupBy("category").agg(F.count("*").alias("n"))), "category", "left").select("category", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
 def mecab_rows(terms: DataFrame, cost: int = 8000) -> DataFrame:
     """The 13-column dictionary form."""
     star = [F.lit("*").alias(f"c{i}") for i in range(7, 10)]

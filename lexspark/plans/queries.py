@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import lines, text
-from lexspark.operators import aggregates, classify, coding, rules, statistics, store, terms, tokens
+from lexspark.operators import aggregates, classify, coding, rules, statistics, store, terms, tokens, views
 from lexspark.sources import ledger, tables
 from lexspark.streaming import coding as stream
 
@@ -144,7 +144,7 @@ def html_to_text(spark, d):
 
 @query()
 def nfkc(spark, d):
-    return _t(spark, d, "documents").select("doc_id", text.nfkc("text").alias("norm"))
+    return _t(spark, d, "documents").select("doc_id", text.nfkc(F.col("text")).alias("norm"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey AS n, (l_partkey % 100)::DOUBLE AS ratio FROM lineitem")
@@ -436,10 +436,10 @@ def union_terms(spark, d):
     return words.union(_t(spark, d, "part").select("p_brand")).filter("term <> ''").distinct()
 
 
-@query("SELECT DISTINCT w AS term FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE w <> '' EXCEPT SELECT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents WHERE lang = 'en')")
+@query("SELECT DISTINCT w AS term FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' EXCEPT SELECT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark)")
 def removed_terms(spark, d):
     words = lambda t: t.select(F.explode(F.split("text", " ")).alias("term")).filter("term <> ''")
-    return words(_t(spark, d, "benchmark")).subtract(words(_t(spark, d, "documents").filter("lang = 'en'")))
+    return words(_t(spark, d, "documents")).subtract(words(_t(spark, d, "benchmark")))
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50")
@@ -514,11 +514,12 @@ def map_info(spark, d):
     return store.info_map(counts, "lang", ["source"]).select("source", F.array_join(entries, ",").alias("info"))
 
 
-@query("SELECT count(*) AS n FROM documents d1 JOIN labels USING (doc_id) WHERE toxic = 1")
+@query("SELECT d.doc_id, md5(CASE WHEN t.doc_id IS NULL THEN text ELSE '[withdrawn]' END) AS text, CASE WHEN t.doc_id IS NOT NULL THEN md5(text) END AS previous, t.doc_id IS NOT NULL AS stamped FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) t USING (doc_id)")
 def edited_snapshot(spark, d):
-    docs, marks = _t(spark, d, "documents"), _t(spark, d, "labels").filter("toxic = 1").select("doc_id", F.lit("[withdrawn]").alias("value"))
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    marks = _t(spark, d, "labels").filter("toxic = 1").select("doc_id").distinct().join(docs, "doc_id", "left_semi").withColumn("value", F.lit("[withdrawn]"))
     new = store.edited(docs, "doc_id", "text", marks, F.lit("2020-01-01T00:00:00Z"))
-    return new.filter("text = '[withdrawn]' AND previous IS NOT NULL").agg(F.count("*").alias("n"))
+    return new.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"), F.md5(F.col("previous").cast("binary")).alias("previous"), F.col("edited_at").isNotNull().alias("stamped"))
 
 
 _ENTRIES = "e AS (SELECT c_custkey, c_name AS municipality, unnest(['Ordinance_HTML', 'Regulation_HTML', 'Ordinance_PDF', 'Regulation_PDF']) AS doc_type, unnest([c_custkey % 2 = 0, c_custkey % 3 = 0, true, c_custkey % 5 = 0]) AS there FROM customer), en AS (SELECT municipality, doc_type FROM e WHERE there)"
@@ -696,10 +697,10 @@ def value_counts_by_label(spark, d):
     return aggregates.value_counts(_t(spark, d, "orders"), "o_orderstatus").orderBy("value")
 
 
-@query("SELECT source, length(s) AS n, s FROM (SELECT source, lang || ':' || n_chars AS s FROM documents) ORDER BY n DESC, s, source LIMIT 50")
+@query("SELECT source, length(s) AS n, s FROM (SELECT source, lang || ':' || n_chars AS s FROM documents) ORDER BY n DESC, s, source")
 def longest_first(spark, d):
     rows = _t(spark, d, "documents").select("source", F.concat_ws(":", "lang", "n_chars").alias("s"))
-    return rows.select("source", F.length("s").cast("bigint").alias("n"), "s").orderBy(F.desc("n"), "s", "source").limit(50)
+    return rows.select("source", F.length("s").cast("bigint").alias("n"), "s").orderBy(F.desc("n"), "s", "source")
 
 
 @query("SELECT doc_id, string_agg(w, ' ' ORDER BY length(w) DESC, w) AS words FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY doc_id")
@@ -719,3 +720,131 @@ def suspicious_terms(spark, d):
 def dictionary_rows_18(spark, d):
     words = _t(spark, d, "part").select(F.col("p_brand").alias("term")).union(_t(spark, d, "region").select("r_name"))
     return terms.sudachi_rows(words).select("term", "cost", "normalized")
+
+
+# -- filters, column choices and display forms ------------------------------------------------------------------------------
+
+
+@query(f"WITH {_LINES} SELECT doc_id, dan FROM ln WHERE source = (SELECT max(source) FROM documents)")
+def municipality_filter(spark, d):
+    name = _t(spark, d, "documents").agg(F.max("source").alias("m")).first()["m"]
+    return views.of_municipality(_lines(spark, d), name, "source").select("doc_id", "dan")
+
+
+@query("SELECT doc_id, quality FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) WHERE quality IS NOT NULL")
+def analysed_only(spark, d):
+    marks = _t(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return views.analysed(store.enrich(_t(spark, d, "documents").select("doc_id"), marks, "doc_id"), "quality")
+
+
+@query(f"WITH {_WIDE}, z AS (SELECT grp, {_Z2} AS zone FROM wd) SELECT grp, zone FROM z WHERE zone IN ('2層構造(抑制+禁止)', '禁止地区制', '抑制地区制') AND grp <> ''")
+def attribute_filter(spark, d):
+    c = F.col
+    rows = _wide(spark, d).select("grp", classify.zone_type(c("a"), c("b"), c("ra"), c("rb")).alias("zone"), F.when(c("grp") != "", "named").alias("kind"))
+    return views.matching(rows, zone=["2層構造(抑制+禁止)", "禁止地区制", "抑制地区制"], kind="named").select("grp", "zone")
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate FROM lineitem")
+def column_family(spark, d):
+    return views.column_family(_t(spark, d, "lineitem"), "key$|^l_ship", ["l_linenumber"])
+
+
+@query("SELECT lang AS row_value, source AS column_value, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL")
+def without_summary_rows(spark, d):
+    table = aggregates.crosstab_margins(_t(spark, d, "documents"), "lang", "source")
+    return views.without_summary(views.without_summary(table, "row_value", ("All",)), "column_value", ("All",))
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 60")
+def seeded_sample(spark, d):
+    return views.seeded_sample(_t(spark, d, "documents").select("doc_id", "source"), 60, 7, "doc_id")
+
+
+@query("SELECT o_orderkey, printf('%.2f', o_totalprice) AS price, printf('%.2f%%', (o_orderkey % 1000) / 10) AS share FROM orders")
+def formatted_numbers(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", views.fixed(F.col("o_totalprice")).alias("price"), views.percent_text((F.col("o_orderkey") % 1000) / 1000).alias("share"))
+
+
+@query(f"WITH {_RESID}, b AS (SELECT max(100.0 * n / cases) AS top FROM rs WHERE cases > 0) SELECT list_filter([0.01, 0.1, 1.0, 5.0, 20.0, 1000.0]::DOUBLE[], lambda x: x >= 0.05 AND x <= top) AS shown, 0.05::DOUBLE AS lower, ceil(top)::DOUBLE AS upper FROM b")
+def legend_breaks(spark, d):
+    return views.legend_breaks(statistics.bubbles(_counts(spark, d)), "share", [0.01, 0.1, 1.0, 5.0, 20.0, 1000.0])
+
+
+@query()
+def chi2_stars(spark, d):
+    return statistics.chi_square_stars(_counts(spark, d))
+
+
+@query(f"WITH {_CAND} SELECT 'laws' AS category, count(*) FILTER (term IN ('Bildung', 'Regierung')) AS n FROM cand UNION ALL SELECT 'ab', count(*) FILTER (contains(term, 'ab')) FROM cand UNION ALL SELECT 'endings', count(*) FILTER (contains(term, 'tion') OR contains(term, 'heit')) FROM cand")
+def term_categories(spark, d):
+    return terms.category_counts(_candidates(spark, d), ("Bildung", "Regierung"), {"ab": ("ab",), "endings": ("tion", "heit")})
+
+
+@query(f"WITH {_STORE}, one AS (SELECT min(id) AS id FROM cn WHERE contains(s, 'that') AND contains(s, 'with')) SELECT code FROM cn JOIN one USING (id) JOIN cd ON contains(s, w)")
+def paragraph_codings(spark, d):
+    t, p = _store(spark, d), F.col("paragraph_id")
+    both = t["paragraph_codings"].join(t["coding_types"].filter("code IN ('*P', '*N')").select(F.col("id").alias("coding_type_id")), "coding_type_id")
+    found = both.groupBy(p).agg(F.count("*").alias("n")).filter("n = 2").agg(F.min(p).alias("id")).first()["id"]
+    return store.codings_of(-1 if found is None else found, t["paragraph_codings"], t["coding_types"]).select("code")
+
+
+@query(f"WITH {_STORE} SELECT 'municipalities' AS \"table\", (SELECT count(*) FROM tw WHERE name IS NOT NULL AND name IN (SELECT source FROM ln)) AS n_rows UNION ALL SELECT 'coding_types', (SELECT count(DISTINCT code) FROM ln JOIN cd ON contains(s, w)) UNION ALL SELECT 'paragraphs', (SELECT count(*) FROM cn) UNION ALL SELECT 'paragraph_codings', (SELECT count(*) FROM ln JOIN cd ON contains(s, w))")
+def table_counts(spark, d):
+    return store.table_counts(_store(spark, d))
+
+
+@query("SELECT * FROM (VALUES ('municipalities', 'primary key', 'id', NULL), ('coding_types', 'primary key', 'id', NULL), ('paragraphs', 'primary key', 'id', NULL), ('paragraph_codings', 'primary key', 'id', NULL), ('municipalities', 'unique', 'name', NULL), ('coding_types', 'unique', 'code', NULL), ('paragraph_codings', 'unique', 'paragraph_id, coding_type_id', NULL), ('paragraphs', 'reference', 'municipality_id', 'municipalities(id)'), ('paragraph_codings', 'reference', 'paragraph_id', 'paragraphs(id)'), ('paragraph_codings', 'reference', 'coding_type_id', 'coding_types(id)'), ('paragraphs', 'index', 'municipality_id', NULL), ('paragraph_codings', 'index', 'paragraph_id', NULL), ('paragraph_codings', 'index', 'coding_type_id', NULL)) AS t(\"table\", kind, columns, target)")
+def schema_constraints(spark, d):
+    return store.constraints(spark)
+
+
+@query("SELECT n_regionkey, '[' || string_agg('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}', ',' ORDER BY n_nationkey) || ']' AS document FROM nation GROUP BY n_regionkey")
+def nested_json(spark, d):
+    return store.nested_documents(_t(spark, d, "nation").select("n_regionkey", "n_nationkey", "n_name"), "n_regionkey")
+
+
+@query()
+def reflow_html(spark, d):
+    return lines.reflow_text(_t(spark, d, "documents"), "doc_id", "text")
+
+
+@query(rf"""WITH {_LINES}, m AS (SELECT *, regexp_matches(s, '^[ET]') AS marks, lag(s) OVER w AS before FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY dan)),
+g AS (SELECT *, NOT marks OR before IS NULL AS begins FROM m), h AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY dan) AS g FROM g)
+SELECT doc_id, min(dan) AS i, string_agg(s, '' ORDER BY dan) AS s FROM h GROUP BY doc_id, g""")
+def items_without_stop(spark, d):
+    """The older joining of items: no full stop goes between."""
+    return lines.join_items(_lines(spark, d).select("doc_id", F.col("dan").alias("i"), "s"), "doc_id", marker="^[ET]", stop="")
+
+
+LOGIC_TEXT = "*AND\nthat and with\n\n*NOT\nthat and not ( with or from )\n\n*DEEP\n( und or que ) and not that or this and with and not from"
+
+
+@query(f"WITH {_LINES}, k AS (SELECT doc_id, dan, contains(s, 'that') AS a, contains(s, 'with') AS b, contains(s, 'from') AS c, contains(s, 'und') AS e, contains(s, 'que') AS f, contains(s, 'this') AS g FROM ln) SELECT doc_id, dan, a AND b AS both, a AND NOT (b OR c) AS without, ((e OR f) AND NOT a) OR (g AND b AND NOT c) AS deep FROM k")
+def rule_logic(spark, d):
+    codes = rules.codes(_rules(LOGIC_TEXT), F.col("s"), F.array().cast("array<string>"))
+    has = lambda c: F.array_contains("codes", c)
+    return _lines(spark, d).withColumn("codes", codes).select("doc_id", "dan", has("*AND").alias("both"), has("*NOT").alias("without"), has("*DEEP").alias("deep"))
+
+
+@query("SELECT c_custkey, c_custkey % 4 IN (0, 1, 2) AS item FROM customer")
+def item_markers(spark, d):
+    k = F.col("c_custkey") % 4
+    line = F.concat(F.when(k == 0, "(12) ").when(k == 1, "（3）").when(k == 2, "ア ").otherwise("第1 "), "c_name")
+    return _t(spark, d, "customer").select("c_custkey", lines.is_item(line).alias("item"))
+
+
+@query("SELECT p_partkey, contains(p_type, 'A') AS hit FROM part")
+def escaped_words(spark, d):
+    cell = F.concat(F.lit("a.b(["), "p_type")
+    return _t(spark, d, "part").select("p_partkey", F.concat(cell, F.lit("\\E")).rlike(text.regex_escape("a.b([") + ".*A.*" + text.regex_escape("\\E")).alias("hit"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
+def decoded_bytes(spark, d):
+    raw = _t(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    return raw.select("doc_id", F.sha2(text.decode_detected("bytes"), 256).alias("digest"))
+
+
+@query("SELECT count(*) AS n FROM documents")
+def required_columns(spark, d):
+    return classify.require_columns(_t(spark, d, "documents"), ["doc_id", "text", "source"]).agg(F.count("*").alias("n"))

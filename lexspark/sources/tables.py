@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import io
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +34,7 @@ def read_csv_after_blanks(spark: SparkSession, path: str, columns: list[str]) ->
     head = lines.head()[0].removeprefix(BOM)
     names = next(csv.reader(io.StringIO(head)))
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = lines.filter(~F.col("value").endswith(head)).select(F.from_csv("value", schema).alias("r"))
+    rows = lines.filter(~F.col("value").isin(head, BOM + head)).select(F.from_csv("value", schema).alias("r"))
     return rows.select(*[(F.col(f"r.c{names.index(c)}") if c in names else F.lit(None).cast("string")).alias(c) for c in columns])
 
 
@@ -48,7 +50,7 @@ def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, text): one row for each text file of a glob."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "text")
 
 
@@ -86,7 +88,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", quote_all:
 
 
 def write_dictionary(rows: DataFrame, path: str, quote_all: bool = False) -> None:
-    """One headerless file, sorted by term."""
+    """One headerless file, sorted by term, as its readers want it: dictionaries are small, so one task writes."""
     write_csv(rows.coalesce(1).sortWithinPartitions("term"), path, "overwrite", quote_all, header=False)
 
 
@@ -99,9 +101,90 @@ def csv_text(rows: DataFrame, bom: bool = True) -> str:
     return (BOM if bom else "") + out.getvalue()
 
 
+def write_csv_with_bom(df: DataFrame, path: str) -> None:
+    """CSV whose files each begin with a byte order mark, for spreadsheets: the mark stands before the header's first name."""
+    first, *rest = df.columns
+    df.toDF(BOM + first, *rest).write.mode("overwrite").csv(path, header=True)
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
+    """One JSON object a line; nulls are written as such."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def write_texts(df: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+    """One directory for each document, which holds its text and a line feed after it; read_texts reads them back."""
+    df.select(F.col(name).alias("name"), F.col(text).alias("text")).write.mode("overwrite").partitionBy("name").text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text) of what write_texts wrote."""
+    return spark.read.option("basePath", path).schema("value string, name string").text(path, wholetext=True).select("name", F.regexp_replace("value", r"\n\z", "").alias("text"))
+
+
+def touch_missing(spark: SparkSession, path: str, names: DataFrame) -> int:
+    """Create an empty file for each (name) that is not there; the number of new ones.  Names come to the driver one by one."""
+    jvm, made = spark.sparkContext._jvm, 0
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in names.select("name").distinct().toLocalIterator():
+        made += bool(fs.createNewFile(jvm.org.apache.hadoop.fs.Path(path, row["name"])))
+    return made
+
+
+def url_file(names: list[str], years: str | None = None) -> list[str]:
+    """The list files (``urls_2014.csv``) of a year or range of years, in order; of the latest year without one."""
+    found = sorted((int(m[1]), n) for n in names if (m := re.search(r"(\d{4})\.csv$", n)))
+    if not found:
+        raise FileNotFoundError("no list of URLs")
+    first, last = year_range(years) if years else (found[-1][0],) * 2
+    chosen = [n for y, n in found if first <= y <= last]
+    if not chosen:
+        raise FileNotFoundError(f"no list of URLs for {years}")
+    return chosen
+
+
+def directories(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, year) in the order in which they are read: by year (the first four digits), extracted pages before transcripts."""
+    found = spark.createDataFrame([(p,) for p in paths], "path string").withColumn("year", F.regexp_extract("path", r"(\d{4})", 1).try_cast("int"))
+    return found.filter("year IS NOT NULL").orderBy("year", directory_rank(F.concat(F.lit("/"), F.col("path"))), "path")
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, parts: int = 8) -> DataFrame:
+    """A table of an SQLite file that all executors see, read by ranges of row ids; the file is opened for reading only."""
+    import sqlite3
+
+    quoted = '"' + table.replace('"', '""') + '"'
+    names = T.StructType.fromDDL(schema).fieldNames()
+
+    def open_() -> sqlite3.Connection:
+        return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+
+    with contextlib.closing(open_()) as db:
+        low, high = db.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {quoted}").fetchone()
+    step = max(1, -(-(high - low + 1) // parts))
+
+    def rows(batches):
+        columns = ", ".join('"' + n.replace('"', '""') + '"' for n in names)
+        with contextlib.closing(open_()) as db:
+            for begins in batches:
+                for begin in begins["id"]:
+                    found = db.execute(f"SELECT {columns} FROM {quoted} WHERE rowid >= ? AND rowid < ?", (int(begin), int(begin) + step))
+                    while some := found.fetchmany(10_000):
+                        yield pd.DataFrame(some, columns=names)
+
+    return spark.range(low, high + 1, step, max(1, parts)).mapInPandas(rows, schema)
+
+
 def write_split_json(df: DataFrame, path: str, by: str, mode: str = "overwrite") -> None:
-    """One directory for each non-empty group; slashes in names become underscores."""
-    df.withColumn("part", F.translate(by, "/", "_")).write.mode(mode).partitionBy("part").json(path)
+    """One directory for each group, which holds its rows; slashes in names become underscores.  A group without rows has none."""
+    df.withColumn("part", F.translate(by, "/", "_")).write.mode(mode).partitionBy("part").json(f"{path}/municipalities")
+
+
+def write_index(df: DataFrame, path: str, by: str, names: DataFrame) -> None:
+    """The index of the groups: (name, part, n_rows) of all names, those without rows too."""
+    counts = df.groupBy(F.col(by).alias("name")).agg(F.count("*").alias("n_rows"))
+    index = names.select(F.col(by).alias("name")).distinct().join(counts, "name", "left")
+    index.select("name", F.translate("name", "/", "_").alias("part"), F.coalesce("n_rows", F.lit(0)).alias("n_rows")).coalesce(1).sortWithinPartitions("name").write.mode("overwrite").json(f"{path}/index")
 
 
 def missing_outputs(sources: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
