@@ -14,7 +14,9 @@ Windows with one owner, the smallest document in which they start, are reported
 smaller owner.  Since all documents that hold an anchor meet at its home, no window is missed, and work follows the
 repeated text.
 
-An anchor that occurs in more than HOT documents is a home by itself, which spreads the homes of large groups of copies.
+An anchor that occurs in more than HOT documents has many homes: each of its windows goes to one named by the anchor and by
+most of the window's other words (which ones depends on the anchor's place in the window, so equal windows agree).  This
+spreads large groups of copies, and keeps apart the many texts around one common line.
 
 The first pass over the texts already gives the result of documents that lose nothing.  Texts of the others are joined
 with their intervals; documents that cannot be among them, as no document with intervals has their hash modulo MARKS,
@@ -41,11 +43,13 @@ from pyspark.sql import functions as F
 from lexspark.llm.columns import pick
 from lexspark.llm.fm_index import FMIndex
 from lexspark.llm.storage import Scratch
-from lexspark.llm.words import U64, Sequences, Words, slices
+from lexspark.llm.words import U64, Sequences, Words, mix, slices
 
 WINDOW, ANCHOR = 50, 25
 #: Words of a shard, about; words of a document that share a home; documents from which on an anchor is its own home.
 SHARD_WORDS, HOME_WORDS, HOT = 1 << 20, 256, 5_000
+#: Words to the left and right of a hot anchor that name its home, by the least number of words that the window has on its left.
+AROUND = ((0, 19), (7, 13), (13, 7), (19, 0))
 #: Windows of one streamed piece; bytes of words that a task holds back to send equal stretches once; marks of documents.
 PIECE, HELD_BYTES, MARKS = 512, 32 << 20, 1 << 20
 
@@ -105,12 +109,20 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def homes(found: DataFrame) -> DataFrame:
-    """(h, home) of the anchors that several documents hold."""
+    """(h, home) of the anchors that several documents hold; a hot one's home is h."""
     seen = found.groupBy("h").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min_by("place", "doc_id").alias("place"), F.count("*").alias("n")).filter("d0 < d1")
     home = F.when(F.col("n") > HOT, F.col("h")).otherwise(F.xxhash64("d0", F.floor(F.col("place") / HOME_WORDS)))
     return seen.select("h", home.alias("home"))
 
 
+def _hot_homes(h: np.ndarray, window: np.ndarray, anchor: np.ndarray, sequences: Sequences) -> np.ndarray:
+    """Homes of windows with a hot anchor, from places in the sequence."""
+    left, right = np.array(AROUND).T
+    kind = np.searchsorted(left, anchor - window, "right") - 1
+    around = sequences.at(anchor - left[kind], ANCHOR + left[kind] + right[kind])
+    return mix(h ^ mix(around + kind.astype(U64))).view(np.int64)
+
+
 def stretches(docs: DataFrame, listed: DataFrame) -> DataFrame:
     """(home, content, doc_id, begin, words): runs of windows whose anchors have one home, and their contents.
 
@@ -147,9 +159,11 @@ def stretches(docs: DataFrame, listed: DataFrame) -> DataFrame:
                     k = keys[p[inside]]
                     at = np.minimum(np.searchsorted(h, k), len(h) - 1)
                     there = h[at] == k
-                    windows, to = inside[there], home[at[there]]
+                    windows, to, k = inside[there], home[at[there]], k[there]
                     if not len(windows):
                         continue
+                    if len(hot := np.flatnonzero(to == k.view(np.int64))):
+                        to[hot] = _hot_homes(k[hot], lo + windows[hot], p[windows[hot]], sequences)
                     cut = np.flatnonzero(np.append(True, (np.diff(windows) != 1) | (to[1:] != to[:-1])))
                     stop = np.append(cut[1:], len(windows)) - 1
                     first, last = lo + windows[cut], lo + windows[stop] + WINDOW

@@ -18,7 +18,7 @@ from lexspark.llm.components import components
 from lexspark.llm.fm_index import FMIndex
 from lexspark.llm.piece_bpe import PieceEncoder
 from lexspark.llm.storage import Scratch, shared_dir
-from lexspark.llm.words import Words, texts_of
+from lexspark.llm.words import Sequences, Words, texts_of
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -172,6 +172,18 @@ def test_substring_dedup(spark, monkeypatch, hot):
     assert sum(r[2] for r in brute_substrings(rows)) > 300
 
 
+def test_homes_of_hot_anchors_are_those_of_equal_windows():
+    """Equal windows have equal homes; windows around one line that differ mostly have others."""
+    rng = np.random.default_rng(5)
+    line = rng.integers(0, 1 << 60, substring_dedup.ANCHOR).astype(np.uint64)
+    window = lambda o: np.concatenate([rng.integers(0, 1 << 60, o), line, rng.integers(0, 1 << 60, 25 - o)]).astype(np.uint64)
+    homes = lambda words, o: substring_dedup._hot_homes(np.array([7], np.uint64), np.array([3]), np.array([3 + o]), Sequences(np.concatenate([rng.integers(0, 9, 3).astype(np.uint64), words])))[0]
+    for o in range(26):
+        one, other = window(o), window(o)
+        assert homes(one, o) == homes(one, o) != homes(other, o)
+    assert all(a + b + substring_dedup.ANCHOR <= 50 for a, b in substring_dedup.AROUND)
+
+
 def test_substring_dedup_empty_and_repeated(spark):
     assert substring_dedup.without_repeats(docs(spark, []).limit(0)).count() == 0
     twice = docs(spark, [texts(2)[0]]).unionByName(docs(spark, [texts(2)[0]]))
