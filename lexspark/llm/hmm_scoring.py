@@ -364,7 +364,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 classes = frequent.classes(words, at, there)
                 text = np.repeat(np.arange(n), size)
                 logs = np.log10(frequent.counts[at[there]] + ADD) if there.any() else np.zeros(0)
-                base = np.bincount(text[there], logs, n)
+                base = np.bincount(text[there], logs, n).astype(float)  # without words numpy gives integers
                 found = np.bincount(text[there], minlength=n)
                 own = classes < OWN_CLASSES
                 given = np.bincount(text[there], np.where(own[there], 0, logs), n) - np.bincount(text, np.where(own, 0, of_class[ending]), n)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.columns import pick
 from lexspark.llm.piece_bpe import PieceEncoder
+from lexspark.llm.words import give_back
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -64,5 +65,6 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(e.decode(np.frombuffer(ids, "<u4")).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -43,15 +43,15 @@ from pyspark.sql import functions as F
 from lexspark.llm.columns import pick
 from lexspark.llm.fm_index import FMIndex
 from lexspark.llm.storage import Scratch
-from lexspark.llm.words import U64, Sequences, Words, mix, slices
+from lexspark.llm.words import U64, Sequences, Words, give_back, mix, slices
 
 WINDOW, ANCHOR = 50, 25
 #: Words of a shard, about; words of a document that share a home; documents from which on an anchor is its own home.
-SHARD_WORDS, HOME_WORDS, HOT = 1 << 20, 256, 5_000
+SHARD_WORDS, HOME_WORDS, HOT = 1 << 19, 256, 5_000
 #: Words to the left and right of a hot anchor that name its home, by the least number of words that the window has on its left.
 AROUND = ((0, 19), (7, 13), (13, 7), (19, 0))
 #: Windows of one streamed piece; bytes of words that a task holds back to send equal stretches once; marks of documents.
-PIECE, HELD_BYTES, MARKS = 512, 32 << 20, 1 << 20
+PIECE, HELD_BYTES, MARKS = 512, 8 << 20, 1 << 20
 
 
 def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +183,7 @@ def stretches(docs: DataFrame, listed: DataFrame) -> DataFrame:
                     held, size = {}, 0
         if held:
             yield contents()
+        give_back()
 
     return docs.join(listed, "doc_id").select("doc_id", "text", "h", "home").mapInArrow(run, "home bigint, content bigint, doc_id bigint, begin int, words binary")
 
@@ -265,6 +266,7 @@ def shard_owners(contents: DataFrame) -> DataFrame:
                 size += len(held[-1][3])
         if held:
             yield answer()
+        give_back()
 
     ordered = contents.select("home", "content", "doc_id", "words").repartition("home").sortWithinPartitions("home", "content", "doc_id")
     return ordered.mapInArrow(run, "home bigint, content bigint, begin int, end int, owner bigint")

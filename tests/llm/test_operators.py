@@ -803,3 +803,46 @@ def test_shared_folder_is_the_session_s(spark, monkeypatch):
     assert os.path.exists(kept)
     storage.release()
     assert not os.path.exists(kept) and not storage._OPEN
+
+
+ODD = [(1, "a b c d e f", "s1"), (1, "a b c d e f", "s1"), (None, "a b c d e f", "s1"), (None, None, None), (None, None, None), (2, None, "s2"), (3, "", None), (4, "x y", "s1"), (4, "x y", "s1"), (4, "z", "s2")]
+
+
+def odd(spark):
+    """Repeated rows, null ids, sources and texts, and columns that differ from ours in case alone."""
+    rows = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in ODD], DOCS)
+    return rows.withColumn("Text2", F.lit("other")).withColumn("H", F.lit(1)).withColumn("Mark", F.lit(2))
+
+
+def test_odd_rows_in_every_operator(spark):
+    df = odd(spark)
+    ids = sorted((r[0] for r in ODD), key=repr)
+    exact = exact_dedup.exact_dedup(df).collect()
+    assert sorted((r.doc_id for r in exact), key=repr) == ids
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact} == {(1, 1, 3), (None, 1, 3), (None, 3, 4), (2, 3, 4), (3, 3, 4), (4, 4, 2), (4, 4, 1)}
+    near = near_dedup.near_duplicates(df).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near), key=repr) == sorted([(1, 2, 1, True)] * 2 + [(None, 2, 1, False)] + [(None, 0, None, True)] * 2 + [(2, 0, 2, True), (3, 0, 3, True)] + [(4, 1, 4, True)] * 3, key=repr)
+    mixed = mixing.mix(df).collect()
+    assert Counter((r.doc_id, r.size) for r in mixed) == {(1, 6): 1, (None, 6): 1, (None, 0): 1, (2, 0): 1, (3, 0): 1, (4, 2): 1, (4, 1): 1}
+    assert sum(r.size for r in mixed) == 15 and abs(sum(r.taken for r in mixed) - sum({r.target for r in mixed})) <= 3
+    pieces = sentence_pieces.piece_digests(df, MODEL).collect()
+    assert sorted((r.doc_id for r in pieces), key=repr) == ids and {r.n_tokens for r in pieces if r.doc_id in (2, 3)} == {2}
+    lm = hmm_scoring.score_texts(df).collect()
+    assert sorted((r.doc_id for r in lm), key=repr) == ids and all(r.held_out for r in lm if r.doc_id is None) and all(math.isfinite(r.score) for r in lm)
+    marks = spark.createDataFrame([(1, 1), (1, 0), (4, 0), (None, 1), (9, 1)], "doc_id bigint, toxic int")
+    scored = toxicity.toxicity(df, marks).collect()
+    assert sorted((r.doc_id for r in scored), key=repr) == ids and all(0 <= r.score <= 1 for r in scored)
+    assert {r.held_out for r in scored if r.doc_id is None} <= {None, False, True}
+    words = token_counts.count_words(df, "w", r"\w+")
+    assert words.count() == len(ODD) and words.agg(F.sum("n_tokens")).first()[0] == 23
+    assert sorted((r.doc_id for r in substring_dedup.without_repeats(df).collect()), key=repr) == ids
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    odd(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    odd(spark).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
