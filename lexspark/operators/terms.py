@@ -5,6 +5,7 @@ Word lists that describe a domain (suffixes, curated terms, laws) are parameters
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -52,13 +53,22 @@ class Lists:
         return [*self.curated, *self.laws]
 
 
+def _at_begin(run: str) -> str:
+    """A run of one class of characters, tried at the run's begin alone.
+
+    If no ending follows some part of the run from there, none follows from a later place either, and behind the last ending
+    there is no other: matches are the same, but a long run is looked at once and not from each of its characters.
+    """
+    return f"(?<!{run[:-1]}){run}" if re.fullmatch(r"\[(?:[^\]\[\\]|\\.)+\]\+", run) else run
+
+
 def candidates(docs: DataFrame, lists: Lists, text: str = "text", whole: bool = False) -> DataFrame:
     """Distinct (term) of the texts in NFKC.  Suffix matches give the suffix alone, or with ``whole`` the compound."""
-    either = "|".join(lists.suffixes)
+    either, run, name = "|".join(lists.suffixes), _at_begin(lists.run), _at_begin(lists.name)
     found = F.concat(
-        F.regexp_extract_all("nfkc", F.lit(f"{lists.run}({either})"), F.lit(0 if whole else 1)),
-        F.regexp_extract_all("nfkc", F.lit(f"({lists.name}{lists.law_ending})"), F.lit(1)),
-        F.regexp_extract_all("nfkc", F.lit(f"({lists.name}{lists.ordinance_ending})"), F.lit(1)),
+        F.regexp_extract_all("nfkc", F.lit(f"{run}({either})"), F.lit(0 if whole else 1)),
+        F.regexp_extract_all("nfkc", F.lit(f"({name}{lists.law_ending})"), F.lit(1)),
+        F.regexp_extract_all("nfkc", F.lit(f"({name}{lists.ordinance_ending})"), F.lit(1)),
     )
     normal = docs.select(nfkc(F.col(text)).alias("nfkc"))
     bare = F.btrim(F.col("w"), F.lit(STRIPPED))
