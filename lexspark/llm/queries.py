@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import chat_format, embedding_dedup, exact_dedup, hmm_scoring, mixing, near_dedup, sentence_pieces, substring_dedup, token_counts, toxicity
+from lexspark.llm import chat_format, embedding_dedup, exact_dedup, hmm_scoring, mixing, near_dedup, packing, periodic_runs, sentence_pieces, substring_dedup, token_counts, toxicity, whitening
 from lexspark.llm.storage import Scratch, shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,13 +74,36 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def repeated_words(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Every tenth document, by a checksum of its id, goes on with its first p words from word a on; without an id none does."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g, at = h // 10, np.arange(n)
+    a = g % n
+    at[a:] = a + (at[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return at
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(_table(spark, sf_dir, "documents"), repeated_words)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_exact_dedup, op4_token_counts, op5_embedding_dedup, op6_toxicity, op7_minhash_dedup, op8_lm_scoring, op9_source_mixing, op10_sentencepiece, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_exact_dedup, op4_token_counts, op5_embedding_dedup, op6_toxicity, op7_minhash_dedup, op8_lm_scoring, op9_source_mixing, op10_sentencepiece, op11_periodic_runs, op12_best_fit_packing, op13_embedding_whitening, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -123,5 +148,23 @@ link AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id =
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
 comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM d JOIN comp ON comp.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+""",
+    "op11_periodic_runs": r"""
+WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda r, x: list_reduce(list_prepend(xor(r, x), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))) AS r FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, xor(r, 4294967295) AS h, xor(r, 4294967295) // 10 AS g FROM c),
+p AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM g),
+d AS (SELECT doc_id, n, list_transform(range(0, n), lambda i: w[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1]) AS w FROM p),
+word AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(0, n)) AS i FROM d),
+eq AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM (
+  SELECT u.doc_id, v.i - u.i AS q, u.i FROM word u JOIN word v ON u.doc_id = v.doc_id AND u.x = v.x AND v.i > u.i AND 4 * (v.i - u.i) <= u.n)),
+run AS (SELECT doc_id, s, len, min(q) AS q FROM (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM eq GROUP BY doc_id, q, isle) WHERE len >= greatest(6, 4 * q) GROUP BY doc_id, s, len),
+best AS (SELECT doc_id, count(*) AS n, min(struct_pack(a := -len, b := s, c := q)) AS b, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(best.n, 0)::BIGINT AS n_runs, b.b::BIGINT AS start, (-b.a)::BIGINT AS length, b.c::BIGINT AS period, (1000 * -b.a // b.c)::BIGINT AS exponent_milli,
+  sha256(coalesce(best.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
 }
