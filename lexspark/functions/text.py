@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexspark.functions.charset import detected
+
 #: White space that is stripped, by rule: all that Unicode calls so.
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Tags whose content is no text, prefixes of file names.
@@ -86,29 +87,9 @@ def nfkc(c: Column) -> Column:
     return F.when(other, _nfkc(F.when(other, c))).otherwise(c)
 
 
-#: Encodings that are tried in turn where a page declares none that holds; the stricter ones first.
-ENCODINGS = ("utf-8", "euc_jp", "cp932")
-
-
-def _decoded(data: bytes | None) -> str | None:
-    if data is None:
-        return None
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
-        if data.startswith(mark):
-            return data.decode(name, "replace")
-    declared = re.search(rb"""(?:charset|encoding)\s*=\s*["']?([A-Za-z0-9_.:-]+)""", data[:2048])
-    for name in ([declared[1].decode()] if declared else []) + list(ENCODINGS):
-        try:
-            return data.decode(name)
-        except (LookupError, UnicodeDecodeError):
-            continue
-    return data.decode("utf-8", "replace")
-
-
-@F.pandas_udf(T.StringType())
-def decode_detected(s: pd.Series) -> pd.Series:
-    """Bytes to text by byte order mark, declared encoding or trial; what fits none is UTF-8 with U+FFFD."""
-    return s.map(_decoded)
+def decode_detected(c: Column) -> Column:
+    """Bytes to text in the encoding that they are most likely in; see charset."""
+    return detected(c)["text"]
 
 
 def longest_first(words: Column) -> Column:

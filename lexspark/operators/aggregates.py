@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.operators.quantiles import quantiles
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n), most frequent first; nulls do not count."""
@@ -24,14 +26,27 @@ def crosstab_margins(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def score_stats(df: DataFrame, score: str, by: list[str]) -> DataFrame:
+    """(by..., mean, median, min, max, std) of each group; the median is exact, by rank selection."""
     c = F.col(score)
-    return df.groupBy(*by).agg(F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"), F.stddev_samp(c).alias("std"))
+    sums = df.groupBy(*by).agg(F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), F.stddev_samp(c).alias("std"))
+    middle = quantiles(df, score, {"median": 0.5}, by)
+    return _beside(sums, middle, by).select(*by, "mean", "median", "min", "max", "std")
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """Exact count, mean, std, min, quartiles and max."""
     c = F.col(column)
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *[F.percentile(c, p).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)], F.max(c).alias("max"))
+    sums = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    cuts = quantiles(df, column, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return _beside(sums, cuts, []).select("n", "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Two tables with one row for each group, side by side; without groups both have one row."""
+    if not by:
+        return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    renamed = right.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in right.columns if c not in by])
+    return left.join(renamed, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").drop(*[f"_{c}" for c in by])
 
 
 def above(df: DataFrame, columns: list[str], limit: float = 1.0) -> DataFrame:

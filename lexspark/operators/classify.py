@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.operators.quantiles import quantiles
+
 # Labels, the codes that scores add up, and thresholds.
 NO_RULE, PERMISSION, NOTICE, MIXED = "規定なし", "許可制優位", "届出制優位", "混合型"
 NO_ZONE, RESTRAINT, RESTRAINT_BAN, BAN, FEW = "区域設定なし", "抑制地区制", "抑制地区制(禁止区域含む)", "禁止地区制", "区域設定あり(少数)"
@@ -52,11 +54,11 @@ def strictness(score: Column) -> Column:
 
 
 def relative_strictness(rows: DataFrame, score: str) -> DataFrame:
-    """The rows with the level by quartiles of the score: one row of quartiles, joined to all."""
-    quartiles = rows.agg(F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = [F.get("_q", i) for i in range(3)]
-    level = F.when(F.col(score) >= q[2], VERY_STRICT).when(F.col(score) >= q[1], STRICT).when(F.col(score) >= q[0], NORMAL).otherwise(MILD)
-    return rows.join(F.broadcast(quartiles)).withColumn("relative", level).drop("_q")
+    """The rows with the level by quartiles of the score: one row of quartiles, joined to all; without any score all are mild."""
+    cuts = quantiles(rows, score, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
+    level = F.when(F.col(score) >= F.col("_q3"), VERY_STRICT).when(F.col(score) >= F.col("_q2"), STRICT).when(F.col(score) >= F.col("_q1"), NORMAL).otherwise(MILD)
+    one = F.broadcast(cuts.withColumn("_one", F.lit(1)))  # a single row
+    return rows.withColumn("_one", F.lit(1)).join(one, "_one", "left").withColumn("relative", level).drop("_q1", "_q2", "_q3", "_one")
 
 
 def process_type(participation: Column, procedure: Column) -> Column:
@@ -74,8 +76,11 @@ def integrated(wide: DataFrame) -> DataFrame:
     )
 
 
+def missing_columns(df: DataFrame, names: list[str] | tuple[str, ...]) -> list[str]:
+    return [n for n in names if n not in df.columns]
+
+
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    missing = [n for n in names if n not in df.columns]
-    if missing:
+    if missing := missing_columns(df, names):
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df

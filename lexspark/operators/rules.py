@@ -109,10 +109,8 @@ def read_rules(text: str, keep_marked: bool = False, lenient: bool = False) -> d
     return {c: parse(" ".join(lines), lenient) for c, lines in out.items() if lines}
 
 
-def _places(terms: Column, word: str) -> Column:
-    """Positions of the terms that match the word."""
-    hits = F.transform(terms, lambda t, i: F.when(t.contains(word) | F.lit(word).contains(t), i))
-    return F.array_compact(hits)
+def _fits(term: Column, word: str) -> Column:
+    return term.contains(word) | F.lit(word).contains(term)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -120,28 +118,54 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: A place before all, and the largest distance: places and distances stay far from the ends of a bigint.
+_NOWHERE, _FAR = -(1 << 60), 1 << 40
+
+
 def _near(terms: Column, node: Proximity) -> Column:
-    sign = -1 if node.backward else 1
+    """One pass over the terms that match any word, in order of their places, with the last place of each word so far.
 
-    def close(a: Column, b: Column) -> Column:
-        return F.exists(a, lambda p: F.exists(b, lambda q: ((q - p) * sign > 0) & ((q - p) * sign <= node.distance)))
+    Of a word's places before a term the last one is the nearest, so no other needs to be looked at.
+    """
+    names = [f"w{k}" for k in range(len(node.words))]
+    if len(names) < 2:
+        return F.lit(False)
+    far = min(node.distance, _FAR)
+
+    def hit(t: Column, i: Column) -> Column:
+        fits = [_fits(t, w) for w in node.words]
+        return F.when(reduce(lambda x, y: x | y, fits), F.struct(i.cast("bigint").alias("at"), *[f.alias(n) for f, n in zip(fits, names, strict=True)]))
 
-    def holds(found: Column) -> Column:
-        places = [found[f"c{k}"] for k in range(len(node.words))]
-        present = reduce(lambda x, y: x & y, [F.size(p) > 0 for p in places])
-        pairs = [close(a, b) for i, a in enumerate(places) for b in places[i + 1 :]]
-        return present & reduce(lambda x, y: x | y, pairs) if pairs else F.lit(False)
+    def step(last: Column, h: Column) -> Column:
+        # The word that stands first in the rule comes before the others, or after them where the search goes backward.
+        pairs = [(a, b) if not node.backward else (b, a) for i, a in enumerate(names) for b in names[i + 1 :]]
+        close = reduce(lambda x, y: x | y, [h[later] & (h["at"] - last[earlier] <= far) for earlier, later in pairs])
+        return F.struct((last["hit"] | close).alias("hit"), *[F.when(h[n], h["at"]).otherwise(last[n]).alias(n) for n in names])
 
-    return _let(F.struct(*[_places(terms, w).alias(f"c{k}") for k, w in enumerate(node.words)]), holds)
+    start = F.struct(F.lit(False).alias("hit"), *[F.lit(_NOWHERE).cast("bigint").alias(n) for n in names])
+    return F.aggregate(F.array_compact(F.transform(terms, hit)), start, step, lambda last: last["hit"] & reduce(lambda x, y: x & y, [last[n] >= 0 for n in names]))
+
+
+def _places(terms: Column, word: str) -> Column:
+    """Positions of the terms that match the word, in order."""
+    return F.array_compact(F.transform(terms, lambda t, i: F.when(_fits(t, word), i.cast("bigint"))))
 
 
 def _seq(terms: Column, node: Proximity) -> Column:
-    """From each place of the first word on, the first match in reach of each next word."""
-    d = node.distance
-    inside = (lambda p, q: (q >= F.greatest(F.lit(0), p - d)) & (q < p)) if node.backward else (lambda p, q: (q > p) & (q <= p + d))
+    """From each place of the first word on, the first match in reach of each next word.
+
+    The places of the next word become a table that gives the first of them from any position on, so a step looks at each place once.
+    """
+    d = min(node.distance, _FAR)
 
     def following(now: Column, there: Column) -> Column:
-        return F.array_distinct(F.array_compact(F.transform(now, lambda p: F.array_min(F.filter(there, lambda q: inside(p, q))))))
+        def reached(p: Column, table: Column) -> Column:
+            begin = F.greatest(F.lit(0).cast("bigint"), p - d) if node.backward else p + 1
+            first = F.get(table, begin.cast("int"))
+            return F.when(first < p if node.backward else first <= p + d, first)
+
+        table = F.flatten(F.transform(there, lambda q, k: F.array_repeat(q, (q - F.coalesce(F.get(there, k - 1), F.lit(-1))).cast("int"))))
+        return _let(F.struct(table.alias("first")), lambda x: F.array_distinct(F.array_compact(F.transform(now, lambda p: reached(p, x["first"])))))
 
     now = _places(terms, node.words[0])
     for word in node.words[1:]:

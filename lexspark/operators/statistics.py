@@ -6,13 +6,17 @@ Everything but the chi-square tail and the clustering of a few dozen codes is a
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexspark.operators.views import fixed
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -109,7 +113,7 @@ def chi_square_stars(counts: DataFrame) -> DataFrame:
     df = counts.groupBy("code").agg((F.count_distinct("grp") - 1).alias("df"))
     tested = chi_square(counts).join(df, "code").withColumn("p_value", _tail("chi2", "df"))
     stars = F.when(F.col("p_value") < 0.01, "**").when(F.col("p_value") < 0.05, "*").otherwise("")
-    return tested.select("code", "chi2", "p_value", F.concat(F.format_string("%.3f", "chi2"), stars).alias("shown"))
+    return tested.select("code", "chi2", "p_value", F.concat(fixed(F.col("chi2"), 3), stars).alias("shown"))
 
 
 def poisson_aic(counts: DataFrame) -> DataFrame:
@@ -142,28 +146,106 @@ def shares_by_row(counts: DataFrame) -> DataFrame:
     return counts.join(sums, "code").select("code", "grp", (F.col("n") / F.col("sn")).alias("share"))
 
 
-def ward_order(counts: DataFrame) -> pd.DataFrame:
-    """Ward's merges of codes by their shares: (step, left, right, distance, size).
+def squared_distances(counts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Codes, and the squares of the distances between their shares.
 
-    Codes come from one rule file, some dozens; shares are gathered for them alone, groups as columns.
+    Each task sums the squares over its groups, so that the driver gets one number for each pair of codes, however many groups
+    there are; codes come from one rule file, some dozens.
+    """
+    shares = shares_by_row(counts)
+    codes = [r["code"] for r in shares.select("code").distinct().orderBy("code").collect()]
+    k, place = len(codes), {c: i for i, c in enumerate(codes)}
+    if not k:
+        return codes, np.zeros((0, 0))
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            for of_code, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                row = np.zeros(k)
+                row[[place[c] for c in of_code]] = values
+                total += (row[:, None] - row[None, :]) ** 2
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
+
+    by_group = shares.groupBy("grp").agg(F.collect_list("code").alias("codes"), F.collect_list("share").alias("shares")).select("codes", "shares")
+    sums = by_group.mapInArrow(squares, "i int, row array<double>").groupBy("i").agg(F.array(*[F.sum(F.col("row")[j]) for j in range(k)]).alias("row"))
+    return codes, np.array([r["row"] for r in sorted(sums.collect(), key=lambda r: r["i"])]) if k else np.zeros((0, 0))
+
+
+def ward_merges(squares: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """(left, right, distance, size) of Ward's merges by chains of nearest neighbours; merged clusters are numbered from k on.
+
+    From any cluster the chain goes to its nearest neighbour until two are each other's nearest: these merge, whatever else is
+    open, since Ward's distance never falls by a merge.  Each merge costs k steps, all of them the square of k.
     """
-    wide = shares_by_row(counts).groupBy("code").agg(F.sort_array(F.collect_list(F.struct("grp", "share"))).alias("row")).orderBy("code").toPandas()
-    points = np.array([[x["share"] for x in row] for row in wide["row"]])
-    names, sizes, d = {i: c for i, c in enumerate(wide["code"])}, {i: 1 for i in range(len(wide))}, {}
-    for i in range(len(points)):
-        for j in range(i):
-            d[j, i] = float(np.linalg.norm(points[i] - points[j]))
-    out, new = [], len(points)
-    while len(sizes) > 1:
-        i, j = min(d, key=lambda k: (d[k], k))
-        h = d.pop((i, j))
-        ni, nj = sizes.pop(i), sizes.pop(j)
-        for k in sizes:
-            a, b = d.pop((min(i, k), max(i, k))), d.pop((min(j, k), max(j, k)))
-            nk = sizes[k]
-            d[k, new] = math.sqrt(((ni + nk) * a * a + (nj + nk) * b * b - nk * h * h) / (ni + nj + nk))
-        names[new] = f"{names[i]}|{names[j]}"
-        out.append((len(out) + 1, names[i], names[j], h, ni + nj))
-        sizes[new] = ni + nj
-        new += 1
+    k = len(squares)
+    d, size, alive, chain, pairs = squares.astype(float).copy(), np.ones(k), np.ones(k, bool), [], []
+    np.fill_diagonal(d, np.inf)
+    while len(pairs) < k - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            a = chain[-1]
+            row = np.where(alive, d[a], np.inf)
+            row[a] = np.inf
+            b = int(row.argmin())
+            if len(chain) > 1 and row[chain[-2]] <= row[b]:
+                b = chain[-2]  # of equally near ones the one that the chain came from
+                break
+            chain.append(b)
+        chain = chain[:-2]
+        a, b = min(a, b), max(a, b)
+        pairs.append((a, b, float(d[a, b])))
+        n = size[a] + size[b]
+        new = ((size[a] + size) * d[a] + (size[b] + size) * d[b] - size * d[a, b]) / (n + size)
+        d[a] = d[:, a] = new
+        d[a, a] = np.inf
+        size[a], alive[b] = n, False
+    # Chains find merges out of order: by distance, each side is the cluster that its code is in by then.
+    root, members, out = list(range(k)), {i: 1 for i in range(k)}, []
+    name = list(range(k))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b, h in sorted(pairs, key=lambda p: p[2]):
+        x, y = top(a), top(b)
+        left, right = sorted((name[x], name[y]))
+        members[k + len(out)] = n = members[left] + members[right]
+        root[y], name[x] = x, k + len(out)
+        out.append((left, right, math.sqrt(max(0.0, h)), n))
+    return out
+
+
+def ward_order(counts: DataFrame) -> pd.DataFrame:
+    """Ward's merges of codes by their shares: (step, left, right, distance, size)."""
+    codes, squares = squared_distances(counts)
+    names = list(codes)
+    out = []
+    for left, right, distance, size in ward_merges(squares):
+        out.append((len(out) + 1, names[left], names[right], distance, size))
+        names.append(f"{names[left]}|{names[right]}")
     return pd.DataFrame(out, columns=["step", "left", "right", "distance", "size"])
+
+
+def ward_clusters(counts: DataFrame, share: float = 0.7) -> pd.DataFrame:
+    """(code, place, cluster): codes in the order of the dendrogram's leaves, and the clusters that a cut below share * largest distance leaves.
+
+    Clusters are numbered from 1 in the order of leaves; the left branch of a merge is the older cluster.
+    """
+    codes, squares = squared_distances(counts)
+    merges = ward_merges(squares)
+    k, cut = len(codes), share * max((m[2] for m in merges), default=0.0)
+    leaves: dict[int, list[int]] = {i: [i] for i in range(k)}
+    group = list(range(k))
+    for i, (left, right, distance, _) in enumerate(merges):
+        leaves[k + i] = leaves.pop(left) + leaves.pop(right)
+        if distance < cut:
+            for leaf in leaves[k + i]:
+                group[leaf] = k + i
+    order = leaves.get(2 * k - 2, list(range(k)))
+    number = {g: i for i, g in enumerate(dict.fromkeys(group[leaf] for leaf in order), 1)}
+    return pd.DataFrame([(codes[leaf], i, number[group[leaf]]) for i, leaf in enumerate(order, 1)], columns=["code", "place", "cluster"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Primary keys and references of the four tables.
@@ -118,11 +118,18 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def constraints(spark: SparkSession) -> DataFrame:
-    """(table, kind, columns, target): the primary keys, unique columns, references and indexes that the store declares."""
-    rows = [(t, "primary key", ", ".join(k), None) for t, k in KEYS.items()] + [(t, "unique", ", ".join(k), None) for t, k in UNIQUE.items()]
-    rows += [(t, "reference", c, f"{to}(id)") for t, c, to in REFERENCES] + [(t, "index", c, None) for t, c in INDEXES]
-    return spark.createDataFrame(rows, "table string, kind string, columns string, target string")
+def constraints(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, kind, columns, target, n_values): the primary keys, unique columns, references and indexes that the store declares, and how many distinct values each holds."""
+    rows = [(t, "primary key", k, None) for t, k in KEYS.items()] + [(t, "unique", k, None) for t, k in UNIQUE.items()]
+    rows += [(t, "reference", (c,), f"{to}(id)") for t, c, to in REFERENCES] + [(t, "index", (c,), None) for t, c in INDEXES]
+    parts = []
+    for table in KEYS:  # a table's columns are counted in one pass
+        own = [r for r in rows if r[0] == table]
+        counts = tables[table].agg(*[F.count_distinct(*[F.col(c) for c in columns]).alias(f"n{i}") for i, columns in enumerate(dict.fromkeys(r[2] for r in own))])
+        at = {columns: f"n{i}" for i, columns in enumerate(dict.fromkeys(r[2] for r in own))}
+        named = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(kind).alias("kind"), F.lit(", ".join(c)).alias("columns"), F.lit(to).cast("string").alias("target"), F.col(at[c]).alias("n_values")) for t, kind, c, to in own])
+        parts.append(counts.select(F.explode(named).alias("r")).select("r.*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -153,29 +160,28 @@ def read(spark: SparkSession, database: str) -> dict[str, DataFrame]:
 
 
 def describe_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, column, type, n_rows) of every column."""
-    rows = [(t, f.name, f.dataType.simpleString(), df.count()) for t, df in tables.items() for f in df.schema.fields]
-    return spark.createDataFrame(rows, "table string, column string, type string, n_rows bigint")
+    """(table, column, type, n_rows) of every column; each table is counted once, all in one job."""
+    fields = spark.createDataFrame([(t, f.name, f.dataType.simpleString()) for t, df in tables.items() for f in df.schema.fields], "table string, column string, type string")
+    return fields.join(F.broadcast(table_counts(tables)), "table")  # a row for each table
 
 
 def build(coded: DataFrame, analysis: DataFrame | None = None) -> dict[str, DataFrame]:
     """The four tables from (municipality, year, category, h5, dan, text, codes); ids follow the sort order of names and codes.
 
-    Names and codes are looked for in one pass, which this function runs: they are few and come to the driver.  A coding's id
-    names its paragraph and its code.
+    No job runs here.  Names and codes are few, so they are numbered in one task each, from one grouping of the rows; a coding's id names
+    its paragraph and its code.  Where all four tables are used, save ``coded`` first: paragraphs and codings each read it.
     """
-    spark = coded.sparkSession
-    found = coded.groupBy("municipality").agg(F.array_distinct(F.flatten(F.collect_set("codes"))).alias("codes")).collect()
-    names = sorted(r["municipality"] for r in found if r["municipality"] is not None)
-    codes = sorted({c for r in found for c in r["codes"] or []})
-    towns = spark.createDataFrame(list(enumerate(names, 1)), "id int, name string").select("name", "id")
-    types = spark.createDataFrame(list(enumerate(codes, 1)), "id int, code string").select("code", "id")
-    few = lambda df, n: F.broadcast(df) if n <= 100_000 else df
-    keyed = few(towns.select(F.col("name").alias("municipality"), F.col("id").alias("municipality_id")), len(names))
+    found = coded.groupBy("municipality").agg(F.array_distinct(F.flatten(F.collect_set("codes"))).alias("codes"))
+    numbered = lambda rows, name: rows.filter(F.col(name).isNotNull()).distinct().withColumn("id", F.row_number().over(Window.orderBy(name)))
+    towns = numbered(found.select(F.col("municipality").alias("name")), "name")
+    types = numbered(found.select(F.explode("codes").alias("code")), "code")
+    keyed = towns.select(F.col("name").alias("municipality"), F.col("id").alias("municipality_id"))
     if analysis is not None:
         towns = enrich(towns, analysis, "name")
     # One bigint for a paragraph's place: document ordinal and line, so no global order is needed.
-    paragraphs = coded.withColumn("id", F.col("h5") * F.lit(1 << 24) + F.col("dan")).join(keyed, "municipality")
-    pairs = paragraphs.select(F.col("id").alias("paragraph_id"), F.explode("codes").alias("code")).join(few(types.withColumnRenamed("id", "coding_type_id"), len(codes)), "code")
+    placed = coded.withColumn("id", F.col("h5") * F.lit(1 << 24) + F.col("dan"))
+    paragraphs = placed.join(keyed, "municipality")
+    known = placed.filter(F.col("municipality").isNotNull())
+    pairs = known.select(F.col("id").alias("paragraph_id"), F.explode("codes").alias("code")).join(types.withColumnRenamed("id", "coding_type_id"), "code")
     codings = pairs.select(F.concat_ws("-", "paragraph_id", "coding_type_id").alias("id"), "paragraph_id", "coding_type_id")
     return {"municipalities": towns, "coding_types": types, "paragraphs": paragraphs.select("id", "h5", "municipality_id", "year", "category", F.col("dan").alias("dan_number"), "text"), "paragraph_codings": codings}

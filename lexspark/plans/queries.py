@@ -11,7 +11,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.functions import lines, text
+from lexspark.functions import charset, lines, text
 from lexspark.operators import aggregates, classify, coding, rules, statistics, store, terms, tokens, views
 from lexspark.sources import ledger, tables
 from lexspark.streaming import coding as stream
@@ -186,9 +186,21 @@ def paragraph_count(spark, d):
     return _lines(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))
 
 
-@query(f"WITH {_LINES} SELECT CASE WHEN regexp_matches(s, '^[2-9]$') THEN 'digit' WHEN regexp_matches(s, '^[（(][^)）]+[）)][ ]*$') THEN 'caption' ELSE 'text' END AS kind, count(*) AS n FROM ln GROUP BY kind")
+#: Lines of every title form, and some that only look like one; # stands for a number, fullwidth numbers for that of a region.
+_FORMS = ("- # -", "－#－", "- # - 終", "○第#章", "令和#年４月１日", "平成#年一月二日の会議において決めた規則", "昭和３年", "条例第#号", "条例第#号　", "告示第#号の写し", "第#条", "第#条の２", "第＃条", "#", "（目的#）", "(目的#) ", "（目的）#", "附則", "附　則（#）", "＃", "本則#")
+_WIDE_DIGITS = "translate({}, '0123456789', '０１２３４５６７８９')"
+_FORM_LINES = "fl AS (SELECT k, f, trim(replace(replace(form, '#', k::VARCHAR), '＃', " + _WIDE_DIGITS.format("k::VARCHAR") + ")) AS s FROM (SELECT n_nationkey AS k FROM nation), (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(_FORMS)) + ") AS v(f, form))"
+_TITLES = (("page", r"^[-－―ー]\s*\d+\s*[-－―ー]$"), ("number", "^[０-９]+$"), ("heading", "^○"), ("date", r"^(令和|平成|昭和)[\d０-９]+年.{0,10}$"), ("serial", r"^(条例|規則|告示)第[\d０-９]+号[\s　]*$"), ("article", r"^第[\d０-９]+条[\s　]*$"), ("digit", "^[2-9]$"), ("caption", r"^[（(][^)）]+[）)][\s　]*$"), ("supplement", "^(附則|附　則)"))
+
+
+@query(f"WITH {_LINES}, {_FORM_LINES}, al AS (SELECT s FROM ln UNION ALL SELECT s FROM fl) SELECT CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{k}'" for k, p in _TITLES) + " ELSE 'text' END AS kind, count(*) AS n, min(s) AS first FROM al GROUP BY kind")
 def line_class(spark, d):
-    return _lines(spark, d).groupBy(F.coalesce(lines.title_class(F.col("s")), F.lit("text")).alias("kind")).agg(F.count("*").alias("n"))
+    """The corpus' lines, and those of every form with the keys of a table for numbers."""
+    k = F.col("n_nationkey").cast("string")
+    form = F.explode(F.array(*[F.lit(x) for x in _FORMS])).alias("form")
+    made = _t(spark, d, "nation").select(k.alias("k"), form).select(F.replace(F.replace("form", F.lit("#"), F.col("k")), F.lit("＃"), F.translate("k", "0123456789", "０１２３４５６７８９")).alias("s"))
+    rows = _lines(spark, d).select("s").unionByName(made.select(F.trim("s").alias("s")))
+    return rows.groupBy(F.coalesce(lines.title_class(F.col("s")), F.lit("text")).alias("kind")).agg(F.count("*").alias("n"), F.min("s").alias("first"))
 
 
 @query(rf"""WITH {_LINES}, m AS (SELECT *, regexp_matches(s, '^[ET]') AS marks, lag(s) OVER w AS before FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY dan)),
@@ -471,10 +483,49 @@ def export_by_code(spark, d):
     return store.export_by_code(t["paragraphs"], t["paragraph_codings"], t["municipalities"], store.code_id(t["coding_types"], "*P"), ["id", "h5", "municipality", "text"])
 
 
-@query("SELECT 7 AS checks, 0::BIGINT AS broken")
+#: The four tables in SQL, and the same with rows that break each rule.
+_TABLES = f"""{_STORE}, mun AS (SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT source AS name FROM ln WHERE source IS NOT NULL)),
+typ AS (SELECT row_number() OVER (ORDER BY code) AS id, code FROM (SELECT DISTINCT code FROM ln JOIN cd ON contains(s, w))),
+par AS (SELECT cn.id, mun.id AS municipality_id, h5, dan, s FROM cn JOIN mun ON source = name),
+cod AS (SELECT par.id || '-' || typ.id AS id, par.id AS paragraph_id, typ.id AS coding_type_id FROM par JOIN cd ON contains(s, w) JOIN typ USING (code))"""
+_BROKEN = f"""{_TABLES}, mun2 AS (SELECT * FROM mun UNION ALL SELECT * FROM mun WHERE id % 4 = 1),
+typ2 AS (SELECT * FROM typ UNION ALL SELECT id + 100, code FROM typ WHERE id % 3 = 0 UNION ALL SELECT id, code || 'x' FROM typ WHERE id % 5 = 0),
+par2 AS (SELECT id, CASE WHEN h5 % 70 = 3 THEN municipality_id + 1000 ELSE municipality_id END AS municipality_id FROM par UNION ALL SELECT id, municipality_id FROM par WHERE h5 % 50 = 0 AND dan = 1),
+cod2 AS (SELECT * FROM cod UNION ALL SELECT 'again-' || id, paragraph_id, coding_type_id FROM cod WHERE paragraph_id % 97 = 0 UNION ALL SELECT id, -1 - paragraph_id, coding_type_id + 1000 FROM cod WHERE paragraph_id % 101 = 0)"""
+
+
+def _twice(table: str, columns: str) -> str:
+    return f"SELECT count(*) AS n FROM (SELECT 1 FROM {table} GROUP BY {columns} HAVING count(*) > 1)"
+
+
+def _lost(child: str, column: str, parent: str) -> str:
+    return f"SELECT count(*) FROM {child} WHERE {column} NOT IN (SELECT id FROM {parent})"
+
+
+_CHECKED = {
+    "unique municipalities(id)": _twice("mun2", "id"), "unique coding_types(id)": _twice("typ2", "id"), "unique paragraphs(id)": _twice("par2", "id"), "unique paragraph_codings(id)": _twice("cod2", "id"),
+    "unique municipalities(name)": _twice("mun2", "name"), "unique coding_types(code)": _twice("typ2", "code"), "unique paragraph_codings(paragraph_id, coding_type_id)": _twice("cod2", "paragraph_id, coding_type_id"),
+    "paragraphs.municipality_id -> municipalities": _lost("par2", "municipality_id", "mun2"), "paragraph_codings.paragraph_id -> paragraphs": _lost("cod2", "paragraph_id", "par2"), "paragraph_codings.coding_type_id -> coding_types": _lost("cod2", "coding_type_id", "typ2"),
+}
+
+
+def _broken_store(spark, d):
+    """The store with rows that break every rule: repeated ids, names and codes, repeated pairs, references to nothing."""
+    t = _store(spark, d)
+    mun, typ, par, cod = (t[k] for k in ("municipalities", "coding_types", "paragraphs", "paragraph_codings"))
+    typ = typ.unionByName(typ.filter("id % 3 = 0").withColumn("id", F.col("id") + 100)).unionByName(typ.filter("id % 5 = 0").withColumn("code", F.concat("code", F.lit("x"))))
+    moved = par.withColumn("municipality_id", F.when(F.col("h5") % 70 == 3, F.col("municipality_id") + 1000).otherwise(F.col("municipality_id")))
+    again = cod.filter("paragraph_id % 97 = 0").withColumn("id", F.concat(F.lit("again-"), "id"))
+    astray = cod.filter("paragraph_id % 101 = 0").withColumn("paragraph_id", -1 - F.col("paragraph_id")).withColumn("coding_type_id", F.col("coding_type_id") + 1000)
+    return {
+        "municipalities": mun.unionByName(mun.filter("id % 4 = 1")), "coding_types": typ, "paragraphs": moved.unionByName(par.filter("h5 % 50 = 0 AND dan_number = 1")),
+        "paragraph_codings": cod.unionByName(again).unionByName(astray),
+    }
+
+
+@query(f"WITH {_BROKEN} " + " UNION ALL ".join(f"SELECT '{name}' AS \"check\", ({sql})::BIGINT AS n" for name, sql in _CHECKED.items()))
 def store_checks(spark, d):
-    found = store.violations(_store(spark, d)).agg(F.count("*").cast("int").alias("all"), F.sum("n").alias("broken"))
-    return found.select((F.col("all") - 3).alias("checks"), "broken")
+    return store.violations(_broken_store(spark, d))
 
 
 @query(f"WITH {_STORE} SELECT id, s AS text FROM cn WHERE h5 = 3 AND dan = 1")
@@ -542,9 +593,10 @@ def skip_pdf_if_html(spark, d):
     return ledger.skippable_pdfs(_entries(spark, d)).select("municipality", "doc_type")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 10 = 0)")
 def not_yet_fetched(spark, d):
-    return ledger.to_fetch(_t(spark, d, "customer").select("c_custkey"), _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    fetched = _t(spark, d, "orders").filter("o_orderstatus = 'P' OR o_orderkey % 10 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return ledger.to_fetch(_t(spark, d, "customer").select("c_custkey"), fetched, ["c_custkey"])
 
 
 @query("SELECT year(o_orderdate)::INT AS year, count(*) FILTER (o_orderstatus = 'F') AS fetched, count(*) FILTER (o_orderstatus = 'O') AS skipped, count(*) FILTER (o_orderstatus = 'P') AS errors, count(*) AS records FROM orders GROUP BY ROLLUP (year(o_orderdate))")
@@ -581,6 +633,23 @@ def term_funnel(spark, d):
     return terms.funnel_counts(terms.funnel(_candidates(spark, d), LISTS))
 
 
+#: Terms of Japanese ordinances, with the filter that takes each away (0: none); # stands for the key of a region.
+_JAPANESE_LISTS = terms.Lists(suffixes=("区域", "届出"), curated=("事業計画の届出", "その区域"), laws=("森林法",))
+_TERMS = (
+    ("禁止区域#", 0), ("太陽光発電設備#の設置", 0), ("森林法", 0), ("事業計画の届出", 0), ("その区域", 0), ("区域", 1), ("申請書", 1), ("第#条", 1), ("第#号", 1), ("道路法(昭和#", 1), ("とても長い名前の設備に関する事前の説明会の開催及び結果の報告に係る様式の届出の区域その#", 1),
+    ("#)届出", 2), ("同法", 2), ("前項", 2), ("次に掲げる区域#", 2), ("住民票#の写し", 2), ("第#条の２第１項の区域", 2), ("河川法", 3), ("法律#の区域", 3), ("農地#法", 3), ("町条例(案#", 3), ("この条例の区域#", 4), ("当該#区域", 4), ("上記#区域", 4), ("氏名及び住所#届出", 4), ("設備の維持管理#及び撤去の届出の区域", 4), ("三十文字を越える長い名前を持つ届出の区域と名前の対象の地域の一覧#", 4),
+    ("な設置#届出", 5), ("に規定する#区域", 5), ("町#の条例", 5), ("令和#年町条例", 5), ("防災", 5), ("景観", 5), ("塀(届出#", 6), ("様式第#号届出", 6), ("を行う者の氏名#", 6),
+)
+
+
+@query("SELECT DISTINCT replace(t, '#', r_regionkey::VARCHAR) AS term, lost FROM region, (VALUES " + ", ".join(f"('{t}', {k})" for t, k in _TERMS) + ") AS v(t, lost)")
+def term_filters(spark, d):
+    """For each term the first filter that it does not pass."""
+    made = _t(spark, d, "region").select(F.explode(F.array(*[F.replace(F.lit(t), F.lit("#"), F.col("r_regionkey").cast("string")) for t, _ in _TERMS])).alias("term")).distinct()
+    flags = terms.funnel(made, _JAPANESE_LISTS)
+    return flags.select("term", F.coalesce(*[F.when(~F.col(f"stage_{k}"), k) for k in range(1, 7)], F.lit(0)).alias("lost"))
+
+
 @query(f"WITH {_CAND}, o AS (SELECT length(term) AS n, row_number() OVER (ORDER BY length(term)) AS k, count(*) OVER () AS c FROM cand) SELECT count(*) AS terms, avg(n) AS mean, min(n)::INT AS min, max(n)::INT AS max, (max(n) FILTER (k = c // 2 + 1))::INT AS median FROM o")
 def term_length_stats(spark, d):
     return terms.length_stats(_candidates(spark, d))
@@ -760,9 +829,11 @@ def seeded_sample(spark, d):
     return views.seeded_sample(_t(spark, d, "documents").select("doc_id", "source"), 60, 7, "doc_id")
 
 
-@query("SELECT o_orderkey, printf('%.2f', o_totalprice) AS price, printf('%.2f%%', (o_orderkey % 1000) / 10) AS share FROM orders")
+@query("SELECT o_orderkey, printf('%.2f', o_totalprice) AS price, printf('%.2f%%', (o_orderkey % 1000)::DOUBLE / 80000 * 100) AS share, printf('%.2f', (o_orderkey % 5000 + 0.5::DOUBLE) / 100) AS tie, printf('%.2f', (o_orderkey % 999)::DOUBLE / 8) AS eighths FROM orders")
 def formatted_numbers(spark, d):
-    return _t(spark, d, "orders").select("o_orderkey", views.fixed(F.col("o_totalprice")).alias("price"), views.percent_text((F.col("o_orderkey") % 1000) / 1000).alias("share"))
+    k = F.col("o_orderkey")
+    tie, eighths = views.fixed((k % 5000 + 0.5) / 100), views.fixed((k % 999).cast("double") / 8)
+    return _t(spark, d, "orders").select("o_orderkey", views.fixed(F.col("o_totalprice")).alias("price"), views.percent_text((k % 1000).cast("double") / 80000).alias("share"), tie.alias("tie"), eighths.alias("eighths"))
 
 
 @query(f"WITH {_RESID}, b AS (SELECT max(100.0 * n / cases) AS top FROM rs WHERE cases > 0) SELECT list_filter([0.01, 0.1, 1.0, 5.0, 20.0, 1000.0]::DOUBLE[], lambda x: x >= 0.05 AND x <= top) AS shown, 0.05::DOUBLE AS lower, ceil(top)::DOUBLE AS upper FROM b")
@@ -775,9 +846,10 @@ def chi2_stars(spark, d):
     return statistics.chi_square_stars(_counts(spark, d))
 
 
-@query(f"WITH {_CAND} SELECT 'laws' AS category, count(*) FILTER (term IN ('Bildung', 'Regierung')) AS n FROM cand UNION ALL SELECT 'ab', count(*) FILTER (contains(term, 'ab')) FROM cand UNION ALL SELECT 'endings', count(*) FILTER (contains(term, 'tion') OR contains(term, 'heit')) FROM cand")
+@query(f"WITH {_CAND} SELECT 'laws' AS category, count(*) FILTER (term IN ('森林法', '農地法')) AS n FROM (SELECT term FROM cand UNION ALL SELECT DISTINCT replace(t, '#', r_regionkey::VARCHAR) FROM region, (VALUES {', '.join(f"('{t}')" for t, _ in _TERMS)}) AS v(t)) UNION ALL SELECT 'ab', count(*) FILTER (contains(term, 'ab')) FROM cand UNION ALL SELECT 'endings', count(*) FILTER (contains(term, 'tion') OR contains(term, 'heit')) FROM cand UNION ALL SELECT 'areas', count(DISTINCT replace(t, '#', r_regionkey::VARCHAR)) FROM region, (VALUES {', '.join(f"('{t}')" for t, _ in _TERMS)}) AS v(t) WHERE contains(t, '区域') OR contains(t, '地域')")
 def term_categories(spark, d):
-    return terms.category_counts(_candidates(spark, d), ("Bildung", "Regierung"), {"ab": ("ab",), "endings": ("tion", "heit")})
+    made = _t(spark, d, "region").select(F.explode(F.array(*[F.replace(F.lit(t), F.lit("#"), F.col("r_regionkey").cast("string")) for t, _ in _TERMS])).alias("term")).distinct()
+    return terms.category_counts(_candidates(spark, d).unionByName(made), ("森林法", "農地法"), {"ab": ("ab",), "endings": ("tion", "heit"), "areas": ("区域", "地域")})
 
 
 @query(f"WITH {_STORE}, one AS (SELECT min(id) AS id FROM cn WHERE contains(s, 'that') AND contains(s, 'with')) SELECT code FROM cn JOIN one USING (id) JOIN cd ON contains(s, w)")
@@ -839,12 +911,74 @@ def escaped_words(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.concat(cell, F.lit("\\E")).rlike(text.regex_escape("a.b([") + ".*A.*" + text.regex_escape("\\E")).alias("hit"))
 
 
-@query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
+#: Texts, and the encodings in which they are met.
+_PHRASES = ("第１条　この条例は、太陽光発電設備の設置に関し必要な事項を定めるものとする。", "ﾊﾟﾈﾙ設置ﾉ届出", "事業者は、森林法の区域に設置してはならない。")
+_PLACES = ("Le règlement général a été adopté à l'unanimité.", "Für größere Flächen gilt §5.")
+_ENCODED = [(t, e, t.encode(e).hex()) for ts, es in ((_PHRASES, ("utf-8", "cp932", "euc_jp", "iso2022_jp", "utf-16", "utf-16-le", "utf-8-sig")), (_PLACES, ("utf-8", "cp1252"))) for t in ts for e in es if not (e == "iso2022_jp" and "ﾊ" in t)]
+
+
+@query("SELECT 'document' AS kind, doc_id AS id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL UNION ALL SELECT e, n_nationkey, sha256(t || CASE WHEN e LIKE 'utf-16%' THEN '' ELSE ' ' || n_name END) FROM nation, (VALUES " + ", ".join("('{}', '{}')".format(t.replace("'", "''"), e) for t, e, _ in _ENCODED) + ") AS v(t, e)")
 def decoded_bytes(spark, d):
-    raw = _t(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
-    return raw.select("doc_id", F.sha2(text.decode_detected("bytes"), 256).alias("digest"))
+    """The corpus' texts, and phrases in other encodings before the names of a table."""
+    raw = _t(spark, d, "documents").filter("text IS NOT NULL").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("bytes"))
+    phrases = F.explode(F.array(*[F.struct(F.lit(e).alias("e"), F.lit(h).alias("h")) for _, e, h in _ENCODED])).alias("p")
+    name = F.when(F.col("p.e").startswith("utf-16"), F.lit("")).otherwise(F.concat(F.lit(" "), "n_name"))
+    made = _t(spark, d, "nation").select("n_nationkey", "n_name", phrases).select(F.col("p.e").alias("kind"), F.col("n_nationkey").cast("bigint").alias("id"), F.unhex(F.concat("p.h", F.hex(name))).alias("bytes"))
+    return raw.unionByName(made).select("kind", "id", F.sha2(text.decode_detected(F.col("bytes")), 256).alias("digest"))
 
 
-@query("SELECT count(*) AS n FROM documents")
+_REQUIRED = {"documents": ("doc_id", "text", "source", "year"), "labels": ("doc_id", "toxic", "score"), "nation": ("n_name", "n_area")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS n_rows, coalesce((SELECT string_agg(c, ', ' ORDER BY c) FROM (VALUES {', '.join(f"('{c}')" for c in names)}) AS v(c) WHERE c NOT IN (SELECT column_name FROM (DESCRIBE {t}))), '') AS missing" for t, names in _REQUIRED.items()))
 def required_columns(spark, d):
-    return classify.require_columns(_t(spark, d, "documents"), ["doc_id", "text", "source"]).agg(F.count("*").alias("n"))
+    """Which of the columns that a step wants its table lacks."""
+    parts = []
+    for name, wanted in _REQUIRED.items():
+        df = _t(spark, d, name)
+        parts.append(df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table"), "n_rows", F.lit(", ".join(sorted(classify.missing_columns(df, wanted)))).alias("missing")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_DISTINCT = "SELECT count(DISTINCT ({c})) FROM {t}"
+_DECLARED = [
+    ("municipalities", "primary key", "id", None, "mun", "id"), ("coding_types", "primary key", "id", None, "typ", "id"), ("paragraphs", "primary key", "id", None, "par", "id"), ("paragraph_codings", "primary key", "id", None, "cod", "id"),
+    ("municipalities", "unique", "name", None, "mun", "name"), ("coding_types", "unique", "code", None, "typ", "code"), ("paragraph_codings", "unique", "paragraph_id, coding_type_id", None, "cod", "paragraph_id, coding_type_id"),
+    ("paragraphs", "reference", "municipality_id", "municipalities(id)", "par", "municipality_id"), ("paragraph_codings", "reference", "paragraph_id", "paragraphs(id)", "cod", "paragraph_id"), ("paragraph_codings", "reference", "coding_type_id", "coding_types(id)", "cod", "coding_type_id"),
+    ("paragraphs", "index", "municipality_id", None, "par", "municipality_id"), ("paragraph_codings", "index", "paragraph_id", None, "cod", "paragraph_id"), ("paragraph_codings", "index", "coding_type_id", None, "cod", "coding_type_id"),
+]
+
+
+@query(f"WITH {_TABLES} " + " UNION ALL ".join("SELECT '{}' AS \"table\", '{}' AS kind, '{}' AS columns, {} AS target, ({})::BIGINT AS n_values".format(t, k, c, f"'{to}'" if to else "NULL::VARCHAR", _DISTINCT.format(c=cols, t=cte)) for t, k, c, to, cte, cols in _DECLARED))
+def schema_constraints(spark, d):
+    """The declared keys, references and indexes, with the number of distinct values that they hold in the store."""
+    return store.constraints(_store(spark, d))
+
+
+_SCORES = """par AS (SELECT *, 0.05::DOUBLE AS lo, top AS hi, top - 0.05 AS w FROM b),
+c AS (SELECT *, j * q * pow(10.0::DOUBLE, z) AS step FROM par, (SELECT unnest(range(1, 5)) AS j), (VALUES (0, 1.0::DOUBLE), (1, 5), (2, 2), (3, 2.5), (4, 4), (5, 3)) AS v(i, q), (SELECT unnest(range(2, 15)) AS k), (SELECT unnest(range(-4, 5)) AS z)),
+st AS (SELECT *, unnest(range(floor(hi / step)::BIGINT * j - (k - 1) * j, ceil(lo / step)::BIGINT * j + 1)) AS s FROM c WHERE step * (k - 1) BETWEEN w / 20 AND w * 20),
+l AS (SELECT *, s * (step / j) AS a, s * (step / j) + step * (k - 1) AS z2 FROM st),
+sc AS (SELECT *, 0.25 * (1 - i / 5.0::DOUBLE - j + CASE WHEN s % j = 0 AND a <= 0 AND z2 >= 0 THEN 1 ELSE 0 END) + 0.2 * (1 - 0.5 * (pow(hi - z2, 2) + pow(lo - a, 2)) / pow(0.1 * w, 2))
+  + 0.5 * (2 - greatest(((k - 1) / (z2 - a)) / (4 / (greatest(z2, hi) - least(lo, a))), (4 / (greatest(z2, hi) - least(lo, a))) / ((k - 1) / (z2 - a)))) + 0.05 AS score FROM l),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY round(score, 9) DESC, j, i, k, z, s) = 1)"""
+
+
+@query(f"WITH {_RESID}, b AS (SELECT code, max(100.0::DOUBLE * n / cases) AS top FROM rs WHERE n > 0 GROUP BY code), {_SCORES.format(by='code')} SELECT code, list_transform(list_filter(list_transform(range(0, k), lambda x: a + x * step), lambda x: x >= 0.05 AND x <= hi), lambda x: round(x, 6)) AS shown, 0.05::DOUBLE AS lower, ceil(hi)::DOUBLE AS upper FROM best")
+def computed_breaks(spark, d):
+    """Breaks of the legend of each code, from the range of its shares; the SQL looks at all labellings."""
+    out = views.computed_breaks(statistics.bubbles(_counts(spark, d)), "share", ["code"])
+    return out.withColumn("shown", F.transform("shown", lambda x: F.round(x, 6)))
+
+
+@query()
+def ward_clusters(spark, d):
+    return spark.createDataFrame(statistics.ward_clusters(_counts(spark, d)), "code string, place int, cluster int")
+
+
+@query()
+def charset_detected(spark, d):
+    """Encoding and confidence of the pages, and of phrases in every encoding."""
+    pages = _t(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"), F.encode("html", "UTF-8").alias("bytes"))
+    some = _t(spark, d, "nation").select("n_nationkey", F.posexplode(F.array(*[F.lit(h) for _, _, h in _ENCODED])).alias("p", "h")).select(F.concat_ws("-", F.lit("phrase"), "n_nationkey", "p").alias("id"), F.unhex("h").alias("bytes"))
+    return pages.unionByName(some).withColumn("found", charset.detected("bytes")).select("id", "found.encoding", "found.confidence", F.sha2("found.text", 256).alias("digest"))

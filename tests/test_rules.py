@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +64,42 @@ def test_compiled_rules_equal_plain_evaluation(spark):
         _, text, s, f = rows[row.i]
         for k, t in enumerate(trees):
             assert row[f"r{k}"] is matches(t, text, s, f), (t, s)
+
+
+def test_rules_like_plain_python_on_random_trees(spark):
+    """Every kind of node, distances of 0 and beyond a bigint, repeated and absent words, terms that hold each other."""
+    rng = random.Random(11)
+    words, letters = ["ab", "a", "b", "abc", "c", "ca", "d"], ["a", "b", "c", "d", "ab", "x", "y", "z", "zz", "w"]
+
+    def tree(depth):
+        k = rng.random()
+        if depth and k < 0.5:
+            return rng.choice([rules.Any, rules.All])(tuple(tree(depth - 1) for _ in range(rng.randint(2, 3))))
+        if depth and k < 0.6:
+            return rules.Not(tree(depth - 1))
+        if k < 0.65:
+            return rules.Broken("x")
+        if k < 0.7:
+            return rules.Keyword(rng.choice(words))
+        return rules.Proximity(tuple(rng.choice(words) for _ in range(rng.randint(1, 4))), rng.choice([0, 1, 2, 3, 5, 1 << 70]), rng.random() < 0.5, rng.random() < 0.5)
+
+    rows = []
+    for i in range(60):
+        surfaces = [rng.choice(letters) for _ in range(rng.randint(0, 15))]
+        rows.append((i, "".join(surfaces), surfaces, [x.upper() if rng.random() < 0.3 else x for x in surfaces]))
+    df = spark.createDataFrame(rows, "i int, t string, s array<string>, f array<string>")
+    trees = [tree(2) for _ in range(60)]
+    out = df.select("i", *[rules.compile_rule(t, F.col("t"), F.concat("s", "f")).alias(f"r{k}") for k, t in enumerate(trees)]).collect()
+    for r in out:
+        _, t, surfaces, forms = rows[r.i]
+        for k, n in enumerate(trees):
+            assert r[f"r{k}"] == rules.matches(n, t, surfaces, forms), (n, surfaces, forms)
+
+
+def test_proximity_is_linear_in_places(spark):
+    """30,000 places of each word: a product of places would be near a billion steps."""
+    df = spark.createDataFrame([(["a", "b"] * 30_000,), (["b"] * 30_000 + ["a"] * 30_000,)], "t array<string>")
+    ask = [rules.compile_rule(rules.parse(r), F.lit(""), F.col("t")) for r in ("near(a-c)[5]", "near(a-b)[1]", "near(b-a)[b1]", "seq(a-b-a)[1]", "seq(b-a)[b29999]", "seq(a-b)[b1]")]
+    begin = time.time()
+    assert [tuple(r) for r in df.select(*ask).collect()] == [(False, True, True, True, True, True), (False, False, False, False, False, True)]
+    assert time.time() - begin < 60
