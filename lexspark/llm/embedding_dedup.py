@@ -3,9 +3,11 @@
 Equal vectors of a label are one class.  Every tree splits recursively along random directions at medians that a sample
 gives; vectors near a split go to both sides (spill overlap), so a similar pair is parted by a split only if it lies
 across the whole margin; what one tree parts another one joins.  Depth follows the number of classes, and the sample
-follows the depth: SAMPLE_A_LEAF vectors a leaf, MOST_SAMPLE in all (which serves LEAF * MOST_SAMPLE / SAMPLE_A_LEAF
-classes of a label; with more, leaves grow).  Inside a leaf all pairs of one label are compared exactly, in double
-precision; a large leaf is dealt out as pairs of blocks, none is cut off.
+follows the depth: SAMPLE_A_LEAF vectors a leaf, MOST_SAMPLE and SAMPLE_BYTES in all (which serves LEAF * MOST_SAMPLE /
+SAMPLE_A_LEAF classes of a label; with more, leaves grow).  A tight group is as narrow as the margin along any direction, so that
+splits would copy it to both sides: of several directions and places the one that leaves the fewest pairs is taken, and
+where all copy more than MOST_SPILL of a node, it stays a leaf.  Inside a leaf all pairs of one label are compared exactly, in double
+precision, but for those that all met in one earlier leaf; a large leaf is dealt out as pairs of blocks, none is cut off.
 
 A pair counts in the first leaf that it shares, which each vector's list of leaves tells, so links are counted where they
 are found and no pair leaves a task: a leaf returns for each of its classes the number of links and the smallest
@@ -39,6 +41,11 @@ COSINE = 0.93
 TREES, LEAF, BLOCK = 4, 512, 2_048
 #: Sampled vectors for each leaf of a tree, and at most; a tree's nodes are numbered below 2**NODE_BITS.
 SAMPLE_A_LEAF, MOST_SAMPLE, NODE_BITS = 16, 1 << 17, 20
+#: Bytes of the sample's vectors in double precision, at most, on the driver.
+SAMPLE_BYTES = 256 << 20
+#: Directions and places (shares of a node below) that are tried for a split, the share of a node that it may copy, and the
+#: share of pairs that it may leave; levels beyond those of an even tree.
+TRIES, PLACES, MOST_SPILL, MOST_PAIRS, EXTRA = 4, np.array([0.5, 0.4, 0.6, 0.3, 0.7, 0.2, 0.8, 0.1, 0.9]), 0.3, 0.9, 6
 #: Half the overlap, in standard deviations of a bounding pair's difference along a random direction.
 MARGIN = 0.6
 
@@ -49,16 +56,16 @@ class Tree:
 
     depth: int
     seed: int
-    cuts: dict[int, float]
+    cuts: dict[int, tuple[float, int]]  # where, and along which of the directions that were tried
 
-    def direction(self, node: int, size: int) -> np.ndarray:
-        v = np.random.default_rng([self.seed, node, size]).normal(size=size)
+    def direction(self, node: int, size: int, attempt: int = 0) -> np.ndarray:
+        v = np.random.default_rng([self.seed, node, size, attempt] if attempt else [self.seed, node, size]).normal(size=size)
         return v / np.linalg.norm(v)
 
     def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every row in every leaf that it belongs to."""
         size = vectors.shape[1]
-        margin = MARGIN * math.sqrt((2 - 2 * COSINE) / size)
+        margin = half_overlap(size)
         todo, rows_out, leaf_out = [(0, 0, np.arange(len(vectors)))], [], []
         while todo:
             node, level, rows = todo.pop()
@@ -68,7 +75,8 @@ class Tree:
                 rows_out.append(rows)
                 leaf_out.append(np.full(len(rows), node, np.int64))
                 continue
-            off = vectors[rows] @ self.direction(node, size) - self.cuts[node]
+            cut, attempt = self.cuts[node]
+            off = vectors[rows] @ self.direction(node, size, attempt) - cut
             todo.append((2 * node + 1, level + 1, rows[off <= margin]))
             todo.append((2 * node + 2, level + 1, rows[off >= -margin]))
         if not rows_out:
@@ -76,16 +84,37 @@ class Tree:
         return np.concatenate(rows_out), np.concatenate(leaf_out)
 
 
+def half_overlap(size: int) -> float:
+    return MARGIN * math.sqrt((2 - 2 * COSINE) / max(1, size))
+
+
 def grow(sample: np.ndarray, depth: int, seed: int) -> Tree:
-    """Cuts at the sample's medians, as deep as SAMPLE_A_LEAF vectors of it reach."""
-    tree, todo = Tree(depth, seed, {}), [(0, 0, np.arange(len(sample)))]
+    """Cuts of the sample until a leaf has about SAMPLE_A_LEAF vectors of it, or parts no more than it copies.
+
+    Of the directions and places that are tried the one that leaves the fewest pairs counts: the median as a rule, a place beside a tight group
+    where that fills much of a node.  Such cuts are uneven, so a tree may go EXTRA levels deeper than an even one.
+    """
+    most = min(NODE_BITS - 2, depth + EXTRA) if depth else 0
+    tree, todo, margin = Tree(most, seed, {}), [(0, 0, np.arange(len(sample)))], half_overlap(sample.shape[1])
     while todo:
         node, level, rows = todo.pop()
-        if level == depth or len(rows) < SAMPLE_A_LEAF:
+        if level == most or len(rows) <= 1.25 * SAMPLE_A_LEAF:
             continue
-        along = sample[rows] @ tree.direction(node, sample.shape[1])
-        tree.cuts[node] = cut = float(np.median(along))
-        todo += [(2 * node + 1, level + 1, rows[along <= cut]), (2 * node + 2, level + 1, rows[along > cut])]
+        best = None
+        for attempt in range(TRIES):
+            along = np.sort(sample[rows] @ tree.direction(node, sample.shape[1], attempt))
+            cuts = along[(len(rows) * PLACES).astype(int)]
+            low, high = np.searchsorted(along, cuts + margin, "right") / len(rows), 1 - np.searchsorted(along, cuts - margin) / len(rows)
+            pairs = np.where(low + high - 1 <= MOST_SPILL, low**2 + high**2, np.inf)
+            k = int(pairs.argmin())
+            if best is None or pairs[k] < best[0]:
+                best = float(pairs[k]), float(cuts[k]), attempt
+        pairs, cut, attempt = best
+        if pairs > MOST_PAIRS:
+            continue
+        tree.cuts[node] = cut, attempt
+        left = sample[rows] @ tree.direction(node, sample.shape[1], attempt) <= cut
+        todo += [(2 * node + 1, level + 1, rows[left]), (2 * node + 2, level + 1, rows[~left])]
     return tree
 
 
@@ -102,7 +131,7 @@ def forest(classes: DataFrame) -> list[Tree]:
     depth = max(0, math.ceil(math.log2(max(1, max((r["most"] for r in found), default=0)) / LEAF)))
     if not depth:
         return [Tree(0, 0, {})]
-    n = min(MOST_SAMPLE, SAMPLE_A_LEAF << depth)
+    n = max(SAMPLE_A_LEAF, min(MOST_SAMPLE, SAMPLE_A_LEAF << depth, SAMPLE_BYTES // (8 * max(1, found[0]["size"]))))
     sample = classes.filter(F.col("size") == found[0]["size"]).select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(n)
     vectors = _unit(sample.toArrow().column("embedding").combine_chunks())
     return [grow(vectors, depth, seed) for seed in range(TREES)]
@@ -163,6 +192,16 @@ def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = root[root]
 
 
+def _met_together(before: pa.ListArray) -> np.ndarray:
+    """Rows that have the commonest earlier place in common: pairs of them are done."""
+    places, counts = before.flatten().to_numpy(), np.diff(before.offsets.to_numpy())
+    together = np.zeros(len(before), bool)
+    if len(places):
+        found, times = np.unique(places, return_counts=True)
+        together[np.repeat(np.arange(len(before)), counts)[places == found[times.argmax()]]] = True
+    return together
+
+
 def leaf_links(placed: DataFrame) -> DataFrame:
     """(id, linked, root): of each class that has links in a leaf, the number of vectors that it is linked with there and in no
     earlier leaf, and the smallest class that links reach inside the leaf."""
@@ -178,10 +217,11 @@ def leaf_links(placed: DataFrame) -> DataFrame:
         before, unit = batch.column(batch.schema.get_field_index("before")), _unit(batch.column(batch.schema.get_field_index("embedding")))
         left, right = np.flatnonzero(own == g), np.flatnonzero(own == h)
         linked, root, touched = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.zeros(len(ids), bool)
-        for begin in range(0, len(left), 256):
-            rows = left[begin : begin + 256]
-            i, j = np.nonzero(unit[rows] @ unit[right].T >= COSINE)
-            i, j = rows[i], right[j]
+        done = _met_together(before)
+        parts = [(rows[k : k + 256], to) for rows, to in ((left[done[left]], right[~done[right]]), (left[~done[left]], right)) if len(to) for k in range(0, len(rows), 256)]
+        for rows, to in parts:
+            i, j = np.nonzero(unit[rows] @ unit[to].T >= COSINE)
+            i, j = rows[i], to[j]
             if g == h:
                 i, j = i[i < j], j[i < j]
             touched[i] = touched[j] = True

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import chat_format, embedding_dedup, exact_dedup, hmm_scoring, mixing, near_dedup, packing, periodic_runs, sentence_pieces, substring_dedup, token_counts, toxicity, whitening
-from lexspark.llm.storage import Scratch, shared_dir
+from lexspark.llm.storage import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,7 +35,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load all documents, delete the toxic ones, revise the counts of one version, and replay the load."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     scratch = Scratch(spark, "token-state")
-    ledger = token_counts.TokenLedger(spark, f"{shared_dir(spark)}/token-ledger-{uuid.uuid4().hex}")
+    ledger = token_counts.TokenLedger(spark, f"{scratch.root}/ledger")
     words = token_counts.count_words(docs, "words@1", WORD)
     pieces = token_counts.count_pieces(docs, "byte_bpe_50k@1", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     state = scratch.save(words.unionByName(pieces), "state")

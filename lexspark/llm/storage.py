@@ -11,6 +11,8 @@ called once results are written; what a killed driver leaves lies in folders nam
 from __future__ import annotations
 
 import atexit
+import contextlib
+import os
 import tempfile
 import uuid
 
@@ -49,6 +51,9 @@ def release() -> None:
             delete(spark, root)
         except Exception:  # the session has ended: nothing can be deleted through it
             continue
+    while _LOCAL_ROOT:
+        with contextlib.suppress(OSError):  # something else lies in it
+            os.rmdir(_LOCAL_ROOT.pop())
 
 
 atexit.register(release)

@@ -10,7 +10,7 @@ Deletes and revisions are signed from the counts that documents entered with (a
 texts are read once per tokenizer version.
 
 Defined results: null texts have 0 tokens; null source and lang are groups of their own; a document that occurs several times
-counts each time; a deletion removes every row of its doc_id; an empty table gives an empty result; groups whose totals are
+counts each time; a deletion removes every row of its doc_id, and one of a null doc_id removes none; an empty table gives an empty result; groups whose totals are
 all 0 are not listed.
 """
 
@@ -70,6 +70,10 @@ class TokenLedger:
     own, named by its number; it comes into being by renaming a finished file, which fails if the number is taken, so
     a version is whole or not there, and of two writers one has to read and try again.  A table counts only through the
     manifest: what a lost driver wrote without getting to the rename is never read.
+
+    The folder's store must refuse a rename onto a file that is there, as HDFS and POSIX file systems do; on an object store
+    whose renames copy and overwrite, two writers at once could lose a commit, so there only one may write.  A version
+    holds all batch ids, so n commits write some 20 * n**2 bytes.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:

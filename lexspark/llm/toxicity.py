@@ -111,7 +111,8 @@ class ToxicityModel:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT
+    """Rows that nothing is learned from; without doc_id none is, as labels cannot name such a row."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(True))
 
 
 def _swapped(text: str) -> list[str]:

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -819,23 +820,109 @@ def test_odd_rows_in_every_operator(spark):
     ids = sorted((r[0] for r in ODD), key=repr)
     exact = exact_dedup.exact_dedup(df).collect()
     assert sorted((r.doc_id for r in exact), key=repr) == ids
-    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact} == {(1, 1, 3), (None, 1, 3), (None, 3, 4), (2, 3, 4), (3, 3, 4), (4, 4, 2), (4, 4, 1)}
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact) == {(1, 1, 3, True): 2, (None, 1, 3, False): 1, (None, 3, 4, False): 2, (2, 3, 4, False): 1, (3, 3, 4, True): 1, (4, 4, 2, True): 2, (4, 4, 1, True): 1}
     near = near_dedup.near_duplicates(df).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near), key=repr) == sorted([(1, 2, 1, True)] * 2 + [(None, 2, 1, False)] + [(None, 0, None, True)] * 2 + [(2, 0, 2, True), (3, 0, 3, True)] + [(4, 1, 4, True)] * 3, key=repr)
     mixed = mixing.mix(df).collect()
     assert Counter((r.doc_id, r.size) for r in mixed) == {(1, 6): 1, (None, 6): 1, (None, 0): 1, (2, 0): 1, (3, 0): 1, (4, 2): 1, (4, 1): 1}
     assert sum(r.size for r in mixed) == 15 and abs(sum(r.taken for r in mixed) - sum({r.target for r in mixed})) <= 3
     pieces = sentence_pieces.piece_digests(df, MODEL).collect()
-    assert sorted((r.doc_id for r in pieces), key=repr) == ids and {r.n_tokens for r in pieces if r.doc_id in (2, 3)} == {2}
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    coded = [library.encode(t or "", add_bos=True, add_eos=True) for _, t, _ in ODD]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = Counter((i, len(x), sha(np.array(x, "<u4").tobytes()), sha(library.decode(x).encode())) for (i, _, _), x in zip(ODD, coded, strict=True))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces) == want
     lm = hmm_scoring.score_texts(df).collect()
     assert sorted((r.doc_id for r in lm), key=repr) == ids and all(r.held_out for r in lm if r.doc_id is None) and all(math.isfinite(r.score) for r in lm)
     marks = spark.createDataFrame([(1, 1), (1, 0), (4, 0), (None, 1), (9, 1)], "doc_id bigint, toxic int")
     scored = toxicity.toxicity(df, marks).collect()
     assert sorted((r.doc_id for r in scored), key=repr) == ids and all(0 <= r.score <= 1 for r in scored)
-    assert {r.held_out for r in scored if r.doc_id is None} <= {None, False, True}
+    assert all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in scored)
     words = token_counts.count_words(df, "w", r"\w+")
     assert words.count() == len(ODD) and words.agg(F.sum("n_tokens")).first()[0] == 23
-    assert sorted((r.doc_id for r in substring_dedup.without_repeats(df).collect()), key=repr) == ids
+    cut = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.without_repeats(df).collect())
+    assert cut == Counter((i, len((t or "").split()), 0, sha((t or "").encode())) for i, t, _ in ODD)
+    assert Counter((r.doc_id, r.n_tokens) for r in lm) == Counter((i, len((t or "").split()) + 1) for i, t, _ in ODD)
+
+
+def test_texts_without_any_doc_id(spark, monkeypatch):
+    """One row of each text stays, also where hashes collide and where rows are counted out in parts."""
+    rows = [(None, "same")] * 7 + [(None, "other")] * 2 + [(5, "named"), (None, "named"), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    for part, hash_of in ((4096, exact_dedup.content_hash), (3, exact_dedup.content_hash), (3, lambda t: F.substring(F.unhex(F.sha2(F.substring(t, 1, 0), 256)), 1, 16))):
+        monkeypatch.setattr(exact_dedup, "PART", part)
+        got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(df, hash_of).collect())
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        assert got == {(None, None, 7, True, sha("same")): 1, (None, None, 7, False, sha("same")): 6, (None, None, 2, True, sha("other")): 1, (None, None, 2, False, sha("other")): 1, (5, 5, 2, True, sha("named")): 1, (None, 5, 2, False, sha("named")): 1, (None, None, 2, True, sha("")): 1, (None, None, 2, False, sha("")): 1}
+
+
+def test_ledger_of_null_ids(spark, tmp_path):
+    """Null ids enter and count; a deletion of a null id finds no row."""
+    ledger = token_counts.TokenLedger(spark, f"file://{tmp_path}/ledger")
+    state = token_counts.count_words(odd(spark), "w", r"\w+")
+    ledger.commit("load", inserts=state)
+    gone = spark.createDataFrame([(None,), (4,)], "doc_id bigint")
+    ledger.commit("delete", deletes=state.join(gone, "doc_id", "left_semi"))
+    assert {(r.source, r.n_docs, r.n_tokens) for r in ledger.totals().collect()} == {("s1", 3, 18), (None, 3, 0), ("s2", 1, 0)}
+
+
+def test_nothing_is_left_after_a_release(spark, tmp_path, monkeypatch):
+    from lexspark.llm import queries
+
+    monkeypatch.setattr(storage, "_LOCAL_ROOT", [str(tmp_path / "root")])
+    monkeypatch.setattr(storage, "_OPEN", [])
+    os.mkdir(tmp_path / "root")
+    assert queries.op4_token_counts(spark, "/root/testdata/sf0.001").count() > 0
+    roots = {root.removeprefix("file://") for _, root in storage._OPEN}
+    parents = {os.path.dirname(r): {*os.listdir(os.path.dirname(r))} - {os.path.basename(r)} for r in roots}
+    assert roots and all(os.path.exists(f"{r}/ledger/manifests") for r in roots)
+    storage.release()
+    assert not os.path.exists(tmp_path / "root")  # the local folder of our own
+    assert all({*os.listdir(p)} == others for p, others in parents.items() if os.path.exists(p))
+
+
+def test_a_tight_group_is_not_copied_by_splits():
+    """A quarter of the vectors at pairwise cosine 0.97: a tree holds them about once, and their pairs about once, at every size."""
+    rng = np.random.default_rng(0)
+    for n in (10_000, 40_000, 160_000):
+        v = rng.normal(size=(n, 64))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        k, centre = n // 4, v[0].copy()
+        off = rng.normal(size=(k, 64))
+        off -= np.outer(off @ centre, centre)
+        v[:k] = math.sqrt(0.97) * centre + math.sqrt(0.03) * off / np.linalg.norm(off, axis=1, keepdims=True)
+        depth = math.ceil(math.log2(n / embedding_dedup.LEAF))
+        tree = embedding_dedup.grow(v[rng.permutation(n)[: embedding_dedup.SAMPLE_A_LEAF << depth]], depth, 0)
+        row, leaf = tree.leaves(v)
+        copies, sizes = np.bincount(row, minlength=n), np.unique(leaf, return_counts=True)[1]
+        assert copies.min() >= 1 and copies[:k].mean() < 2 and copies[k:].mean() < 0.6 * depth + 1
+        assert (sizes.astype(float) ** 2).sum() < 4 * k**2
+
+
+def test_a_tight_group_like_brute_force(spark, monkeypatch):
+    """Through leaves, blocks and trees that share a large leaf."""
+    monkeypatch.setattr(embedding_dedup, "LEAF", 64)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 100)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(1200, 32))
+    v[:300] = v[0] + rng.normal(size=(300, 32)) * 0.17 * np.linalg.norm(v[0]) / math.sqrt(32)
+    rows = [(i, x.astype(np.float32).tolist(), 1) for i, x in enumerate(v)]
+    got = sorted(rows_of(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"))))
+    want = brute_vectors(rows)
+    there, found = sum(w[1] for w in want), sum(g[1] for g in got)
+    assert there > 50_000 and 0.999 * there <= found <= there and [g[2] for g in got] == [w[2] for w in want]
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAF", 8)
+    monkeypatch.setattr(embedding_dedup, "SAMPLE_BYTES", 8 * 16 * 40)
+    seen = []
+    monkeypatch.setattr(embedding_dedup, "grow", lambda sample, depth, seed: seen.append(sample.shape) or embedding_dedup.Tree(0, seed, {}))
+    rows = [(i, [float((i * j) % 7 + j) for j in range(16)], 1, 16, 1) for i in range(500)]
+    embedding_dedup.forest(spark.createDataFrame(rows, "id bigint, embedding array<float>, label int, size int, copies bigint"))
+    assert seen == [(40, 16)] * embedding_dedup.TREES
 
 
 def test_pipeline_of_an_empty_table(spark, tmp_path):
