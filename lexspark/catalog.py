@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from lexspark.plans import queries
+from lexspark.plans import queries, round_trips  # noqa: F401
 
 QUERIES, ORACLE_SQL, flagship = queries.Q, queries.SQL, queries.flagship

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import tempfile
 import uuid
@@ -23,6 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def delete() -> None:
+        with contextlib.suppress(Exception):  # the session has ended: nothing can be deleted through it
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    atexit.register(delete)
+    return path
+
+
 class Versions:
     """Numbered JSON documents in a folder: each is written under another name and renamed, so it is whole or not there.
 
