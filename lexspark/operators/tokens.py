@@ -1,4 +1,4 @@
-"""Tokens of paragraphs: a native script-run tokenizer, and a place for others."""
+"""Tokens of paragraphs: a native script-run tokenizer, and a place for others (by a user's dictionary: segmentation)."""
 
 from __future__ import annotations
 

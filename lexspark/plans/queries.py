@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import charset, lines, text
-from lexspark.operators import aggregates, classify, coding, rules, statistics, store, terms, tokens, views
+from lexspark.operators import aggregates, classify, coding, rules, segmentation, statistics, store, terms, tokens, views
 from lexspark.sources import ledger, tables
 from lexspark.streaming import coding as stream
 
@@ -274,6 +274,18 @@ def morphemes(spark, d):
     return tokens.morphemes(rows, ["doc_id", "dan"]).groupBy("pos1").agg(F.count("*").alias("n"), F.count_distinct("surface").alias("surfaces"))
 
 
+def _user_dictionary(spark, d):
+    """The mined terms as entries of a user's dictionary."""
+    return terms.mecab_rows(_candidates(spark, d)).select("term", "cost")
+
+
+@query()
+def dictionary_segments(spark, d):
+    """Tokens of the corpus' lines by the dictionary of its own terms: how often each word, and what is unknown, occurs."""
+    tokens_ = F.explode(segmentation.segments(F.col("s"), _user_dictionary(spark, d))).alias("t")
+    return _lines(spark, d).select(tokens_).groupBy(F.when(F.col("t.known"), F.col("t.surface")).alias("word")).agg(F.count("*").alias("n"), F.sum(F.length("t.surface")).alias("chars"))
+
+
 # -- counts and statistics ------------------------------------------------------------------------------------------------------
 
 
