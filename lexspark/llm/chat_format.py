@@ -34,7 +34,8 @@ def _lane(seed: int) -> Column:
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """(conv_id, k, n, h1, h2, role, text): the k-th of n turns, with the hash of the first k."""
-    rows = pick(turns, "conv_id", "turn", "role", "text").filter("conv_id IS NOT NULL").distinct()
+    # Texts are shuffled here and nowhere else: repeated turns, windows and the final join keep to this partitioning.
+    rows = pick(turns, "conv_id", "turn", "role", "text").filter("conv_id IS NOT NULL").repartition("conv_id").distinct()
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     placed = rows.withColumn("k", F.row_number().over(order))
     upto = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -45,7 +46,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 def maximal(hashed: DataFrame) -> DataFrame:
     """(conv_id, n_copies) of the conversations that are no proper prefix of another; equal ones count as one."""
     ends = hashed.filter("k = n").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
-    inner = hashed.filter("k < n").select(F.col("k").alias("n"), "h1", "h2").distinct()
+    inner = hashed.filter("k < n").select(F.col("k").cast("bigint").alias("n"), "h1", "h2").distinct()  # as n is, or the join shuffles again
     return ends.join(inner, ["n", "h1", "h2"], "left_anti").select("conv_id", "n_copies")
 
 
