@@ -109,6 +109,23 @@ def _draw(quotas: np.ndarray, size: int, node: tuple[int, ...]) -> np.ndarray:
     return out
 
 
+#: Draws that this process has made, by node and what was drawn from, and the bytes that they take; all tasks draw the same.
+_DRAWN: dict[tuple, np.ndarray] = {}
+_HELD, MOST_HELD = [0], 64 << 20
+
+
+def _left_part(quotas: np.ndarray, size: int, node: tuple[int, ...]) -> np.ndarray:
+    """The draw of a node, made once in each process as far as MOST_HELD bytes reach."""
+    key = (SEED, node, size, quotas.tobytes())
+    if key not in _DRAWN:
+        if _HELD[0] > MOST_HELD:
+            _DRAWN.clear()
+            _HELD[0] = 0
+        _DRAWN[key] = _draw(quotas, size, node)
+        _HELD[0] += 2 * quotas.nbytes + 400
+    return _DRAWN[key]
+
+
 def leaves(source: np.ndarray, rank: np.ndarray, quotas: np.ndarray, shards: int) -> np.ndarray:
     """The shard that draws each block, from its source's index and its rank among the source's blocks; -1: none does."""
     total, out = int(quotas.sum()), np.full(len(source), -1, np.int64)
@@ -123,7 +140,7 @@ def leaves(source: np.ndarray, rank: np.ndarray, quotas: np.ndarray, shards: int
             out[rows] = lo
             continue
         mid = (lo + hi) // 2
-        left = _draw(quota, edge(mid) - edge(lo), (lo, hi))
+        left = _left_part(quota, edge(mid) - edge(lo), (lo, hi))
         goes = ranks < left[source[rows]]
         todo.append((lo, mid, left, rows[goes], ranks[goes]))
         todo.append((mid, hi, quota - left, rows[~goes], ranks[~goes] - left[source[rows[~goes]]]))

@@ -303,3 +303,22 @@ def test_whitening_of_equal_few_and_huge_vectors(spark):
     check_whitening(vectors(spark, [(i, v, None) for i, v in line]), line)
     huge = [(i, [float(i * i) * 1e9, float(i) * 1e12]) for i in range(20)]
     check_whitening(vectors(spark, [(i, v, 0) for i, v in huge], "double"), huge)
+
+
+def test_nodes_of_the_mixing_tree_are_drawn_once(monkeypatch):
+    """Blocks in several calls find the leaves that one call gives, also when the memory is full at once."""
+    from lexspark.llm import mixing
+
+    quotas, rng = np.array([700, 300, 50]), np.random.default_rng(4)
+    source = np.repeat([0, 1, 2], [800, 300, 60])
+    rank = np.concatenate([np.arange(800), np.arange(300), np.arange(60)])
+    want = mixing.leaves(source, rank, quotas, 37)
+    calls, draw = [], mixing._draw
+    for held in (64 << 20, 0):
+        monkeypatch.setattr(mixing, "MOST_HELD", held)
+        monkeypatch.setattr(mixing, "_DRAWN", {})
+        monkeypatch.setattr(mixing, "_draw", lambda *a: calls.append(a[2]) or draw(*a))
+        order = rng.permutation(len(rank))
+        got = np.concatenate([mixing.leaves(source[part], rank[part], quotas, 37) for part in np.array_split(order, 9)])
+        assert (got == want[order]).all()
+        assert held == 0 or len(calls) == len(set(calls)) == 36
