@@ -1,9 +1,10 @@
 """Exact quantiles by rank selection: histograms that are refined around the ranks that are wanted.
 
-A first pass counts values in bins of a sixteenth of an octave.  The bins that hold a wanted rank are cut into BINS equal parts, and
-the parts that hold it again; each pass is an aggregation with at most BINS rows for each group and rank, which tasks combine before
-they shuffle.  What lies in the last parts is counted by value and put in order, so the result is exact at any size and for any
-distribution, and no buffer holds a group's values.  The plan has one scan for each pass and no job of its own.
+A first pass counts values in bins of a sixteenth of an octave.  The bins that hold a wanted rank are cut into BINS equal parts in
+each further pass, an aggregation with at most BINS rows for each group and rank, which tasks combine before they
+shuffle.  What lies in the last parts, one value in some hundred thousand as a rule, is counted by value and put in order by a sort that
+can spill, so the result is exact at any size and for any distribution, and no buffer holds a group's values.  The plan has one
+scan for each pass and no job of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Parts of a bin, passes that cut bins, and first bins of an octave.
-BINS, PASSES, OCTAVE = 4096, 2, 16
+BINS, PASSES, OCTAVE = 4096, 1, 16
 
 
 def _first_bin(v: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import csv
 import io
+import os
 import re
 
 import pandas as pd
@@ -123,12 +124,31 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def touch_missing(spark: SparkSession, path: str, names: DataFrame) -> int:
-    """Create an empty file for each (name) that is not there; the number of new ones.  Names come to the driver one by one."""
-    jvm, made = spark.sparkContext._jvm, 0
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for row in names.select("name").distinct().toLocalIterator():
-        made += bool(fs.createNewFile(jvm.org.apache.hadoop.fs.Path(path, row["name"])))
-    return made
+    """Create an empty file for each (name) that is not there; the number of new ones.
+
+    Tasks make them, on a file system that they and the driver share; a file that is there, or that another attempt of a task made, stays
+    as it is, so that attempts may count it once too little.  In other stores the driver makes them one by one.
+    """
+    wanted = names.select("name").filter("name IS NOT NULL").distinct()
+    if "://" in path and not path.startswith("file://"):
+        jvm, made = spark.sparkContext._jvm, 0
+        fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for row in wanted.toLocalIterator():
+            made += bool(fs.createNewFile(jvm.org.apache.hadoop.fs.Path(path, row["name"])))
+        return made
+    folder = path.removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+
+    def create(batches):
+        for batch in batches:
+            made = 0
+            for name in batch["name"]:
+                with contextlib.suppress(FileExistsError):
+                    os.close(os.open(os.path.join(folder, name), os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o644))
+                    made += 1
+            yield pd.DataFrame({"made": [made]})
+
+    return wanted.mapInPandas(create, "made bigint").agg(F.sum("made")).first()[0] or 0
 
 
 def url_file(names: list[str], years: str | None = None) -> list[str]:

@@ -84,3 +84,39 @@ def test_paragraph_numbers_count_blank_lines(spark):
 
 def test_spaces_between_japanese_characters_go(spark):
     assert one(spark, "太陽 光　発電 a b", lines.join_spaced) == "太陽光発電 a b"
+
+
+def plain_reflow(text, pdf):
+    """Line by line: what the window queries compute, as a loop that keeps the paragraph it is in."""
+    if pdf:
+        text = re.sub(f"(?<={lines.JOINED})[ 　\t]+(?={lines.JOINED})", "", text)
+    rows = [x.strip() for x in re.split(r"\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]", text)]
+    item = lambda x: re.match(r"[(（]\d+[)）]|[ア-ン]", x) is not None
+    final = lambda x: re.search("。[）」]?$", x) is not None
+    title = lambda x: any(re.search(p.removeprefix("(?U)"), x) for p in lines.TITLES.values())
+    if pdf:
+        rows = [x for k, x in enumerate(rows) if not (x == "" and 0 < k < len(rows) - 1 and rows[k - 1] and rows[k + 1] and not final(rows[k - 1]) and not title(rows[k + 1]) and not item(rows[k + 1]))]
+    out, inside, before = [], False, None
+    for k, x in enumerate(rows):
+        if x == "" and k + 1 < len(rows) and item(rows[k + 1]):
+            continue
+        if x == "" or title(x):
+            out.append(x)
+            inside = False
+        elif inside:
+            out[-1] += ("。" if item(x) and not final(before) else "") + x
+        else:
+            out.append(x)
+            inside = True
+        before = x
+    return "\n".join(out)
+
+
+def test_reflow_like_a_plain_loop(spark):
+    rng = random.Random(6)
+    pieces = ["（目的）", "第１条", "第1条　この条例は", "事業者は、", "届け出る。", "（1）氏名", "(2) 住所", "ア 区域", "イ　設備", "", "", " ", "- 3 -", "１２", "○町条例", "令和５年４月１日", "附則", "2", "太陽 光 発電", "する」。」", "公布の日 から。"]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(400)] + ["", "\n\n", "a\r\nb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "d int, text string")
+    for pdf in (False, True):
+        got = {r.d: r.text for r in lines.reflow_text(df, "d", "text", pdf).collect()}
+        assert got == {i: plain_reflow(t, pdf) for i, t in enumerate(texts)}
