@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import sqlite3
+import uuid
 
 from pyspark.sql import functions as F
 
-from lexspark.operators import snapshots
-from lexspark.plans.queries import _t, query
+from lexspark.operators import postings, snapshots, store
+from lexspark.plans.queries import SQL, _store, _t, query
 from lexspark.sources import named_files, shared, sqlite, tables
 from lexspark.streaming import first_wins
 
@@ -77,3 +78,21 @@ def snapshot_edits(spark, d):
     t.edit("first", "item_id", "text", change(10, "once"), F.lit("3"))
     digest = lambda c: F.md5(F.col(c).cast("binary")).alias(c)
     return t.read().select("item_id", digest("text"), digest("previous"), "edited_at")
+
+
+@query(SQL["store_paragraph_codes"])
+def database_paragraph_codes(spark, d):
+    """The store as a database of four tables, dropped and made anew; its paragraphs with their codes, from the tables."""
+    name = f"lexspark_{uuid.uuid4().hex}"
+    store.create(spark, name, _store(spark, d), shared.run_folder(spark, "database"))
+    t = store.read(spark, name)
+    named = t["paragraphs"].join(t["municipalities"].select(F.col("id").alias("municipality_id"), F.col("name").alias("municipality")), "municipality_id")
+    return store.codes_of(named, t["paragraph_codings"], t["coding_types"]).select("id", "municipality", F.array_join("codes", "|").alias("codes"))
+
+
+@query(SQL["filter_all_codes"].replace("SELECT doc_id, dan FROM", "SELECT doc_id, dan, md5(s) AS digest FROM"))
+def posting_lists(spark, d):
+    """Lines that have two codes, found by the posting lists of these codes."""
+    t, out = _store(spark, d), shared.run_folder(spark, "postings")
+    postings.write(t["paragraphs"], t["paragraph_codings"], t["coding_types"], out)
+    return postings.paragraphs_with(spark, out, ["*P", "*N"]).select(F.col("h5").alias("doc_id"), F.col("dan_number").alias("dan"), F.md5(F.col("text").cast("binary")).alias("digest"))
