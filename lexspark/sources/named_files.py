@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import time
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -55,11 +56,20 @@ class NamedFiles(ds.DataSource):
 class NamedFilesWriter(ds.DataSourceWriter):
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite = path, overwrite
+        # Made here, once: a task that is still running when the job is given up finds no place to write to.
         self.pending = f"{path}/.pending-{uuid.uuid4().hex}"
+        os.makedirs(self.pending)
+
+    def _clear(self) -> None:
+        for _ in range(100):
+            shutil.rmtree(self.pending, ignore_errors=True)
+            if not os.path.exists(self.pending):
+                return
+            time.sleep(0.1)  # a task was writing into it
 
     def write(self, iterator: Iterator[Row]) -> Written:
         out = Written(f"{self.pending}/{TaskContext.get().partitionId()}-{uuid.uuid4().hex}")
-        os.makedirs(out.folder, exist_ok=True)
+        os.mkdir(out.folder)
         for row in iterator:
             if row["name"] is None or "/" in row["name"] or row["name"] in ("", ".", "..", INDEX):
                 raise ValueError(f"not a file name: {row['name']}")
@@ -80,7 +90,7 @@ class NamedFilesWriter(ds.DataSourceWriter):
         kept = {} if self.overwrite else dict(before)
         twice = sorted(n for n, k in Counter([*names, *empty, *kept]).items() if k > 1)
         if twice:
-            shutil.rmtree(self.pending, ignore_errors=True)
+            self._clear()
             raise ValueError(f"two files of one name: {', '.join(twice[:5])}")
         for m in done:
             for n in m.names:
@@ -93,10 +103,10 @@ class NamedFilesWriter(ds.DataSourceWriter):
         for n in set(before) - set(index):
             if os.path.exists(f"{self.path}/{n}"):
                 os.remove(f"{self.path}/{n}")
-        shutil.rmtree(self.pending, ignore_errors=True)
+        self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
-        shutil.rmtree(self.pending, ignore_errors=True)
+        self._clear()
 
 
 def read_index(path: str) -> dict[str, bool]:
