@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -81,9 +82,28 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+#: Blocks in which signs are looked for that normalisation leaves alone: Latin to Cyrillic, punctuation, kana, kanji.
+BLOCKS = ((0x80, 0x52F), (0x2010, 0x203F), (0x3000, 0x30FF), (0x4E00, 0x9FFF))
+
+
+@cache
+def _changing() -> str:
+    """A pattern for a character that form KC may change: any beyond ASCII but those of the blocks that stay as they are in every surrounding."""
+    later = {p[1] for c in range(0x110000) if (p := unicodedata.decomposition(chr(c)).split()) and len(p) == 2 and p[0][0] != "<"}  # may join with the character before
+    stays = lambda c: unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and f"{c:04X}" not in later
+    ranges: list[list[int]] = []
+    for low, high in BLOCKS:
+        for c in filter(stays, range(low, high + 1)):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return r"[[^\x00-\x7F]&&[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]]"
+
+
 def nfkc(c: Column) -> Column:
-    """Unicode normalisation form KC, for which there is no built-in function; texts of ASCII alone are left as they are."""
-    other = c.rlike(r"[^\x00-\x7F]")
+    """Unicode normalisation form KC, for which there is no built-in function; texts without a character that it may change are left as they are."""
+    other = c.rlike(_changing())
     return F.when(other, _nfkc(F.when(other, c))).otherwise(c)
 
 

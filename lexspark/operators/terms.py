@@ -62,14 +62,27 @@ def _at_begin(run: str) -> str:
     return f"(?<!{run[:-1]}){run}" if re.fullmatch(r"\[(?:[^\]\[\\]|\\.)+\]\+", run) else run
 
 
+def _within_stretches(lists: Lists) -> bool:
+    """Whether no match can hold white space: runs are one class of characters without it, endings have none."""
+    blank = " \t\n\x0b\f\r"
+    plain = all(re.fullmatch(r"\[(?:[^\]\[\\^]|\\[^sSDWHVNRpPQE])+\]\+", r) and not any(re.search(r, c) for c in blank) for r in (lists.run, lists.name))
+    return plain and not any(re.search(r"[\s\\.\[^]", w) for w in (*lists.suffixes, lists.law_ending, lists.ordinance_ending))
+
+
 def candidates(docs: DataFrame, lists: Lists, text: str = "text", whole: bool = False) -> DataFrame:
-    """Distinct (term) of the texts in NFKC.  Suffix matches give the suffix alone, or with ``whole`` the compound."""
+    """Distinct (term) of the texts in NFKC.  Suffix matches give the suffix alone, or with ``whole`` the compound.
+
+    Normalisation joins nothing across ASCII white space, so where no match can hold any, the distinct stretches between it are
+    normalised and searched and not whole texts: what a Python worker holds at once then does not grow with the texts.
+    """
     either, run, name = "|".join(lists.suffixes), _at_begin(lists.run), _at_begin(lists.name)
     found = F.concat(
         F.regexp_extract_all("nfkc", F.lit(f"{run}({either})"), F.lit(0 if whole else 1)),
         F.regexp_extract_all("nfkc", F.lit(f"({name}{lists.law_ending})"), F.lit(1)),
         F.regexp_extract_all("nfkc", F.lit(f"({name}{lists.ordinance_ending})"), F.lit(1)),
     )
+    if _within_stretches(lists):
+        docs, text = docs.select(F.explode(F.split(F.col(text), r"\s+")).alias("stretch")).distinct(), "stretch"
     normal = docs.select(nfkc(F.col(text)).alias("nfkc"))
     bare = F.btrim(F.col("w"), F.lit(STRIPPED))
     return normal.select(F.explode(F.array_distinct(found)).alias("w")).select(bare.alias("term")).filter(F.length("term").between(2, 50) & ~F.col("term").rlike(NUMBERS)).distinct()

@@ -1,10 +1,12 @@
 import math
+import random
 import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexspark.functions.text import nfkc
 from lexspark.operators import aggregates, classify, statistics, store, terms, tokens
 from lexspark.sources import ledger, tables
 from lexspark.streaming import coding
@@ -65,6 +67,33 @@ def test_suffix_matches_alone_or_whole(spark):
     assert {r.term for r in terms.candidates(df, LISTS, whole=True).collect()} >= {"禁止区域を届出", "森林法"}
 
 
+def test_normalisation_holds_no_whole_text(spark, monkeypatch):
+    """A worker gets stretches, not texts; signs that stay as they are do not reach it; runs that may hold blanks are searched in whole texts."""
+    from lexspark.functions import text
+
+    @F.pandas_udf("string")
+    def short(s):
+        assert s.dropna().str.len().max() < 20 and not s.dropna().str.contains("ü").any()
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    lists = terms.Lists(("tion",), law_ending="ung", ordinance_ending="able", run="[A-Za-z]+", name="[A-Za-z]+")
+    df = spark.createDataFrame([("ｎａｔｉｏｎ ein für\nÜbung\u3000ﬁction é\u0301xtable " * 500,), (None,)], "text string")
+    monkeypatch.setattr(text, "_nfkc", short)
+    assert {r.term for r in terms.candidates(df, lists, whole=True).collect()} == {"nation", "bung", "fiction", "xtable"}
+    monkeypatch.undo()
+    apart = terms.Lists(("tion",), law_ending="ung", ordinance_ending="able", run="[a-z ]+", name="[a-z]+")
+    assert {r.term for r in terms.candidates(spark.createDataFrame([("Ein neu na tion",)], "text string"), apart, whole=True).collect()} == {"in neu na tion"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nfkc_leaves_only_what_stays(spark, seed):
+    rng = random.Random(seed)
+    signs = [chr(c) for lo, hi in ((0x80, 0x530), (0x1100, 0x1200), (0x2000, 0x2100), (0x3000, 0x3100), (0xAC00, 0xAC40), (0xFF00, 0xFFA0)) for c in range(lo, hi)] + list("aeiou AN=")
+    rows = ["".join(rng.choice(signs) for _ in range(rng.choice([1, 2, 3, 8]))) for _ in range(3000)] + [a + b for a in "aあAか̈" for b in signs[:1200]]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", nfkc(F.col("t")).alias("n")).collect()
+    assert [r.t for r in got if r.n != unicodedata.normalize("NFKC", r.t)] == []
+
+
 def test_term_candidates_of_compatibility_forms(spark):
     lists = terms.Lists(("tion",), law_ending="ung", ordinance_ending="able", run="[A-Za-z]+", name="[A-Za-z]+")
     rows = ["eine ｎａｔｉｏｎ hier", "of ﬁction", "Ord①nung", None, "ａｂｌｅ ｔａｂｌｅ"]
