@@ -6,24 +6,32 @@ Of the cheapest segmentations that with the fewest tokens is taken, of these the
 towards the begin; a word before an equal unknown stretch.  The path is a recurrence over positions that the texts of a batch take in
 step, so work is in proportion to the text and the words found in it.  With an empty dictionary the tokens are the script runs.
 
-The dictionary goes to all tasks; it is refused beyond MOST_BYTES.  White space parts tokens, so entries that hold any never match.
+White space parts tokens, so entries that hold any never match, and each stretch between white space can be cut for itself.
+segments() sends the dictionary to all tasks and refuses it beyond MOST_BYTES.  token_counts() joins the distinct stretches with the
+entries that occur in them, so no task holds more of the dictionary than its stretches need.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions.text import WHITE
 from lexspark.operators.tokens import script_class
 
 UNKNOWN, EACH = 4000, 8000
 #: Bytes of the entries' surfaces; bits of a token count beside a cost; characters of one batch that are worked on at once.
 MOST_BYTES, BITS, CHARS = 64 << 20, 24, 1 << 20
+#: Ends of parts of a stretch that are looked up from one row.
+BLOCK = 64
 #: Places that are tried for a node's children.
 TRIES = 16
 _FAR = 1 << 61
@@ -143,30 +151,43 @@ class Segmenter:
         return out + (self._cut(batch) if batch else [])
 
     def _cut(self, texts: list[str]) -> list[list[tuple[str, bool]]]:
-        points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        kind = np.where(points < 1 << 16, _classes()[np.minimum(points, 0xFFFF)], SIGN)
-        solid = np.append(kind != SPACE, False)
-        begins = np.flatnonzero(solid[:-1] & ~np.append(False, solid[:-2]))
-        ends = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1
-        until = np.zeros(len(points), np.int64)
-        until[solid[:-1]] = np.repeat(ends, ends - begins)
-        left, right, entry = self._path(points, kind, begins, ends, until)
-        row = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), left, "right")
-        start = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+        laid = Laid(texts)
+        a, b, e = self.trie.matches(laid.points, laid.until)
+        row, left, right, entry = laid.tokens(a, b, e, self.cost)
         out: list[list[tuple[str, bool]]] = [[] for _ in texts]
-        for r, a, b, e in zip(row.tolist(), (left - start[row]).tolist(), (right - start[row]).tolist(), entry.tolist(), strict=True):
-            out[r].append((texts[r][a:b], e >= 0))
+        for r, i, j, k in zip(row.tolist(), left.tolist(), right.tolist(), entry.tolist(), strict=True):
+            out[r].append((texts[r][i:j], k >= 0))
         return out
 
-    def _path(self, points: np.ndarray, kind: np.ndarray, begins: np.ndarray, ends: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+class Laid:
+    """Texts behind each other, with a sign of white space between them."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.points = points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        self.kind = np.where(points < 1 << 16, _classes()[np.minimum(points, 0xFFFF)], SIGN)
+        solid = np.append(self.kind != SPACE, False)
+        self.begins = np.flatnonzero(solid[:-1] & ~np.append(False, solid[:-2]))
+        self.ends = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1
+        self.until = np.zeros(len(points), np.int64)
+        self.until[solid[:-1]] = np.repeat(self.ends, self.ends - self.begins)
+        self.start = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+
+    def tokens(self, a: np.ndarray, b: np.ndarray, e: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, begin and end in it, entry or -1) of the tokens, from the (begin, end, entry) of all words and what the entries cost."""
+        left, right, entry = self._path(a, b, e, cost)
+        row = np.searchsorted(self.start[1:], left, "right")
+        return row, left - self.start[row], right - self.start[row], entry
+
+    def _path(self, a: np.ndarray, b: np.ndarray, e: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(begin, end, entry or -1) of the tokens, in order.  Stretches are taken in step, the longest first, so those that go on lie in front."""
+        points, kind, begins, ends = self.points, self.kind, self.begins, self.ends
         order = np.argsort(begins - ends, kind="stable")
         begins, size = begins[order], (ends - begins)[order]
         # Place p of a stretch lies at begin + p in arrays with one place more than characters: stretches are at least one apart.
         best, open_ = np.full(len(points) + 1, _FAR), np.full(len(points) + 1, _FAR)  # cost << BITS | tokens, closed and inside an unknown stretch
         opened, come, word = (np.zeros(len(points) + 1, np.int64) for _ in range(3))
         best[begins] = 0
-        a, b, e = self.trie.matches(points, until)
         step = self._steps(begins, len(points))
         at_step = step[b - 1] + 1
         sorted_ = np.lexsort((a, b, at_step))  # of words with one end the longest first
@@ -182,7 +203,7 @@ class Segmenter:
             word[at] = -1
             lo, hi = slices[p - 1], slices[p]
             if lo < hi:
-                total = best[a[lo:hi]] + (self.cost[e[lo:hi]] << BITS) + 1
+                total = best[a[lo:hi]] + (cost[e[lo:hi]] << BITS) + 1
                 first = np.flatnonzero(np.append(True, b[lo + 1 : hi] != b[lo : hi - 1]))
                 least = np.minimum.reduceat(total, first)
                 hit = np.flatnonzero(total == np.repeat(least, np.diff(np.append(first, hi - lo))))
@@ -232,6 +253,66 @@ def segments(text: Column, dictionary: DataFrame) -> Column:
     return cut(text)
 
 
+def _words_in(stretches: DataFrame, entries: DataFrame) -> DataFrame:
+    """(key, n, m: begin, end, cost) of the entries (term, cost) in the stretches (key, stretch, n).
+
+    A stretch is looked at in blocks of BLOCK ends with as much before them as the longest entry takes, so rows stay short.  Only those
+    parts are looked up whose last characters and length some entry has.
+    """
+    longest = entries.agg(F.coalesce(F.max(F.length("term")), F.lit(0)).alias("longest"))
+    tails = entries.groupBy(F.right("term", F.lit(3)).alias("tail")).agg(F.collect_set(F.length("term")).alias("sizes"))
+    first = F.explode(F.sequence(F.lit(0), F.length("stretch") - 1, F.lit(BLOCK))).alias("first")
+    blocks = stretches.select("key", "n", "stretch", first).crossJoin(F.broadcast(longest))
+    blocks = blocks.select("key", "n", "first", F.greatest(F.col("first") - F.col("longest"), F.lit(0)).alias("skipped"), "stretch")
+    blocks = blocks.select("key", "n", "skipped", (F.col("first") - F.col("skipped")).alias("before"), F.substring("stretch", F.col("skipped") + 1, F.col("first") - F.col("skipped") + BLOCK).alias("w"))
+    ends = blocks.select("key", "n", "skipped", "w", F.explode(F.sequence(F.col("before") + 1, F.length("w"))).alias("end"))
+    # A word of one or two characters is its own tail.
+    tail = lambda k: F.when(F.col("end") >= k, F.substring(F.col("w"), F.col("end") - (k - 1), F.lit(k)))
+    places = ends.select("*", F.explode(F.array(*[tail(k) for k in (1, 2, 3)])).alias("tail")).filter("tail IS NOT NULL")
+    parts = places.join(tails, "tail").select("key", "n", "skipped", "w", "end", F.explode(F.filter("sizes", lambda k: k <= F.col("end"))).alias("size"))
+    begin, end = F.col("end") - F.col("size"), F.col("skipped") + F.col("end")
+    parts = parts.select("key", "n", F.substring(F.col("w"), begin + 1, F.col("size")).alias("term"), (F.col("skipped") + begin).alias("begin"), end.alias("end"))
+    return parts.join(entries, "term").select("key", "n", F.struct("begin", "end", "cost").alias("m"))
+
+
+def token_counts(text: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(word, n, chars) over a column of texts by a dictionary (term, cost): how often each word occurs; null counts what is unknown.
+
+    Distinct stretches are cut once, with the words that a join finds in them.
+    """
+    blank, w = f"[{WHITE}]", F.col("stretch")
+    found = text.select(F.explode(F.split(F.col(text.columns[0]), blank + "+")).alias("stretch")).filter("stretch <> ''")
+    # No stretch holds a line break, so the key of a long one is none of a short one.
+    key = F.when(F.length(w) <= BLOCK, w).otherwise(F.concat(F.lit("\n"), F.sha2(w, 256)))
+    stretches = found.groupBy("stretch").agg(F.count("*").alias("n")).select(key.alias("key"), "stretch", "n")
+    entries = dictionary.filter((F.col("term") != "") & ~F.col("term").rlike(blank)).groupBy("term").agg(F.min(F.col("cost").cast("bigint")).alias("cost"))
+    words = _words_in(stretches, entries)
+    every = stretches.withColumn("m", F.lit(None).cast(words.schema["m"].dataType)).unionByName(words, allowMissingColumns=True)
+    whole = every.groupBy("key").agg(F.max("stretch").alias("stretch"), F.max("n").alias("n"), F.collect_list("m").alias("m")).drop("key")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.utf8_length(batch["stretch"]).to_numpy(zero_copy_only=False))
+            low = 0
+            while low < len(batch):
+                high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + CHARS, "right")))
+                yield _cut_stretches(batch.slice(low, high - low))
+                low = high
+
+    known = F.when(F.col("known"), F.col("surface"))
+    tokens = whole.mapInArrow(cut, "surface string, known boolean, n bigint")
+    return tokens.groupBy(known.alias("word")).agg(F.sum("n").alias("n"), F.sum(F.length("surface") * F.col("n")).alias("chars"))
+
+
+def _cut_stretches(batch: pa.RecordBatch) -> pa.RecordBatch:
+    texts, words = batch["stretch"].to_pylist(), batch["m"]
+    laid, row = Laid(texts), pc.list_parent_indices(words).to_numpy()
+    begin, end, cost = (words.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+    row, left, right, entry = laid.tokens(laid.start[row] + begin, laid.start[row] + end, np.arange(len(cost)), cost)
+    surface = [texts[r][i:j] for r, i, j in zip(row.tolist(), left.tolist(), right.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(surface, pa.string()), pa.array(entry >= 0), batch["n"].take(pa.array(row))], ["surface", "known", "n"])
+
+
 def morphemes(paragraphs: DataFrame, keep: list[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
     """One row per token in the 15-column layout; words of the dictionary are proper nouns, others have their script as class."""
     rows = paragraphs.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(*keep, F.posexplode(segments(F.col(text), dictionary)).alias("p", "t"))

@@ -282,8 +282,7 @@ def _user_dictionary(spark, d):
 @query()
 def dictionary_segments(spark, d):
     """Tokens of the corpus' lines by the dictionary of its own terms: how often each word, and what is unknown, occurs."""
-    tokens_ = F.explode(segmentation.segments(F.col("s"), _user_dictionary(spark, d))).alias("t")
-    return _lines(spark, d).select(tokens_).groupBy(F.when(F.col("t.known"), F.col("t.surface")).alias("word")).agg(F.count("*").alias("n"), F.sum(F.length("t.surface")).alias("chars"))
+    return segmentation.token_counts(_lines(spark, d).select("s"), _user_dictionary(spark, d))
 
 
 # -- counts and statistics ------------------------------------------------------------------------------------------------------

@@ -132,3 +132,31 @@ def test_the_query_like_a_plain_recurrence(spark):
             want.update((w if known else None) for w, known in cache[stretch])
     got = {r.word: r.n for r in queries.Q["dictionary_segments"](spark, sf).collect()}
     assert got == dict(want) and len(got) > 100
+
+
+def test_counts_by_a_join_like_the_trie(spark):
+    """Odd blanks, long stretches, repeated words, entries of one sign, with blanks or null."""
+    from collections import Counter
+
+    rng = random.Random(5)
+    alphabet = "太陽光の設aB1。ア(𠮷é"
+    words = [("".join(rng.choice(alphabet) for _ in range(rng.choice([1, 2, 3, 4, 9]))), str(rng.choice([1000, 5000, 12000, 30000]))) for _ in range(150)]
+    words += [("ab" * 40, "1"), ("b", "900"), ("a b", "1"), ("", "1"), (None, "1")]
+    texts = ["".join(rng.choice(alphabet + " \u3000\x85\x1c\n") for _ in range(rng.choice([0, 1, 5, 30, 400]))) for _ in range(300)]
+    texts += ["x" + "ab" * 200, "ab" * 32, "", None, " \t", *texts[:50]]
+    want = Counter()
+    for found in Segmenter([(w, int(c)) for w, c in words if w]).cut([t for t in texts if t is not None]):
+        want.update((w if known else None, len(w)) for w, known in found)
+    df, entries = spark.createDataFrame([(t,) for t in texts], "s string"), spark.createDataFrame(words, "term string, cost string")
+    rows = segmentation.token_counts(df, entries).collect()
+    assert {(r.word, r.n, r.chars) for r in rows} == {(x, sum(n for (w, _), n in want.items() if w == x), sum(k * n for (w, k), n in want.items() if w == x)) for x in {w for w, _ in want}}
+    assert len(rows) > 50 and any(r.word == "ab" * 40 for r in rows)
+    alone = segmentation.token_counts(df, entries.limit(0)).collect()
+    assert [(r.word, r.n > 0) for r in alone] == [(None, True)]
+
+
+def test_the_query_needs_no_dictionary_in_every_task(spark, monkeypatch):
+    from lexspark.plans import queries
+
+    monkeypatch.setattr(segmentation, "MOST_BYTES", 10)
+    assert queries.Q["dictionary_segments"](spark, "/root/testdata/sf0.001").count() > 100
