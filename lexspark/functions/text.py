@@ -115,7 +115,7 @@ def decode_detected(c: Column) -> Column:
 def longest_first(words: Column) -> Column:
     """The distinct words, the longest first, equally long ones by code points."""
     keyed = F.transform(F.array_distinct(words), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
-    return F.transform(F.array_sort(keyed), lambda x: x["w"])
+    return F.sort_array(keyed)["w"]  # array_sort would call a comparing expression for each pair
 
 
 def file_kind(name: Column) -> Column:

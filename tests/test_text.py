@@ -120,3 +120,20 @@ def test_reflow_like_a_plain_loop(spark):
     for pdf in (False, True):
         got = {r.d: r.text for r in lines.reflow_text(df, "d", "text", pdf).collect()}
         assert got == {i: plain_reflow(t, pdf) for i, t in enumerate(texts)}
+
+
+def test_words_are_found_and_sorted_once(spark, tmp_path):
+    from lexspark.plans import queries
+
+    rows = [(1, "b aa A b. ccc BB"), (2, None), (3, ""), (4, "12 é!"), (5, "zz\nab-ab")]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.Q["keywords_longest_first"](spark, str(tmp_path))
+    assert {r.doc_id: r.words for r in out.collect()} == {1: "ccc BB aa A b", 5: "ab zz"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "array_sort" not in plan
+
+
+def test_longest_first_by_code_points(spark):
+    words = ["b", "é", "a", "𠮷", "ア", "aa", "b", "", "Z", "aé"]
+    got = spark.createDataFrame([(words,), ([],), (None,)], "w array<string>").select(text.longest_first(F.col("w")).alias("w")).collect()
+    assert [r.w for r in got] == [sorted(set(words), key=lambda w: (-len(w), w)), [], None]
