@@ -12,13 +12,17 @@ functions, so rules need neither Python workers nor a shuffle.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions.text import regex_escape
+from lexspark.operators import tokens
+
 
 @dataclass(frozen=True)
 class Keyword:
@@ -175,13 +179,16 @@ def _seq(terms: Column, node: Proximity) -> Column:
 
 def compile_rule(node, text: Column, terms: Column) -> Column:
     """Whether the rule holds, for text and the array of its terms (surfaces, then dictionary forms)."""
+    return _compile(node, lambda n: text.contains(n.word) | F.exists(terms, lambda t: t.contains(n.word)), lambda n: (_seq if n.ordered else _near)(terms, n))
+
 
+def _compile(node, keyword: Callable[[Keyword], Column], proximity: Callable[[Proximity], Column]) -> Column:
     def go(n) -> tuple[Column, Column | None]:
         """Value, and the error flag or None where no error is possible."""
         if isinstance(n, Keyword):
-            return text.contains(n.word) | F.exists(terms, lambda t: t.contains(n.word)), None
+            return keyword(n), None
         if isinstance(n, Proximity):
-            return (_seq if n.ordered else _near)(terms, n), None
+            return proximity(n), None
         if isinstance(n, Broken):
             return F.lit(False), F.lit(True)
         if isinstance(n, Not):
@@ -208,6 +215,88 @@ def codes(rules: dict[str, object], text: Column, terms: Column) -> Column:
     return F.array_compact(F.array(*[F.when(compile_rule(n, text, terms), F.lit(c)) for c, n in rules.items()]))
 
 
+#: Longest distance and word of a search by one pattern; beyond, places are looked at one by one.
+_REACH, _LONGEST = 64, 32
+_BLANK = re.compile(r"[ \t\n\x0b\f\r]")
+
+
+def _chained(text: Column) -> Column:
+    """tokens.terms() of a text as one string, each after a line break, one more at the end: no term holds white space."""
+    surfaces = F.regexp_replace(text, rf"\s*({tokens.RUNS})\s*", "\n$1")
+    return F.concat(surfaces, F.lower(surfaces), F.lit("\n"))
+
+
+def _fitting(word: str, whole: bool = True) -> str:
+    """A pattern for a chained term that is a part of the word or, with ``whole``, holds it."""
+    parts = {word[i:j] for i in range(len(word)) for j in range(i + 1, len(word) + 1)}
+    ways = [regex_escape(x) for x in sorted(parts) if not _BLANK.search(x)]
+    if whole and not _BLANK.search(word):
+        ways.insert(0, rf"[^\n]*{regex_escape(word)}[^\n]*")
+    return rf"(?:\n(?:{'|'.join(ways)})(?=\n))" if ways else "(?!)"
+
+
+def _pattern(node: Proximity) -> list[str] | None:
+    """Patterns that all occur in the chained terms if the rule holds, and only then; None where there are none of bounded cost."""
+    words, d = node.words, node.distance
+    if d > _REACH or max(map(len, words)) > _LONGEST or (node.ordered and node.backward and len(words) > 2):
+        return None
+    fit = [_fitting(w) for w in words]
+    if len(fit) < 2:
+        return fit if node.ordered else ["(?!)"]
+    if not d:
+        return ["(?!)"]
+    # A term's first neighbour in reach is taken, and no other is tried if the rest does not follow.
+    then = lambda f: rf"(?>(?:\n[^\n]*+){{0,{d - 1}}}?{f})"
+    if node.ordered:
+        return [fit[1] + then(fit[0]) if node.backward else fit[0] + "".join(map(then, fit[1:]))]
+    pairs = [(a, b) if not node.backward else (b, a) for i, a in enumerate(fit) for b in fit[i + 1 :]]
+    near = "|".join(f"(?:{a}{then(b)})" for a, b in pairs)
+    return [near] if len(fit) == 2 else [*fit, near]
+
+
+def _every(node) -> list:
+    """The keywords and proximities of a tree."""
+    return [x for p in node.parts for x in _every(p)] if isinstance(node, Any | All) else _every(node.part) if isinstance(node, Not) else [node]
+
+
+def with_codes(rows: DataFrame, rules: dict[str, object], text: str) -> DataFrame:
+    """The rows with codes: those of the rules that hold for a text with the terms of tokens.terms().
+
+    Terms are searched as one string, by plain search and patterns, and not one by one.
+    """
+    chained, listed, t = "_chained", "_listed", F.col(text)
+
+    def caseless(w: str) -> bool:
+        """Whether lower-cased terms hold the word only where the text does."""
+        return bool(_BLANK.search(w)) or all(unicodedata.category(c) == "Lo" for c in w)
+
+    def small(w: str) -> bool:
+        """Whether the lower-cased text holds the word only within a run of Latin letters."""
+        return bool(re.fullmatch("[a-z]+", w))
+
+    def keyword(n: Keyword) -> Column:
+        return F.lower(t).contains(n.word) if small(n.word) else t.contains(n.word) if caseless(n.word) else t.contains(n.word) | F.col(chained).contains(n.word)
+
+    def proximity(n: Proximity) -> Column:
+        patterns, c = _pattern(n), F.col(chained)
+        if patterns is None:
+            return (_seq if n.ordered else _near)(F.col(listed), n)
+        # Plain search for each word, or a part of it as a term, comes first, as most texts lack one.
+        there = [c.contains(w) | c.rlike(_fitting(w, whole=False)) for w in dict.fromkeys(n.words)]
+        return reduce(lambda a, b: a & b, [*there, *[c.rlike(p) for p in patterns]])
+
+    leaves = [x for n in rules.values() for x in _every(n)]
+    near = [x for x in leaves if isinstance(x, Proximity)]
+    if any(_pattern(x) for x in near) or any(not small(x.word) and not caseless(x.word) for x in leaves if isinstance(x, Keyword)):
+        rows = rows.withColumn(chained, _chained(t))
+    if any(_pattern(x) is None for x in near):
+        rows = rows.withColumn(listed, tokens.terms(t))
+    held = [F.when(_compile(n, keyword, proximity), F.lit(c)) for c, n in rules.items()]
+    # array_compact is a function over a lambda, below which nothing is compiled and lower(text) is made once for each word.
+    found = F.array_except(F.array(*held), F.array(F.lit(None).cast("string"))) if held else F.array().cast("array<string>")
+    return rows.withColumn("codes", found).drop(chained, listed)
+
+
 def matches(node, text: str, surfaces: list[str], forms: list[str]) -> bool:
     """The same rule, looked at by plain Python: for tests and single texts."""
     terms = [*surfaces, *forms]

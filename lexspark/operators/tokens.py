@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Runs of one script: kanji, hiragana, katakana, Latin letters, digits, or one other sign.
-RUNS = r"[一-鿿々]+|[぀-ゟ]+|[゠-ヿ]+|[\p{IsLatin}]+|\p{Nd}+|[^\s\p{IsLatin}\p{Nd}一-鿿々぀-ヿ]"
+#: Runs of one script: Latin letters, kanji, hiragana, katakana, digits, or one other sign.  No sign is in two classes; letters of ASCII
+#: are named as the script of a sign is slow to look up.
+RUNS = r"[a-zA-Z\p{IsLatin}]+|[一-鿿々]+|[぀-ゟ]+|[゠-ヿ]+|[0-9\p{Nd}]+|[^\sa-zA-Z0-9一-鿿々぀-ヿ\p{Nd}\p{IsLatin}]"
 
 MORPHEME = "morpheme_id int, surface string, pos1 string, pos2 string, pos3 string, pos4 string, conjugated_type string, conjugated_form string, normalized_form string, reading string, dictionary_form string"
 

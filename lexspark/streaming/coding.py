@@ -10,19 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import strip
-from lexspark.operators import rules, tokens
+from lexspark.operators import rules
 
 
 def coded_paragraphs(docs: DataFrame, rule_set: dict, keep: list[str], text: str = "text") -> DataFrame:
     """(keep, dan, text, codes) for batch or streaming documents: no shuffle, no state."""
     rows = docs.select(*keep, F.posexplode(F.split(F.col(text), r"\R")).alias("p", "line")).select(*keep, (F.col("p") + 1).alias("dan"), strip(F.col("line")).alias("text")).filter("text <> ''")
-    with_terms = rows.withColumn("terms", tokens.terms(F.col("text")))
-    return with_terms.withColumn("codes", rules.codes(rule_set, F.col("text"), F.col("terms"))).drop("terms")
+    return rules.with_codes(rows, rule_set, "text")
 
 
 def running_counts(coded: DataFrame, group: Column) -> DataFrame:
     """(grp, code, n) for complete or update mode."""
-    return coded.select(group.alias("grp"), F.explode("codes").alias("code")).groupBy("grp", "code").agg(F.count("*").alias("n"))
+    # A plain explode would add a filter on the number of codes, for which they are found a second time.
+    codes = coded.select(group.alias("grp"), F.posexplode_outer("codes").alias("p", "code")).filter("p IS NOT NULL")
+    return codes.groupBy("grp", "code").agg(F.count("*").alias("n"))
 
 
 def event_windows(events: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:

@@ -4,8 +4,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.operators import rules
+from lexspark.operators import rules, tokens
 from lexspark.operators.rules import All, Any, Broken, Keyword, Not, Proximity, matches, parse, read_rules
+from lexspark.streaming import coding
 
 FILE = "﻿*FIRST\n住民\n\n*SECOND\nnear(説明会-開催)[6] or not 周知\n\n*THIRD\n( a and b )\nor c\n"
 
@@ -103,3 +104,48 @@ def test_proximity_is_linear_in_places(spark):
     begin = time.time()
     assert [tuple(r) for r in df.select(*ask).collect()] == [(False, True, True, True, True, True), (False, False, False, False, False, True)]
     assert time.time() - begin < 60
+
+
+def test_rules_on_texts_like_plain_python(spark):
+    """Terms of texts as one string: every kind of node, signs of regular expressions, odd blanks, letters that lower-case oddly."""
+    rng = random.Random(17)
+    pieces = ["ab", "a", "B", "abc", "ABC", "k", "\u212a", "İ", "Σ", "ς", "ß", "ẞ", "条例", "条", "ア", "12", "3", ".", "(", "\\E", "$1", "|", " ", "  ", "\t", "\n", "\u3000", "\x85", "\x0b", "𠮷", "é", "e\u0301", "\x00"]
+    words = ["ab", "a", "b", "abc", "k", "i", "i\u0307", "σ", "ß", "条例", "条", "12", ".", "(", "\\E", "$1", "a b", "ア", "é", "A", "B", "", "\u3000", "x" * 40, "aab"]
+
+    def tree(depth):
+        k = rng.random()
+        if depth and k < 0.4:
+            return rng.choice([rules.Any, rules.All])(tuple(tree(depth - 1) for _ in range(rng.randint(2, 3))))
+        if depth and k < 0.5:
+            return rules.Not(tree(depth - 1))
+        if k < 0.53:
+            return rules.Broken("x")
+        if k < 0.7:
+            return rules.Keyword(rng.choice(words))
+        return rules.Proximity(tuple(rng.choice(words) for _ in range(rng.randint(1, 4))), rng.choice([0, 1, 2, 3, 5, 64, 65, 1 << 70]), rng.random() < 0.5, rng.random() < 0.5)
+
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(150)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    terms = {r.i: list(r.x) for r in df.select("i", tokens.terms(F.col("t")).alias("x")).collect()}
+    for few in ([tree(0) for _ in range(60)], [tree(2) for _ in range(40)], [rules.Keyword(w) for w in ("ab", "条", "b")], []):
+        named = {f"*{k}": n for k, n in enumerate(few)}
+        for r in rules.with_codes(df, named, "t").collect():
+            assert r.codes == [c for c, n in named.items() if rules.matches(n, texts[r.i], terms[r.i], [])], texts[r.i]
+    assert rules.with_codes(spark.createDataFrame([(None,)], "t string"), {"*A": parse("near(a-b)[2] or not c")}, "t").head().codes == []
+
+
+def test_running_counts_find_codes_once(spark):
+    """No list of terms where keywords need none, and no filter on the codes for which they are found again."""
+    docs = spark.createDataFrame([(1, "s", "That\nwith that"), (2, "s", None), (3, "t", "x")], "doc_id int, source string, text string")
+    coded = coding.coded_paragraphs(docs, read_rules("*P\nthat\n\n*N\nwith"), ["doc_id", "source"])
+    out = coding.running_counts(coded, F.col("source"))
+    assert sorted(map(tuple, out.collect())) == [("s", "*N", 1), ("s", "*P", 2)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "size(" not in plan
+
+
+def test_proximity_needs_no_list_of_terms(spark):
+    rows = spark.createDataFrame([("that is with a",), ("that was for it",), ("was nothing",)], "s string")
+    out = rules.with_codes(rows, read_rules("*NEAR\nnear(that-with)[6] or near(for-was)[b4]"), "s")
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.codes for r in out.collect()] == [["*NEAR"], ["*NEAR"], []]
