@@ -245,8 +245,7 @@ def wide_to_long(spark, d):
 
 @query()
 def code_proximity(spark, d):
-    rows = _lines(spark, d).withColumn("terms", tokens.terms(F.col("s")))
-    return rows.select("doc_id", "dan", F.array_join(rules.codes(_rules(PROXIMITY_TEXT), F.col("s"), F.col("terms")), ",").alias("codes"))
+    return rules.with_codes(_lines(spark, d), _rules(PROXIMITY_TEXT), "s").select("doc_id", "dan", F.array_join("codes", ",").alias("codes"))
 
 
 _NEAR = "len(list_filter(range(1, len(t) + 1), lambda i: (contains(t[i], '{a}') OR contains('{a}', t[i])) AND len(list_filter(t[{lo}:{hi}], lambda x: contains(x, '{b}') OR contains('{b}', x))) > 0)) > 0"
@@ -255,17 +254,15 @@ _NEAR = "len(list_filter(range(1, len(t) + 1), lambda i: (contains(t[i], '{a}')
 @query(rf"""WITH {_LINES}, tk AS (SELECT doc_id, dan, regexp_extract_all(s, '[\p{{Latin}}]+|\p{{Nd}}+|[^\s\p{{Latin}}\p{{Nd}}]') AS f FROM ln), tt AS (SELECT doc_id, dan, list_concat(f, list_transform(f, lambda x: lower(x))) AS t FROM tk)
 SELECT doc_id, dan, {_NEAR.format(a='that', b='with', lo='i + 1', hi='i + 6')} AS near_that_with FROM tt""")
 def code_near(spark, d):
-    node = rules.parse("near(that-with)[6]")
-    rows = _lines(spark, d).withColumn("terms", tokens.terms(F.col("s")))
-    return rows.select("doc_id", "dan", rules.compile_rule(node, F.col("s"), F.col("terms")).alias("near_that_with"))
+    coded = rules.with_codes(_lines(spark, d), {"*": rules.parse("near(that-with)[6]")}, "s")
+    return coded.select("doc_id", "dan", (F.size("codes") > 0).alias("near_that_with"))
 
 
 @query(rf"""WITH {_LINES}, tk AS (SELECT doc_id, dan, regexp_extract_all(s, '[\p{{Latin}}]+|\p{{Nd}}+|[^\s\p{{Latin}}\p{{Nd}}]') AS f FROM ln), tt AS (SELECT doc_id, dan, list_concat(f, list_transform(f, lambda x: lower(x))) AS t FROM tk)
 SELECT doc_id, dan, {_NEAR.format(a='der', b='die', lo='greatest(1, i - 4)', hi='i - 1')} AS seq_der_die FROM tt""")
 def code_seq(spark, d):
-    node = rules.parse("seq(der-die)[b4]")
-    rows = _lines(spark, d).withColumn("terms", tokens.terms(F.col("s")))
-    return rows.select("doc_id", "dan", rules.compile_rule(node, F.col("s"), F.col("terms")).alias("seq_der_die"))
+    coded = rules.with_codes(_lines(spark, d), {"*": rules.parse("seq(der-die)[b4]")}, "s")
+    return coded.select("doc_id", "dan", (F.size("codes") > 0).alias("seq_der_die"))
 
 
 @query()
