@@ -30,8 +30,8 @@ from lexspark.operators.tokens import script_class
 UNKNOWN, EACH = 4000, 8000
 #: Bytes of the entries' surfaces; bits of a token count beside a cost; characters of one batch that are worked on at once.
 MOST_BYTES, BITS, CHARS = 64 << 20, 24, 1 << 20
-#: Ends of parts of a stretch that are looked up from one row.
-BLOCK = 64
+#: Ends of parts of a stretch that are looked up from one row; classes of last characters.
+BLOCK, TAILS = 64, 1 << 16
 #: Places that are tried for a node's children.
 TRIES = 16
 _FAR = 1 << 61
@@ -257,10 +257,12 @@ def _words_in(stretches: DataFrame, entries: DataFrame) -> DataFrame:
     """(key, n, m: begin, end, cost) of the entries (term, cost) in the stretches (key, stretch, n).
 
     A stretch is looked at in blocks of BLOCK ends with as much before them as the longest entry takes, so rows stay short.  Only those
-    parts are looked up whose last characters and length some entry has.
+    parts are looked up whose last characters and length some entry has; these go to all tasks in TAILS classes at most, as shuffling every
+    end would write many times the input.
     """
     longest = entries.agg(F.coalesce(F.max(F.length("term")), F.lit(0)).alias("longest"))
-    tails = entries.groupBy(F.right("term", F.lit(3)).alias("tail")).agg(F.collect_set(F.length("term")).alias("sizes"))
+    classed = lambda tail: F.pmod(F.hash(tail), F.lit(TAILS))
+    tails = entries.groupBy(classed(F.right("term", F.lit(3))).alias("class")).agg(F.collect_set(F.length("term")).alias("sizes"))
     first = F.explode(F.sequence(F.lit(0), F.length("stretch") - 1, F.lit(BLOCK))).alias("first")
     blocks = stretches.select("key", "n", "stretch", first).crossJoin(F.broadcast(longest))
     blocks = blocks.select("key", "n", "first", F.greatest(F.col("first") - F.col("longest"), F.lit(0)).alias("skipped"), "stretch")
@@ -269,7 +271,8 @@ def _words_in(stretches: DataFrame, entries: DataFrame) -> DataFrame:
     # A word of one or two characters is its own tail.
     tail = lambda k: F.when(F.col("end") >= k, F.substring(F.col("w"), F.col("end") - (k - 1), F.lit(k)))
     places = ends.select("*", F.explode(F.array(*[tail(k) for k in (1, 2, 3)])).alias("tail")).filter("tail IS NOT NULL")
-    parts = places.join(tails, "tail").select("key", "n", "skipped", "w", "end", F.explode(F.filter("sizes", lambda k: k <= F.col("end"))).alias("size"))
+    fits = lambda k: (k <= F.col("end")) & (F.least(k, F.lit(3)) == F.length("tail"))
+    parts = places.withColumn("class", classed(F.col("tail"))).join(F.broadcast(tails), "class").select("key", "n", "skipped", "w", "end", F.explode(F.filter("sizes", fits)).alias("size"))
     begin, end = F.col("end") - F.col("size"), F.col("skipped") + F.col("end")
     parts = parts.select("key", "n", F.substring(F.col("w"), begin + 1, F.col("size")).alias("term"), (F.col("skipped") + begin).alias("begin"), end.alias("end"))
     return parts.join(entries, "term").select("key", "n", F.struct("begin", "end", "cost").alias("m"))

@@ -160,3 +160,20 @@ def test_the_query_needs_no_dictionary_in_every_task(spark, monkeypatch):
 
     monkeypatch.setattr(segmentation, "MOST_BYTES", 10)
     assert queries.Q["dictionary_segments"](spark, "/root/testdata/sf0.001").count() > 100
+
+
+@pytest.mark.parametrize("classes", [1, 1 << 16])
+def test_ends_are_never_shuffled(spark, monkeypatch, classes):
+    """Whatever the sizes look like, last characters go to the ends; classes that are shared change nothing."""
+    monkeypatch.setattr(segmentation, "TAILS", classes)
+    df = spark.createDataFrame([("abcabd xab b abc",)], "s string")
+    entries = spark.createDataFrame([("abc", 1), ("ab", 1), ("b", 9000), ("cab", 1)], "term string, cost int")
+    out = segmentation.token_counts(df, entries)
+    assert {(r.word, r.n) for r in out.collect()} == {("abc", 1), ("ab", 2), ("cab", 1), ("b", 1), (None, 2)}
+    assert "strategy=broadcast" in out._jdf.queryExecution().analyzed().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = segmentation.token_counts(df, entries)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1
